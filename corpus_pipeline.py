@@ -1,8 +1,71 @@
-"""From raw documents to packed training sequences, in stages that each write a table."""
+"""From raw documents to packed training sequences, in stages that each write a table.
 
-STAGES = []
+Each stage takes what its predecessor kept and returns the columns of ``documents``, but for the
+last, which returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyloom.llm import decontam, encoders, host_rules, jaccard, langid, packing
+from storyloom.llm.common import scratch
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    profiles = langid.learn(docs)
+    carried = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    told = langid.predict(carried, profiles, tuple(carried.columns), text_col="in_text")
+    kept = told.where(F.col("lang_pred") != langid.UNDETERMINED)
+    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules, from hosts that do not mostly fail them."""
+    carried = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    judged = host_rules.evaluate(carried, "in_source", tuple(carried.columns), text_col="in_text")
+    return judged.where("kept").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies: that of the least id."""
+    groups = jaccard.join(docs)
+    spare = groups.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+
+
+def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences, with a digest of each piece's ids."""
+    cut = packing.pieces(docs, encoders.tokenizer_path("word_bpe_49k.json"))
+    digests = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digests, docs.count())
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("quality rules", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", free_of_benchmarks),
+    ("packing", packed),
+]
+
+#: SQL expresses neither the profiles' random vectors nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's table is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        path = scratch(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

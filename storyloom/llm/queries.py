@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, encoders, maglev, packing, token_counts
-from .common import documents, scratch
+from . import bitplanes, decontam, encoders, host_rules, jaccard, langid, maglev, packing, quality_mil, token_counts, toxicity
+from .common import documents, label_split, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,21 @@ def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_mil.learn(docs, table(spark, sf_dir, "labels"))
+    held_out = label_split("doc_id", quality_mil.FOLDS) == quality_mil.HELD_FOLD
+    return quality_mil.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages")
+
+
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.evaluate(documents(spark, sf_dir))
+    rate = F.round("host_rate", 6).alias("host_rate")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rate
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(documents(spark, sf_dir), encoders.tokenizer_path("piece_bpe_32k.model"))
 
@@ -27,6 +42,28 @@ def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.place(documents(spark, sf_dir).select("doc_id"))
 
 
+def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = label_split("doc_id", langid.FOLDS) == langid.HELD_FOLD
+    return langid.predict(docs, langid.learn(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    held_out = label_split("doc_id", toxicity.FOLDS) == toxicity.HELD_FOLD
+    evidence = F.transform(F.slice("neighbours", 1, 5), lambda n: n["id"]).alias("evidence_ids")
+    return toxicity.score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", evidence)
+
+
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     cut = packing.pieces(docs, encoders.tokenizer_path("word_bpe_49k.json"))
@@ -35,12 +72,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "op1_bitplanes": op1_bitplanes,
-        "op4_token_counts": op4_token_counts,
-        "op5_lookup_sharding": op5_lookup_sharding,
-        "op10_best_fit_packing": op10_best_fit_packing,
-    }
+    found = (
+        op1_bitplanes, op2_attention_quality, op3_host_rules, op4_token_counts, op5_lookup_sharding, op6_language_profiles,
+        op7_toxic_neighbours, op8_benchmark_leaks, op9_ngram_jaccard, op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP5_SQL = f"""
@@ -70,5 +106,47 @@ FROM placed, filled
 """
 
 
+_OP3_SQL = f"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+placed AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, words FROM words WHERE len(words) > 2),
+windows AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words[pos], words[pos + 1], words[pos + 2]) AS n FROM placed),
+repeated AS (
+  SELECT doc_id, count(DISTINCT word) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS word FROM windows WHERE n > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {host_rules.MIN_WORDS} OR 100 * n_repeat_words > {host_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM measured),
+hosts AS (
+  SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS DOUBLE) AS f
+  FROM judged GROUP BY host),
+moments AS (
+  SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS square, count(*) / sum(n) AS per_doc FROM hosts),
+spreads AS (
+  SELECT mean, mean * (1 - mean) AS chance, square - mean * mean - mean * (1 - mean) * per_doc AS spread FROM moments),
+prior AS (
+  SELECT mean, CASE WHEN spread > 0 THEN least(greatest(chance / spread - 1, {host_rules.STRENGTH[0]}), {host_rules.STRENGTH[1]})
+                    ELSE {host_rules.STRENGTH[1]} END AS strength
+  FROM spreads),
+rates AS (SELECT host, (f + mean * strength) / (n + strength) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= {host_rules.MAX_HOST_RATE} AS kept, round(rate, 6) AS host_rate
+FROM judged JOIN rates USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lookup_sharding": _OP5_SQL}
+    return {"op3_host_rules": _OP3_SQL, "op5_lookup_sharding": _OP5_SQL}
