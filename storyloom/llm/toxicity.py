@@ -19,7 +19,7 @@ NEIGHBOURS = 15
 #: Examples of a block of the index.
 BLOCK = 64
 #: Least G statistic of a term's association with label 1; 0 keeps every term.
-MIN_G = 30.0
+MIN_G = 20.0
 CUT = 0.3
 FOLDS, HELD_FOLD = 4, 2
 #: Weight of the overall share of label 1 in a vote, in neighbours of similarity 1.
