@@ -8,6 +8,7 @@ A text for which the cut is not certain to be exact goes through the library who
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,34 @@ def opened(kind: type, path: str):
     return _open[kind, path]
 
 
+class Memo:
+    """What was learned of strings, in two generations: what is still met moves to the young one.
+
+    Holds about ``MEMO_PIECES`` entries at most, and forgets those that were not met for longest.
+    """
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of each key, and the places of those of which nothing is."""
+        found = list(map(self.young.get, keys))
+        missing, old = [], self.old.get
+        for k, ids in enumerate(found):
+            if ids is None:
+                if (ids := old(keys[k])) is None:
+                    missing.append(k)
+                else:
+                    found[k] = self.young[keys[k]] = ids
+        return found, missing
+
+    def put(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.young) > MEMO_PIECES // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(keys, values, strict=True))
+
+
 class _Encoder:
     """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -54,12 +83,11 @@ class _Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile(self.pattern).findall
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memo(), Memo()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def uncertain(self, texts: pa.Array) -> pa.Array:
         """Of which texts the chunks may not be exact."""
@@ -84,23 +112,28 @@ class _Encoder:
         lists = self.cut(texts)
         coded = lists.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.learn([c for c in distinct if c not in self.chunks])
-        ids = pa.array([self.chunks[c] for c in distinct], pa.large_binary()).take(coded.indices)
-        if len(self.chunks) > MEMO_PIECES:
-            self.chunks = {"": b""}
+        found, new = self.chunks.look(distinct)
+        for k, ids in zip(new, self.learn([distinct[k] for k in new]), strict=True):
+            found[k] = ids
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
         _, offsets, data = ids.buffers()
         ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1][lists.offsets.to_numpy()].tolist()
         data = data.to_pybytes() if data else b""
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> list[bytes]:
         parts = [self.sub_pieces(c) for c in chunks]
-        new = list({p for ps in parts for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self.whole(new), strict=True))
-        ids = self.pieces.__getitem__
-        self.chunks.update(zip(chunks, (b"".join(map(ids, ps)) for ps in parts), strict=True))
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
+        distinct = list({p for ps in parts for p in ps})
+        found, missing = self.pieces.look(distinct)
+        new = [distinct[k] for k in missing]
+        made = self.whole(new)
+        self.pieces.put(new, made)
+        ids = dict(zip(distinct, found, strict=True))
+        ids.update(zip(new, made, strict=True))
+        of = ids.__getitem__
+        out = [of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for ps in parts]
+        self.chunks.put(chunks, out)
+        return out
 
 
 class ByteLevel(_Encoder):
@@ -117,10 +150,6 @@ class ByteLevel(_Encoder):
     def sub_pieces(self, chunk):
         return self.split(chunk[1:] if chunk[:1] == HEAD else " " + chunk)
 
-    def by_chunks(self, texts):
-        self.chunks[""] = self.whole([" "])[0]
-        return super().by_chunks(texts)
-
 
 class WordEnds(_Encoder):
     """word_bpe_49k: lower case, white space dropped, so white space always ends a piece."""
