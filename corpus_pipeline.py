@@ -33,7 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of copies and near copies: that of the least id."""
     groups = jaccard.join(docs)
     spare = groups.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    # Spare copies are a share of the table, so they are never broadcast, however small the table is.
+    return docs.join(spare.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
