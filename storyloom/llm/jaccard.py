@@ -29,6 +29,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Members of a component that are compared with each other at once.
 BLOCK = 1024
+#: How a member takes part in a group: compared with all of it, or with those of the other side.
+LEFT, RIGHT, WITHIN = 0, 1, 2
 #: Columns of a block's incidence matrix at once.
 COLUMNS = 4096
 
@@ -137,9 +139,8 @@ def _verify(threshold: float):
 
     def block(nodes, copies, sides, sets) -> list[tuple[int, int, int]]:
         nodes, copies, sides = np.array(nodes, np.int64), np.array(copies, np.int64), np.array(sides)
-        left = np.flatnonzero(sides == 0)
-        right = np.flatnonzero(sides == 1)
-        if not len(left) or (len(nodes) < 2):
+        left, right = np.flatnonzero(sides != RIGHT), np.flatnonzero(sides == RIGHT)
+        if len(nodes) < 2 or (sides != WITHIN).any() and not (len(left) and len(right)):
             return []
         yes = linked([np.frombuffer(s, "<u8") for s in sets], left, threshold)
         if len(right):
@@ -195,7 +196,7 @@ def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     A component of up to ``block`` members is one group. A larger one is cut by set size at steps
     of 1 / threshold, so a link lies within a step or between neighbours, and each step is cut
-    into blocks by a hash. Sides are 0 and 1 where two different blocks meet, else 0.
+    into blocks by a hash. Where two different blocks meet, each member has a side.
     """
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(-np.log(threshold)) * 1.000001))
     counted = members.withColumn("step", step.cast("long"))
@@ -214,14 +215,14 @@ def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
     def upto(n):
         return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    zero, one = F.lit(0), F.lit(1)
+    one_side, other_side, within = F.lit(LEFT), F.lit(RIGHT), F.lit(WITHIN)
     same = F.transform(
         upto(blocks(F.col("step"))),
-        lambda j: meet(F.col("step") * 2, F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), F.when(j < F.col("mine"), one).otherwise(zero)),
+        lambda j: meet(F.col("step") * 2, F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), F.when(j < F.col("mine"), other_side).when(j > F.col("mine"), one_side).otherwise(within)),
     )
-    above = F.transform(upto(blocks(F.col("step") + 1)), lambda j: meet(F.col("step") * 2 + 1, F.col("mine"), j, zero))
-    below = F.transform(upto(blocks(F.col("step") - 1)), lambda j: meet(F.col("step") * 2 - 1, j, F.col("mine"), one))
-    alone = F.array(F.struct(F.xxhash64("comp", F.lit("whole")).alias("group"), zero.alias("side")))
+    above = F.transform(upto(blocks(F.col("step") + 1)), lambda j: meet(F.col("step") * 2 + 1, F.col("mine"), j, one_side))
+    below = F.transform(upto(blocks(F.col("step") - 1)), lambda j: meet(F.col("step") * 2 - 1, j, F.col("mine"), other_side))
+    alone = F.array(F.struct(F.xxhash64("comp", F.lit("whole")).alias("group"), within.alias("side")))
     pairs = F.when(F.col("total") <= block, alone).otherwise(F.concat(same, above, below))
     return joined.withColumn("mine", mine).withColumn("pairs", pairs).drop("mine", "step", "steps", "total")
 
