@@ -270,7 +270,8 @@ def join(
 
         return of
 
-    texts = source.join(members.withColumnRenamed("__id", "rep"), F.col("__id") == F.col("rep"))
+    # The candidates grow with the table, so their texts are found by a shuffle at every size.
+    texts = source.join(members.hint("shuffle_hash"), F.col("__id") == F.col("rep"))
     found = map_text(
         texts, whole_sets, [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())], "__text", ["node", "n_copies", "pairs"]
     ).where("own = node")
