@@ -83,6 +83,20 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(buckets)) < int(buckets * rows / total))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What ``make()`` gives, kept in this Python worker until something else is asked for.
+
+    Workers outlive tasks and serve all stages; so one stage's memo never stands beside another's.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_text(
     df: DataFrame,
     function: Callable[[], Callable[[list[str | None]], Sequence[Sequence]]],
@@ -116,5 +130,6 @@ def map_text(
                     [part.column(c) for c in carry] + [pa.array(v, type=t) for v, t in zip(made, arrow, strict=True)],
                     names=[*carry, *names],
                 )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return source.mapInArrow(run, schema)

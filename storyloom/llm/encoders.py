@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: The pattern by which byte-level BPE of this family splits text (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern of the tokenizer with word ends (fixed value).
@@ -26,7 +28,6 @@ STABLE_BELOW = "ɐ"
 HEAD = "\ue000"
 
 _spaces = "[ \t\n\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_open: dict[tuple, object] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,10 +38,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def opened(kind: type, path: str):
-    """One encoder for each path and Python worker, with its memo."""
-    if (kind, path) not in _open:
-        _open[kind, path] = kind(path)
-    return _open[kind, path]
+    """The encoder of a path, with its memo, kept in a Python worker while its tasks ask for it."""
+    return kept((kind, path), lambda: kind(path))
 
 
 class Memo:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, label_split, map_text
+from .common import bounded_sample, kept, label_split, map_text
 
 DIMENSIONS = 1024
 LETTERS = 3
@@ -69,7 +69,7 @@ class Space:
         self.vectors: list[np.ndarray] = []
         self.gram_row: dict[int, int] = {}
         self.table = np.zeros(0, np.int32)
-        self.grams = np.zeros((GRAMS, self.dimensions), np.float32)
+        self.grams = np.zeros((GRAMS, self.dimensions), np.int8)
 
     def numbered(self, codes: np.ndarray) -> np.ndarray:
         out = self.letter_number[codes]
@@ -77,13 +77,13 @@ class Space:
             for code in np.unique(codes[out < 0]).tolist():
                 bits = np.random.default_rng([20_240_501, code]).integers(0, 2, self.dimensions)
                 self.letter_number[code] = len(self.vectors)
-                self.vectors.append((2 * bits - 1).astype(np.float32))
+                self.vectors.append((2 * bits - 1).astype(np.int8))
             out = self.letter_number[codes]
         return out
 
     def bind(self, key: int) -> int:
         """The row of a new n-gram: each letter's vector is rotated by its place, and all multiplied."""
-        bound = np.ones(self.dimensions, np.float32)
+        bound = np.ones(self.dimensions, np.int8)
         for place in range(self.size):
             bound = bound * np.roll(self.vectors[(key >> (BITS * place)) & ((1 << BITS) - 1)], place)
         at = self.gram_row[key] = len(self.gram_row)
@@ -139,15 +139,12 @@ class Space:
                 some = used[low : low + GRAMS]
                 there = slice(None) if len(used) <= GRAMS else (column >= low) & (column < low + GRAMS)
                 cells = np.bincount(doc[there] * len(some) + column[there] - low, minlength=(at - begin) * len(some))
-                out[begin:at] += cells.reshape(at - begin, len(some)).astype(np.float32) @ self.grams[some]
+                out[begin:at] += cells.reshape(at - begin, len(some)).astype(np.float32) @ self.grams[some].astype(np.float32)
         return out
 
 
-_spaces: dict[tuple[int, int], Space] = {}
-
-
 def _space(dimensions: int, size: int) -> Space:
-    return _spaces.setdefault((dimensions, size), Space(dimensions, size))
+    return kept((Space, dimensions, size), lambda: Space(dimensions, size))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

@@ -89,7 +89,7 @@ def pieces(
 
         return cut
 
-    cut = map_text(docs, function, [T.StructField("__cut", T.ArrayType(T.BinaryType()))], text_col, [id_col], 2048)
+    cut = map_text(docs, function, [T.StructField("__cut", T.ArrayType(T.BinaryType()))], text_col, [id_col], 1024)
     total = F.aggregate("__cut", F.lit(0).cast("long"), lambda n, p: n + F.length(p)) / 4
     return cut.select(id_col, total.cast("long").alias("doc_tokens"), F.posexplode("__cut").alias("__k", "ids")).select(
         id_col,
