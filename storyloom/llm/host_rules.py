@@ -15,6 +15,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: Verdicts are broadcast up to so many bytes, at so many for a host besides its name.
+BROADCAST_BYTES, HOST_BYTES = 16 << 20, 64
 #: Bounds on the prior's strength, in documents.
 STRENGTH = (1.0, 1e6)
 
@@ -61,16 +63,18 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     hosts = rows.groupBy("__host").agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures")
     )
-    docs, fails, count, squares = hosts.agg(
+    docs, fails, count, squares, chars = hosts.agg(
         F.sum("host_docs"), F.sum("host_failures"), F.count(F.lit(1)),
-        F.sum(F.col("host_failures") * F.col("host_failures") / F.col("host_docs")),
+        F.sum(F.col("host_failures") * F.col("host_failures") / F.col("host_docs")), F.sum(F.length("__host")),
     ).first()
     mean = (fails or 0) / docs if docs else 0.0
     chance = mean * (1 - mean)
     spread = (squares / docs - mean * mean - chance * count / docs) if docs else 0.0
     strength = min(max(chance / spread - 1, STRENGTH[0]), STRENGTH[1]) if spread > 0 else STRENGTH[1]
     rate = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
-    return hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") <= MAX_HOST_RATE)
+    verdicts = hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") <= MAX_HOST_RATE)
+    # Their size is known by now: a small table goes to every task, so texts need no shuffle by host.
+    return F.broadcast(verdicts) if count * HOST_BYTES + (chars or 0) * 4 <= BROADCAST_BYTES else verdicts
 
 
 def evaluate(
@@ -84,8 +88,9 @@ def evaluate(
     Repeated rows each count. An output column replaces an input column of its name.
 
     Measures are written to the shared folder once. Failures are summed before the shuffle, so a
-    host with a third of all rows is one row of it; verdicts go back by a join that is a
-    broadcast only while Spark finds them small, and else one whose hot hosts are split.
+    host with a third of all rows is one row of it; verdicts go back by a broadcast if their
+    size, which is counted first, is under ``BROADCAST_BYTES``, and else by a join by host whose
+    hot hosts Spark splits.
     """
     host = F.col(host) if isinstance(host, str) else host
     source = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit("")))
