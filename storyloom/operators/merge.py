@@ -76,5 +76,25 @@ def recount(novels: DataFrame, chapters: DataFrame) -> DataFrame:
     return novels.drop("total_chapters").join(counts, "id", "left").withColumn("total_chapters", F.coalesce("__n", F.lit(0))).drop("__n")
 
 
+def update_content(chapters: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """New texts; words are counted again where a text differs from the old one."""
+    new = changes.select(key, F.col("content").alias("__new"))
+    changed = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("content"))
+    joined = chapters.join(new, key, "left")
+    values = {
+        "content": F.when(changed, F.col("__new")).otherwise(F.col("content")).alias("content"),
+        "word_count": F.when(changed, text.count_words(F.col("__new"))).otherwise(F.col("word_count")).alias("word_count"),
+    }
+    return joined.select(*[values.get(c, F.col(c)) for c in chapters.columns])
+
+
+def correct_titles(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Takes a title found for a row if it holds CJK and differs; tells which rows were ``corrected``."""
+    joined = rows.join(found.select(key, F.col("title").alias("__new")), key, "left")
+    better = F.coalesce(text.has_cjk(F.col("__new")) & (F.col("__new") != F.col("title")), F.lit(False))
+    kept = [F.when(better, F.col("__new")).otherwise(F.col(c)).alias(c) if c == "title" else F.col(c) for c in rows.columns]
+    return joined.select(*kept, better.alias("corrected"))
+
+
 def drop_script_links(rows: DataFrame, url: str) -> DataFrame:
     return rows.withColumn(url, F.when(~F.col(url).startswith("javascript:"), F.col(url)))

@@ -1,6 +1,6 @@
 """Queries: operators bound to tables, each with the SQL it is checked against."""
 
 from ..registry import QUERIES, SQL
-from . import content, generated, listings, statistics, streams, updates  # noqa: F401  (they register their queries)
+from . import content, fields, generated, listings, lookups, statistics, streams, updates  # noqa: F401  (they register their queries)
 
 __all__ = ["QUERIES", "SQL"]
