@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, label_split, map_text
+from .common import bounded_sample, label_split, map_text, materialize, release
 
 #: Labelled documents that become examples, at most (a bounded sample picked by a hash of the id).
 EXAMPLES = 8000
 NEIGHBOURS = 15
 #: Examples of a block of the index.
 BLOCK = 64
+#: Cells of the matrix of queries that are looked up at once.
+QUERY_CELLS = 2_000_000
 #: Least G statistic of a term's association with label 1; 0 keeps every term.
 MIN_G = 20.0
 CUT = 0.3
 FOLDS, HELD_FOLD = 4, 2
+#: Sums of shares of copies below this are rounding errors.
+LEAST_CELL = 1e-9
 #: Weight of the overall share of label 1 in a vote, in neighbours of similarity 1.
 PRIOR = 0.5
 #: Distinct chunks of text whose term a worker remembers.
@@ -53,7 +57,7 @@ def g_statistic(a: float, n1: float, b: float, n0: float) -> float:
     """Of a term in ``a`` of ``n1`` rows of label 1 and ``b`` of ``n0`` others; below 0 if rarer in label 1."""
     total, held = n1 + n0, a + b
     cells = ((a, n1 * held), (b, n0 * held), (n1 - a, n1 * (total - held)), (n0 - b, n0 * (total - held)))
-    g = 2 * sum(x * math.log(x * total / e) for x, e in cells if x and e)
+    g = 2 * sum(x * math.log(x * total / e) for x, e in cells if x > LEAST_CELL and e > LEAST_CELL)
     return g if a * n0 >= b * n1 else -g
 
 
@@ -61,9 +65,9 @@ class Index:
     """A block-max inverted index of labelled examples.
 
     Each term has postings by example and, for each block of examples, its greatest weight
-    there. The bound of a block is what the query's terms could reach at most; blocks are
-    opened in falling order of bound until no bound exceeds the k-th best similarity, so
-    the neighbours are exact. Examples of like terms are laid side by side to make bounds tight.
+    there. The bound of a block is what the query's terms could reach at most; each query opens
+    blocks in falling order of bound until no bound exceeds its k-th best similarity, so the
+    neighbours are exact. Queries that open the same block in the same turn share one product. Examples of like terms are laid side by side to make bounds tight.
 
     Examples are (id, terms, label, copy key). All that share a key count as one document in the
     statistics of terms, so a text that was copied often does not make its words telling.
@@ -97,10 +101,16 @@ class Index:
                 postings[t].append((k, w))
         self.at = {t: np.array([k for k, _ in p], np.int64) for t, p in postings.items()}
         self.weight = {t: np.array([w for _, w in p]) for t, p in postings.items()}
-        self.tops: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, at in self.at.items():
-            blocks, first = np.unique(at // block, return_index=True)
-            self.tops[t] = blocks, np.maximum.reduceat(self.weight[t], first)
+        #: Of each block: its terms, its examples' weights for them, and the greatest of each term.
+        self.opened = [self._block([r[2] for r in rows[k : k + block]]) for k in range(0, len(rows), block)]
+
+    @staticmethod
+    def _block(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms = np.unique(np.concatenate([t for t, _ in vectors]))
+        weights = np.zeros((len(vectors), len(terms)))
+        for k, (t, w) in enumerate(vectors):
+            weights[k, np.searchsorted(terms, t)] = w
+        return terms, weights, weights.max(axis=0)
 
     def vector(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights, of length 1: (1 + log of the count) times the inverse document frequency."""
@@ -109,37 +119,49 @@ class Index:
         weight = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at] if known else np.zeros(0)
         return at, weight / max(np.linalg.norm(weight), 1e-12)
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of greatest cosine above 0, and the cosines; ties go to the lower id."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-            if t in self.tops:
-                blocks, top = self.tops[t]
-                bound[blocks] += w * top
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1] - 1e-12):
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the ``k`` examples of greatest cosine above 0, and the cosines; ties go to the lower id."""
+        step = max(1, QUERY_CELLS // max(1, len(self.term)))
+        return [found for a in range(0, len(queries), step) for found in self._nearest(queries[a : a + step], k)]
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(queries)
+        q, bound = np.zeros((n, len(self.term))), np.zeros((n, self.blocks))
+        for row, (at, weight) in enumerate(queries):
+            q[row, at] = weight
+        for b, (terms, _, top) in enumerate(self.opened):
+            bound[:, b] = q[:, terms] @ top
+        turns, ids = np.argsort(-bound, axis=1, kind="stable"), np.append(self.ids, np.iinfo(np.int64).max)
+        score, found = np.zeros((n, k)), np.full((n, k), len(self.ids))
+        left = np.arange(n)
+        for turn in range(self.blocks):
+            block = turns[left, turn]
+            high = bound[left, block]
+            go = (high > 0) & (high >= score[left, -1] - 1e-9)
+            left, block = left[go], block[go]
+            if not len(left):
                 break
-            low, size = b * self.block, min(self.block, len(self.ids) - b * self.block)
-            own = np.zeros(size)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if t in self.at:
-                    i, j = np.searchsorted(self.at[t], [low, low + size])
-                    own[self.at[t][i:j] - low] += w * self.weight[t][i:j]
-            yes = np.flatnonzero(own > 0)
-            found, score = np.r_[found, low + yes], np.r_[score, own[yes]]
-            order = np.lexsort((self.ids[found], -score))[:k]
-            found, score = found[order], score[order]
-        return found, score
-
-    def vote(self, terms: Counter, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """The share of label 1 among the nearest, each weighted by its similarity, and who they are."""
-        at, weight = self.vector(terms)
-        if not len(at):
-            return self.silent, [], []
-        found, score = self.nearest(at, weight, k)
-        share = (score @ self.labels[found] + PRIOR * self.share) / (score.sum() + PRIOR)
-        return float(share), self.ids[found].tolist(), score.tolist()
+            for b in np.unique(block).tolist():
+                rows = left[block == b]
+                terms, weights, _ = self.opened[b]
+                own = np.round(q[np.ix_(rows, terms)] @ weights.T, 12)
+                better = own.max(axis=1) >= np.maximum(score[rows, -1], 1e-12)
+                rows, own = rows[better], own[better]
+                at = np.broadcast_to(b * self.block + np.arange(own.shape[1]), own.shape)
+                both, place = np.hstack([score[rows], own]), np.hstack([found[rows], at])
+                order = np.lexsort((ids[place], -both), axis=-1)[:, :k]
+                score[rows], found[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(place, order, 1)
+        return [(f[s > 0], s[s > 0]) for f, s in zip(found, score, strict=True)]
+
+    def vote(self, texts: list[Counter], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
+        """For each text: the share of label 1 among the nearest, each weighted by its similarity, and who they are."""
+        vectors = [self.vector(t) for t in texts]
+        some = [i for i, (at, _) in enumerate(vectors) if len(at)]
+        out: list[tuple[float, list[int], list[float]]] = [(self.silent, [], [])] * len(texts)
+        for i, (found, score) in zip(some, self.nearest([vectors[i] for i in some], k), strict=True):
+            share = (score @ self.labels[found] + PRIOR * self.share) / (score.sum() + PRIOR)
+            out[i] = float(share), self.ids[found].tolist(), score.tolist()
+        return out
 
 
 def learn(
@@ -153,8 +175,9 @@ def learn(
 ) -> Index:
     """Indexes at most about ``examples`` labelled rows outside the held-out fold.
 
-    Ids are sampled before any text is read; terms are counted on the executors. Null labels and
-    null ids are not used; of an id with two labels, the greater holds.
+    Ids are sampled before any text is read; terms are counted and judged on the executors, so
+    only the telling terms of the examples reach the driver. Null labels and null ids are not
+    used; of an id with two labels, the greater holds.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (label_split("__id", FOLDS) != HELD_FOLD)
@@ -167,11 +190,38 @@ def learn(
         return lambda texts: ([list(term_counts(t, memo).items()) for t in texts], [copy_key(t) for t in texts])
 
     kinds = [T.StructField("terms", T.MapType(T.StringType(), T.IntegerType())), T.StructField("key", T.LongType())]
-    counted = map_text(texts, function, kinds, "__text", ["__id", "__label"])
-    rows = sorted(counted.collect(), key=lambda r: (r[0], r["key"]))
+    counted = materialize(map_text(texts, function, kinds, "__text", ["__id", "__label"]), "examples")
+    slim = counted
+    if min_g:
+        telling = [r[0] for r in _telling(counted, min_g).collect()]
+        slim = counted.withColumn("terms", F.map_filter("terms", lambda term, _: term.isin(telling)))
+    rows = sorted(slim.collect(), key=lambda r: (r[0], r["key"]))
+    release(counted)
     return Index([(r[0], Counter(r["terms"]), int(r["__label"] > 0), r["key"]) for r in rows], min_g)
 
 
+def _telling(counted: DataFrame, min_g: float) -> DataFrame:
+    """The terms of the examples whose ``g_statistic`` is ``min_g`` or more, copies counted as one document."""
+    yes = F.col("__label") > 0
+    copies = counted.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.count_if(yes).alias("positive"))
+    total, n1 = copies.agg(F.count(F.lit(1)), F.sum(F.col("positive") / F.col("copies"))).first()
+    n1 = n1 or 0.0
+    n0 = total - n1
+    share = 1 / F.col("copies")
+    held = (
+        counted.join(copies, "key")
+        .select(F.explode(F.map_keys("terms")).alias("term"), F.when(yes, share).otherwise(0.0).alias("a"), F.when(yes, 0.0).otherwise(share).alias("b"))
+        .groupBy("term")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    a, b = F.col("a"), F.col("b")
+    cells = ((a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (total - a - b)), (n0 - b, n0 * (total - a - b)))
+    g = F.lit(0.0)
+    for x, e in cells:
+        g = g + F.when((x > LEAST_CELL) & (e > LEAST_CELL), 2 * x * F.ln(x * total / e)).otherwise(0.0)
+    return held.where((a * n0 >= b * n1) & (g >= min_g * (1 - 1e-9))).select("term")
+
+
 def score(
     docs: DataFrame, index: Index, carry: tuple[str, ...] = ("doc_id",), k: int = NEIGHBOURS, cut: float = CUT, text_col: str = "text"
 ) -> DataFrame:
@@ -189,7 +239,7 @@ def score(
         memo: dict[str, str] = {}
 
         def of(texts):
-            made = [shared.value.vote(term_counts(t, memo), k) for t in texts]
+            made = shared.value.vote([term_counts(t, memo) for t in texts], k)
             near = [[{"id": i, "similarity": s} for i, s in zip(ids, sims, strict=True)] for _, ids, sims in made]
             return [m[0] for m in made], near
 

@@ -107,7 +107,7 @@ def test_nearest_examples_are_exact():
         dense[at, t] = index.weight[t]
     for _ in range(50):
         at, weight = index.vector(Counter(rand.choices(kinds, k=5)))
-        found, score = index.nearest(at, weight, 7)
+        found, score = index.nearest([(at, weight)], 7)[0]
         full = dense[:, at] @ weight
         order = np.lexsort((index.ids, -full))[:7]
         assert np.allclose(score, full[order]) and np.allclose(full[found], score)
