@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,14 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Cells of the matrix of queries that are looked up at once.
 QUERY_CELLS = 2_000_000
-#: Least G statistic of a term's association with label 1; 0 keeps every term.
+#: Least share of the examples that hold a term whose weights stand in the matrix.
+COMMON = 1 / 32
+#: Blocks that each query opens first, and more than single precision can err in a similarity.
+FIRST_BLOCKS, MARGIN = 2, 1e-4
+#: Least G statistic of the terms that have a say of their own in a vote; all terms are indexed.
 MIN_G = 20.0
+#: The power of a neighbour's similarity that is its weight in a vote.
+STEEP = 4
 CUT = 0.3
 FOLDS, HELD_FOLD = 4, 2
 #: Sums of shares of copies below this are rounding errors.
@@ -53,113 +61,226 @@ def copy_key(text: str | None) -> int:
     return min((zlib.crc32(b" ".join(w)) for w in zip(words, words[1:], words[2:], strict=False)), default=-len(words))
 
 
-def g_statistic(a: float, n1: float, b: float, n0: float) -> float:
-    """Of a term in ``a`` of ``n1`` rows of label 1 and ``b`` of ``n0`` others; below 0 if rarer in label 1."""
-    total, held = n1 + n0, a + b
-    cells = ((a, n1 * held), (b, n0 * held), (n1 - a, n1 * (total - held)), (n0 - b, n0 * (total - held)))
-    g = 2 * sum(x * math.log(x * total / e) for x, e in cells if x > LEAST_CELL and e > LEAST_CELL)
-    return g if a * n0 >= b * n1 else -g
+def g_statistic(a: np.ndarray, n1: float, b: np.ndarray, n0: float) -> np.ndarray:
+    """Of terms in ``a`` of ``n1`` rows of label 1 and ``b`` of ``n0`` others; below 0 if rarer in label 1."""
+    total, held, g = n1 + n0, a + b, np.zeros(len(a))
+    for x, e in ((a, n1 * held), (b, n0 * held), (n1 - a, n1 * (total - held)), (n0 - b, n0 * (total - held))):
+        some = (x > LEAST_CELL) & (e > LEAST_CELL)
+        g[some] += 2 * x[some] * np.log(x[some] * total / e[some])
+    return np.where(a * n0 >= b * n1, g, -g)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``lengths`` of them, one range after another."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
 class Index:
-    """A block-max inverted index of labelled examples.
+    """A block-max inverted index of labelled examples over all of their terms.
 
-    Each term has postings by example and, for each block of examples, its greatest weight
-    there. The bound of a block is what the query's terms could reach at most; each query opens
-    blocks in falling order of bound until no bound exceeds its k-th best similarity, so the
-    neighbours are exact. Queries that open the same block in the same turn share one product. Examples of like terms are laid side by side to make bounds tight.
+    Terms that few examples hold have postings by example, so what they add to each similarity is
+    known at once; the weights of the others stand in one matrix, with their greatest by block of
+    examples. The bound of a block is the most that the former give there plus what the query's
+    other terms could reach at most. Each query opens its most promising blocks, and then every
+    block whose bound is not below its k-th best similarity by then. Sums are in single precision
+    with a margin; what is left is summed again in double precision, so the neighbours are exact.
 
     Examples are (id, terms, label, copy key). All that share a key count as one document in the
-    statistics of terms, so a text that was copied often does not make its words telling.
+    statistics of terms, so a text that was copied often does not make its words telling. Terms
+    whose G statistic is ``min_g`` or more are telling: they have a say of their own in a vote,
+    and none in who is near.
     """
 
     def __init__(self, examples: list[tuple[int, Counter, int, int]], min_g: float = MIN_G, block: int = BLOCK):
-        copies = Counter(key for *_, key in examples)
-        n1 = sum(y / copies[key] for *_, y, key in examples)
-        n0 = len(copies) - n1
-        self.share = sum(y for *_, y, _ in examples) / max(1, len(examples))
-        held: tuple[dict, dict] = (defaultdict(float), defaultdict(float))
-        for _, terms, y, key in examples:
-            for term in terms:
-                held[y][term] += 1 / copies[key]
-        names = sorted(
-            t for t in held[0].keys() | held[1].keys() if not min_g or g_statistic(held[1].get(t, 0), n1, held[0].get(t, 0), n0) >= min_g
-        )
+        names = sorted({t for _, terms, *_ in examples for t in terms})
+        number = {t: k for k, t in enumerate(names)}
+        terms = np.array([number[t] for _, held, *_ in examples for t in held], np.int64)
+        counts = np.array([n for _, held, *_ in examples for n in held.values()], float)
+        lengths = np.array([len(held) for _, held, *_ in examples], np.int64)
+        ids, labels, keys = (np.array([e[k] for e in examples], np.int64) for k in (0, 2, 3))
+        self._fill(ids, labels, keys, lengths, terms, counts, names, min_g, block)
+
+    @classmethod
+    def of_table(cls, rows: pa.Table, min_g: float = MIN_G, block: int = BLOCK) -> Index:
+        """From columns ``__id``, ``__label``, ``key``, ``terms`` and ``counts``: no Python object for each term of each example."""
+        rows = rows.sort_by([("__id", "ascending"), ("key", "ascending")]).combine_chunks()
+        columns = {name: rows[name].combine_chunks() for name in rows.column_names}
+        coded = pc.dictionary_encode(columns["terms"].flatten())
+        names = np.array(coded.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        number = np.empty(len(names), np.int64)
+        number[order] = np.arange(len(names))
+        index = cls.__new__(cls)
+        index._fill(
+            columns["__id"].to_numpy(), (columns["__label"].to_numpy() > 0).astype(np.int64), columns["key"].to_numpy(),
+            pc.list_value_length(columns["terms"]).to_numpy().astype(np.int64), number[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64),
+            columns["counts"].flatten().to_numpy().astype(float), names[order].tolist(), min_g, block,
+        )
+        return index
+
+    def _fill(self, ids, labels, keys, lengths, terms, counts, names, min_g, block):  # noqa: PLR0913
+        _, key, copies = np.unique(keys, return_inverse=True, return_counts=True)
+        row, one = np.repeat(np.arange(len(ids)), lengths), 1 / copies[key]
+        yes, no = (np.bincount(terms, (one * y)[row], len(names)) for y in (labels, 1 - labels))
+        n1 = float((one * labels).sum())
+        self.share = float(labels.sum()) / max(1, len(ids))
         self.term = {t: k for k, t in enumerate(names)}
-        self.idf = np.array([math.log((1 + len(copies)) / (1 + held[0].get(t, 0) + held[1].get(t, 0))) + 1 for t in names])
-        rows = [(doc, y, self.vector(terms)) for doc, terms, y, _ in examples]
-        silent = [y for _, y, (t, _) in rows if not len(t)]
+        self.idf = np.log((1 + len(copies)) / (1 + yes + no)) + 1
+        #: Of a term that no example holds.
+        self.new_idf = math.log(1 + len(copies)) + 1
+        self.telling = np.flatnonzero(g_statistic(yes, n1, no, len(copies) - n1) >= min_g)
+        silent = labels[lengths == 0]
         #: The share of label 1 among examples that hold no term: the score of a text that holds none.
-        self.silent = (sum(silent) + PRIOR * self.share) / (len(silent) + PRIOR)
-        rows = sorted((r for r in rows if len(r[2][0])), key=lambda r: (int(r[2][0][r[2][1].argmax()]), r[0]))
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.float64)
-        self.block, self.blocks = block, -(-len(rows) // block)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for k, (_, _, (terms, weights)) in enumerate(rows):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                postings[t].append((k, w))
-        self.at = {t: np.array([k for k, _ in p], np.int64) for t, p in postings.items()}
-        self.weight = {t: np.array([w for _, w in p]) for t, p in postings.items()}
-        #: Of each block: its terms, its examples' weights for them, and the greatest of each term.
-        self.opened = [self._block([r[2] for r in rows[k : k + block]]) for k in range(0, len(rows), block)]
-
-    @staticmethod
-    def _block(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        terms = np.unique(np.concatenate([t for t, _ in vectors]))
-        weights = np.zeros((len(vectors), len(terms)))
-        for k, (t, w) in enumerate(vectors):
-            weights[k, np.searchsorted(terms, t)] = w
-        return terms, weights, weights.max(axis=0)
+        self.silent = (float(silent.sum()) + PRIOR * self.share) / (len(silent) + PRIOR)
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        weights /= np.maximum(np.sqrt(np.bincount(row, weights**2, len(ids))), 1e-12)[row]
+        held = np.bincount(terms, minlength=len(names))
+        self.common = np.flatnonzero(held >= max(2, COMMON * len(ids)))
+        # of like examples side by side: by the telling-most of their common terms, and then by copies
+        leader = np.full(len(ids), len(names))
+        usual = np.flatnonzero(np.isin(terms, self.common))
+        usual = usual[np.lexsort((-weights[usual], row[usual]))]
+        some, first = np.unique(row[usual], return_index=True)
+        leader[some] = terms[usual[first]]
+        order = np.lexsort((ids, keys, leader))
+        order = order[lengths[order] > 0]
+        at = _ranges((np.cumsum(lengths) - lengths)[order], lengths[order])
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        self.lengths = lengths[order]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.terms, self.weights = terms[at].astype(np.int32), weights[at]
+        self.block, self.blocks = block, -(-len(order) // block)
+
+    def _postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.terms, kind="stable")
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)[order]
+        return np.searchsorted(self.terms[order], np.arange(len(self.term) + 1)), row, self.weights[order]
+
+    @property
+    def at(self) -> dict[int, np.ndarray]:
+        """Of each term, the examples that hold it."""
+        starts, row, _ = self._postings()
+        return {t: row[starts[t] : starts[t + 1]] for t in range(len(self.term))}
+
+    @property
+    def weight(self) -> dict[int, np.ndarray]:
+        """Of each term, its weights in these."""
+        starts, _, weight = self._postings()
+        return {t: weight[starts[t] : starts[t + 1]] for t in range(len(self.term))}
+
+    def _matrix(self, chosen: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the chosen terms by example, and the column of each term, -1 if it has none."""
+        column = np.full(len(self.term), -1, np.int32)
+        column[chosen] = np.arange(len(chosen))
+        out, own = np.zeros((len(self.ids), len(chosen)), kind), column[self.terms]
+        out[np.repeat(np.arange(len(self.ids)), self.lengths)[own >= 0], own[own >= 0]] = self.weights[own >= 0]
+        return out, column
+
+    def _open(self) -> None:
+        """Makes what lookups need, once in each process: it is not broadcast."""
+        if hasattr(self, "dense"):
+            return
+        self.dense, self.column = self._matrix(self.common, np.float32)
+        self.top = np.array([self.dense[k : k + self.block].max(axis=0) for k in range(0, len(self.ids), self.block)], np.float32)
+        self.posting, self.posted, self.posted_weight = self._postings()
+        self.said, self.said_column = self._matrix(self.telling, np.float64)
+        self.said /= np.maximum(np.linalg.norm(self.said, axis=1, keepdims=True), 1e-12)
+        #: Less than a step of the rounding in ``_told``, in the order of ids: ties go to the lower id.
+        self.late = np.argsort(np.argsort(self.ids, kind="stable")) * (1e-9 / (2 * len(self.ids)))
 
     def vector(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights, of length 1: (1 + log of the count) times the inverse document frequency."""
-        known = sorted((self.term[t], n) for t, n in terms.items() if t in self.term)
-        at = np.array([t for t, _ in known], np.int64)
+        """Numbers and weights of the terms that examples hold: (1 + log of the count) times the inverse document
+        frequency, over the length of the vector of all terms."""
+        known = [(k, n) for t, n in terms.items() if (k := self.term.get(t)) is not None]
+        new = np.array([n for t, n in terms.items() if t not in self.term], float) if len(known) < len(terms) else np.zeros(0)
+        at = np.array([k for k, _ in known], np.int64)
         weight = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at] if known else np.zeros(0)
-        return at, weight / max(np.linalg.norm(weight), 1e-12)
+        length = math.sqrt(weight @ weight + (((1 + np.log(new)) * self.new_idf) ** 2).sum())
+        return at, weight / max(length, 1e-12)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, the ``k`` examples of greatest cosine above 0, and the cosines; ties go to the lower id."""
-        step = max(1, QUERY_CELLS // max(1, len(self.term)))
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        self._open()
+        step = max(1, QUERY_CELLS // len(self.ids))
         return [found for a in range(0, len(queries), step) for found in self._nearest(queries[a : a + step], k)]
 
     def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        n = len(queries)
-        q, bound = np.zeros((n, len(self.term))), np.zeros((n, self.blocks))
-        for row, (at, weight) in enumerate(queries):
-            q[row, at] = weight
-        for b, (terms, _, top) in enumerate(self.opened):
-            bound[:, b] = q[:, terms] @ top
-        turns, ids = np.argsort(-bound, axis=1, kind="stable"), np.append(self.ids, np.iinfo(np.int64).max)
-        score, found = np.zeros((n, k)), np.full((n, k), len(self.ids))
-        left = np.arange(n)
-        for turn in range(self.blocks):
-            block = turns[left, turn]
-            high = bound[left, block]
-            go = (high > 0) & (high >= score[left, -1] - 1e-9)
-            left, block = left[go], block[go]
-            if not len(left):
-                break
-            for b in np.unique(block).tolist():
-                rows = left[block == b]
-                terms, weights, _ = self.opened[b]
-                own = np.round(q[np.ix_(rows, terms)] @ weights.T, 12)
-                better = own.max(axis=1) >= np.maximum(score[rows, -1], 1e-12)
-                rows, own = rows[better], own[better]
-                at = np.broadcast_to(b * self.block + np.arange(own.shape[1]), own.shape)
-                both, place = np.hstack([score[rows], own]), np.hstack([found[rows], at])
-                order = np.lexsort((ids[place], -both), axis=-1)[:, :k]
-                score[rows], found[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(place, order, 1)
-        return [(f[s > 0], s[s > 0]) for f, s in zip(found, score, strict=True)]
+        n, size = len(queries), len(self.ids)
+        row = np.repeat(np.arange(n), [len(at) for at, _ in queries])
+        term, weight = np.concatenate([at for at, _ in queries]), np.concatenate([w for _, w in queries])
+        column = self.column[term]
+        usual, rare = column >= 0, column < 0
+        q = np.zeros((n, len(self.common)), np.float32)
+        q[row[usual], column[usual]] = weight[usual]
+        length = self.posting[term[rare] + 1] - self.posting[term[rare]]
+        at = _ranges(self.posting[term[rare]], length)
+        cell = np.repeat(row[rare] * size, length) + self.posted[at]
+        score = np.bincount(cell, np.repeat(weight[rare], length) * self.posted_weight[at], n * size).astype(np.float32).reshape(n, size)
+        edges = np.arange(0, size, self.block)
+        bound = np.maximum.reduceat(score, edges, axis=1) + q @ self.top.T
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        exact = np.full(score.shape, -1, np.float32)
+        last = max(0, size - k)
+        kth = np.full(n, -1, np.float32)
+        for wanted in (first, None):
+            if wanted is None:
+                wanted = ~first & (bound >= kth[:, None] - MARGIN)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, here = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                exact[rows, here] = score[rows, here] + q[rows] @ self.dense[here].T
+            kth = np.partition(exact, last, axis=1)[:, last]
+        out, full = [], np.zeros(len(self.term))
+        for i, (at, w) in enumerate(queries):
+            near = np.flatnonzero(exact[i] >= max(kth[i] - MARGIN, 0))
+            if not len(near):
+                out.append((near, np.zeros(0)))
+                continue
+            full[at] = w
+            place = _ranges(self.starts[near], self.lengths[near])
+            length = self.lengths[near]
+            own = np.round(np.add.reduceat(full[self.terms[place]] * self.weights[place], np.cumsum(length) - length), 12)
+            full[at] = 0
+            order = np.lexsort((self.ids[near], -own))[:k]
+            order = order[own[order] > 0]
+            out.append((near[order], own[order]))
+        return out
+
+    def _told(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query, the votes for label 1 and all votes of the ``k`` examples nearest to it by telling terms alone."""
+        votes, of_all = np.zeros(len(queries)), np.zeros(len(queries))
+        if not len(self.ids):
+            return votes, of_all
+        self._open()
+        q = np.zeros((len(queries), len(self.telling)))
+        for i, (at, w) in enumerate(queries):
+            column = self.said_column[at]
+            q[i, column[column >= 0]] = w[column >= 0]
+        some = np.flatnonzero(q.any(axis=1))
+        k = min(k, len(self.ids))
+        for a in range(0, len(some), step := max(1, QUERY_CELLS // len(self.ids))):
+            rows = some[a : a + step]
+            score = np.round(q[rows] / np.linalg.norm(q[rows], axis=1, keepdims=True) @ self.said.T, 9)
+            near = np.argpartition(self.late - score, k - 1, axis=1)[:, :k]
+            weight = np.take_along_axis(score, near, 1)
+            votes[rows], of_all[rows] = (weight * self.labels[near]).sum(axis=1), weight.sum(axis=1)
+        return votes, of_all
 
     def vote(self, texts: list[Counter], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
-        """For each text: the share of label 1 among the nearest, each weighted by its similarity, and who they are."""
+        """For each text: a share of label 1, and its nearest examples.
+
+        The nearest vote by a power of their similarity, so that copies count and likeness of topic hardly
+        does; the nearest by telling terms vote beside them, and the overall share where few have a say.
+        """
         vectors = [self.vector(t) for t in texts]
         some = [i for i, (at, _) in enumerate(vectors) if len(at)]
         out: list[tuple[float, list[int], list[float]]] = [(self.silent, [], [])] * len(texts)
-        for i, (found, score) in zip(some, self.nearest([vectors[i] for i in some], k), strict=True):
-            share = (score @ self.labels[found] + PRIOR * self.share) / (score.sum() + PRIOR)
+        known = [vectors[i] for i in some]
+        for i, (found, score), said, all_said in zip(some, self.nearest(known, k), *self._told(known, k), strict=True):
+            weight = score**STEEP
+            share = (weight @ self.labels[found] + said + PRIOR * self.share) / (weight.sum() + all_said + PRIOR)
             out[i] = float(share), self.ids[found].tolist(), score.tolist()
         return out
 
@@ -175,9 +296,9 @@ def learn(
 ) -> Index:
     """Indexes at most about ``examples`` labelled rows outside the held-out fold.
 
-    Ids are sampled before any text is read; terms are counted and judged on the executors, so
-    only the telling terms of the examples reach the driver. Null labels and null ids are not
-    used; of an id with two labels, the greater holds.
+    Ids are sampled before any text is read; terms are counted on the executors and reach the
+    driver as Arrow columns. Null labels and null ids are not used; of an id with two labels,
+    the greater holds.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (label_split("__id", FOLDS) != HELD_FOLD)
@@ -187,39 +308,18 @@ def learn(
 
     def function():
         memo: dict[str, str] = {}
-        return lambda texts: ([list(term_counts(t, memo).items()) for t in texts], [copy_key(t) for t in texts])
 
-    kinds = [T.StructField("terms", T.MapType(T.StringType(), T.IntegerType())), T.StructField("key", T.LongType())]
+        def of(texts):
+            made = [term_counts(t, memo) for t in texts]
+            return [list(m) for m in made], [list(m.values()) for m in made], [copy_key(t) for t in texts]
+
+        return of
+
+    kinds = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("key", T.LongType())]
     counted = materialize(map_text(texts, function, kinds, "__text", ["__id", "__label"]), "examples")
-    slim = counted
-    if min_g:
-        telling = [r[0] for r in _telling(counted, min_g).collect()]
-        slim = counted.withColumn("terms", F.map_filter("terms", lambda term, _: term.isin(telling)))
-    rows = sorted(slim.collect(), key=lambda r: (r[0], r["key"]))
+    rows = counted.toArrow()
     release(counted)
-    return Index([(r[0], Counter(r["terms"]), int(r["__label"] > 0), r["key"]) for r in rows], min_g)
-
-
-def _telling(counted: DataFrame, min_g: float) -> DataFrame:
-    """The terms of the examples whose ``g_statistic`` is ``min_g`` or more, copies counted as one document."""
-    yes = F.col("__label") > 0
-    copies = counted.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.count_if(yes).alias("positive"))
-    total, n1 = copies.agg(F.count(F.lit(1)), F.sum(F.col("positive") / F.col("copies"))).first()
-    n1 = n1 or 0.0
-    n0 = total - n1
-    share = 1 / F.col("copies")
-    held = (
-        counted.join(copies, "key")
-        .select(F.explode(F.map_keys("terms")).alias("term"), F.when(yes, share).otherwise(0.0).alias("a"), F.when(yes, 0.0).otherwise(share).alias("b"))
-        .groupBy("term")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    )
-    a, b = F.col("a"), F.col("b")
-    cells = ((a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (total - a - b)), (n0 - b, n0 * (total - a - b)))
-    g = F.lit(0.0)
-    for x, e in cells:
-        g = g + F.when((x > LEAST_CELL) & (e > LEAST_CELL), 2 * x * F.ln(x * total / e)).otherwise(0.0)
-    return held.where((a * n0 >= b * n1) & (g >= min_g * (1 - 1e-9))).select("term")
+    return Index.of_table(rows, min_g)
 
 
 def score(
@@ -228,7 +328,7 @@ def score(
     """``carry``, ``score`` (0 to 1), ``predicted`` and the neighbours behind it, nearest first.
 
     ``neighbours`` holds the examples' ids and similarities: the evidence. A null or empty text,
-    and any that holds no indexed term, scores what such examples do. Whole texts count. Rows are
+    and any of which no example holds a term, scores what such examples do. Whole texts count. Rows are
     kept as they are, without a shuffle; input columns named like an output are replaced. The
     index holds a bounded number of examples, so its broadcast is bounded too.
     """

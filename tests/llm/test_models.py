@@ -113,6 +113,19 @@ def test_nearest_examples_are_exact():
         assert np.allclose(score, full[order]) and np.allclose(full[found], score)
 
 
+def test_copy_without_telling_terms_is_nearest():
+    rand = random.Random(7)
+    kinds = [f"t{k}" for k in range(4000)]
+    texts = [prose(rand, 60, kinds) for _ in range(300)]
+    examples = [(k, toxicity.term_counts(t, {}), int(k % 10 == 0), toxicity.copy_key(t)) for k, t in enumerate(texts)]
+    index = toxicity.Index(examples)  # production parameters
+    assert len(index.ids) == 300 and len(index.term) == len({t for _, terms, *_ in examples for t in terms})
+    assert not len(index.telling)
+    (toxic, near, similar), (clean, *_), (mixed, mixed_near, _) = index.vote([examples[20][1], examples[21][1], toxicity.term_counts(texts[20] + " new", {})])
+    assert near[0] == mixed_near[0] == 20 and abs(similar[0] - 1) < 1e-9 and len(near) == toxicity.NEIGHBOURS
+    assert toxic >= toxicity.CUT and mixed >= toxicity.CUT and clean < toxicity.CUT
+
+
 def test_toxic_words_are_found(spark, odd, empty):
     rand = random.Random(8)
     kinds, bad = [f"w{k}" for k in range(500)], ["vile", "scum"]
