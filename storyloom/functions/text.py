@@ -117,10 +117,10 @@ def translatable(text: Column) -> Column:
 
 
 def mode_share(text: Column) -> Column:
-    """The share of the commonest character."""
-    chars = F.split(text, "")
-    most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c))))
-    return most / F.length(text)
+    """The share of the commonest character: the longest run once all are in order."""
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return F.array_max(F.transform(runs, lambda r: F.length(r))) / F.length(text)
 
 
 def repeats_itself(text: Column, most: float = 0.6) -> Column:

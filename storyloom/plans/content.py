@@ -72,6 +72,15 @@ def repeat_garbage(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.repeats_itself(F.left("text", F.lit(200)), 0.15).alias("repeats"))
 
 
+@query("""
+WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) >= 5),
+modes AS (SELECT doc_id, max(n) AS most, sum(n) AS total FROM (SELECT doc_id, ch, count(*) AS n FROM chars GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, coalesce(most >= 0.15 * total, false) AS repeats FROM documents LEFT JOIN modes USING (doc_id)""")
+def repeat_garbage_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts are judged; ``repeat_garbage`` sees their first 200 characters, as its SQL does."""
+    return docs(spark, d).select("doc_id", text.repeats_itself(F.col("text"), 0.15).alias("repeats"))
+
+
 @query()
 def title_cleaning(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)

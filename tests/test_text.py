@@ -54,3 +54,21 @@ def test_clean_content(spark):
     given = "第一章 测试\n\n上一章 返回目录\n真正的正文内容开始了，这里是小说正文。（本章未完，请翻页）\n。。。。。。。。。。。。\nabcdefghijklmnopqrstuvwxyz\n哈\n第二段正文继续。\r\n"
     assert one(spark, given, text.clean_content) == "第一章 测试\n真正的正文内容开始了，这里是小说正文。\n第二段正文继续。"
     assert one(spark, None, text.clean_content) == ""
+
+
+def test_repeats_are_judged_on_whole_texts(spark):
+    varied = "".join(map(chr, range(0x4E00, 0x4E00 + 250)))
+    share = lambda c: text.repeats_itself(c, 0.15)
+    assert one(spark, varied + "z" * 100, share) and not one(spark, varied + "z" * 10, share)
+    assert not one(spark, "z" * 40 + varied, share)
+    assert one(spark, "\n" * 15 + varied[:42] + "\U0001f642" * 43, lambda c: text.mode_share(c)) == 0.43
+    assert not one(spark, "zzzz", share) and not one(spark, None, share)
+
+
+def test_repeat_garbage_whole_takes_all_of_a_text(spark, tmp_path):
+    from storyloom.plans import QUERIES
+
+    varied = "".join(map(chr, range(0x4E00, 0x4E00 + 250)))
+    rows = [(1, varied + "z" * 100), (2, "z" * 40 + varied)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(map(tuple, QUERIES["repeat_garbage_whole"](spark, str(tmp_path)).collect())) == {1: True, 2: False}
