@@ -76,6 +76,12 @@ BAD_TITLE_PATTERNS = (
 TITLE_EDGES = "·…。.!！?？,，;；:：\""
 #: The tags that stay in text shown as HTML.
 SAFE_TAGS = ("p", "br", "b", "i", "u", "em", "strong", "span", "blockquote", "ul", "ol", "li")
+#: What a page of a challenge or a refusal says near its start.
+BLOCK_MARKERS = (
+    "captcha", "verify you are a human", "请完成安全验证", "access denied", "403 forbidden", "request blocked",
+    "浏览器安全检查", "请启用javascript", "please enable javascript", "ddos", "cloudflare", "challenge-platform",
+    "您的ip已被", "访问过于频繁", "too many requests",
+)
 #: Fixed value: strings that the translator leaves alone.
 NOT_WORDS = r"^[\s\d\p{P}\p{S}]*$"
 
@@ -258,7 +264,7 @@ def public_url(url: Column) -> Column:
     return F.coalesce(url.rlike("^(?i)https?://") & (host != "") & (host != "localhost") & ~private, F.lit(False))
 
 
-def blocked(html: Column, markers: Sequence[str]) -> Column:
+def blocked(html: Column, markers: Sequence[str] = BLOCK_MARKERS) -> Column:
     """A page too short to be one, or with a marker of a challenge near its start."""
     head = F.lower(F.substring(html, 1, 2000))
     found = F.lit(False)

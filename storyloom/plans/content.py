@@ -192,4 +192,4 @@ def html_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, length(html) < 100 OR contains(lower(left(html, 2000)), 'captcha') OR contains(lower(left(html, 2000)), 'access denied') AS blocked FROM pages")
 def block_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", text.blocked(F.col("html"), ("captcha", "access denied")).alias("blocked"))
+    return pages(spark, d).select("page_id", text.blocked(F.col("html")).alias("blocked"))

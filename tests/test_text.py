@@ -72,3 +72,16 @@ def test_repeat_garbage_whole_takes_all_of_a_text(spark, tmp_path):
     rows = [(1, varied + "z" * 100), (2, "z" * 40 + varied)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert dict(map(tuple, QUERIES["repeat_garbage_whole"](spark, str(tmp_path)).collect())) == {1: True, 2: False}
+
+
+def test_block_pages_know_every_marker(spark, tmp_path):
+    from storyloom.plans import QUERIES
+
+    markers = [
+        "captcha", "verify you are a human", "请完成安全验证", "access denied", "403 forbidden", "request blocked", "浏览器安全检查",
+        "请启用javascript", "please enable javascript", "ddos", "cloudflare", "challenge-platform", "您的ip已被", "访问过于频繁", "too many requests",
+    ]
+    rows = [(k, "x" * 300 + m.upper()) for k, m in enumerate(markers)] + [(90, "x" * 300), (91, "x" * 2000 + "captcha"), (92, "x")]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = dict(map(tuple, QUERIES["block_pages"](spark, str(tmp_path)).collect()))
+    assert [k for k, blocked in found.items() if not blocked] == [90, 91]
