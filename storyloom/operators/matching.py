@@ -15,6 +15,8 @@ GENRE_WORDS = (
     "修真", "历史", "游戏", "空间", "惊悚", "官场", "魔法",
 )
 CATEGORY_IN_NAME, NAME_IN_CATEGORY, SHARED_WORD, LEAST_CATEGORY = 10, 5, 3, 3
+#: Fixed value: how many characters of a string are looked up in those that may hold it.
+KEY = 16
 SAME_TITLE, PART_TITLE, SAME_AUTHOR, PART_AUTHOR, LEAST_MATCH = 50, 30, 40, 20, 30
 
 
@@ -56,6 +58,53 @@ def best_candidates(wanted: DataFrame, found: DataFrame, block: str, size: int =
     return first_per_key(pairs.where(F.col("score") >= LEAST_MATCH), "id", [F.desc("score"), F.asc("position")], size)
 
 
+def _contained(short: DataFrame, inner: str, long: DataFrame, outer: str) -> DataFrame:
+    """Pairs of which the one string holds the other: keyed by the inner one's first characters, then compared whole."""
+    pieces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.length(outer)),
+            lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(outer) - at + 1)), lambda n: F.substr(F.col(outer), at, n)),
+        )
+    )
+    keyed = long.where(F.col(outer) != "").select(outer, F.explode(F.array_distinct(pieces)).alias("__key"))
+    starts = short.where(F.col(inner) != "").select(inner, F.left(inner, F.lit(KEY)).alias("__key"))
+    return keyed.join(starts, "__key").where(F.col(outer).contains(F.col(inner))).drop("__key")
+
+
+def _related(wanted: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Distinct strings of both sides of which one is, or holds, the other."""
+    ours, theirs = wanted.select(name).distinct(), found.select(f"found_{name}").distinct()
+    within = _contained(ours, name, theirs, f"found_{name}").unionByName(_contained(theirs, f"found_{name}", ours, name))
+    return within.distinct()
+
+
+def best_matches(wanted: DataFrame, found: DataFrame, size: int = 1) -> DataFrame:
+    """For each wanted ``id``, the best ``size`` of all candidates, by score and then ``position``.
+
+    Only what agrees in title or has the same author can reach the least score, so nothing else is
+    paired. Of candidates that score at least as well as a later one in the same group (one title,
+    one author, or both), only the first ``size`` can be among the best; equal titles and authors
+    are scored once.
+    """
+    ours = wanted.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author")])
+    theirs = found.select("position", *[F.coalesce(c, F.lit("")).alias(c) for c in ("found_title", "found_author")])
+    pairs = ours.select("title", "author").distinct()
+    kept = first_per_key(theirs, ["found_title", "found_author"], [F.asc("position")], size)
+    of_title, of_author = (first_per_key(kept, c, [F.asc("position")], size) for c in ("found_title", "found_author"))
+    titles, authors = _related(pairs, kept, "title"), _related(pairs, kept, "author")
+    alike = pairs.join(titles, "title")
+    columns = ("title", "author", "position", "found_title", "found_author")
+    chosen = (
+        alike.join(of_title, "found_title").select(*columns)
+        .unionByName(alike.join(authors, "author").join(kept, ["found_title", "found_author"]).select(*columns))
+        .unionByName(pairs.where(F.col("author") != "").join(of_author, F.col("author") == F.col("found_author")).select(*columns))
+        .distinct()
+        .withColumn("score", match_score(*[F.col(c) for c in ("title", "author", "found_title", "found_author")]))
+    )
+    best = first_per_key(chosen.where(F.col("score") >= LEAST_MATCH), ["title", "author"], [F.desc("score"), F.asc("position")], size)
+    return ours.join(best, ["title", "author"])
+
+
 def unknown_items(catalog: DataFrame, known: DataFrame) -> DataFrame:
     """Items of which neither the address nor the pair of title and place is known: two anti-joins."""
     addresses = known.where(F.col("url").isNotNull()).select("url")

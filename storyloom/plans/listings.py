@@ -232,6 +232,23 @@ def candidate_scoring(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_candidates(wanted, found, "p_size", 3).select("id", "position", "score")
 
 
+@query("""
+WITH wanted AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author FROM part),
+found AS (SELECT p_partkey AS position, left(p_name, 8) AS found_title, p_brand AS found_author FROM part),
+scored AS (
+  SELECT id, position, CASE WHEN title = found_title THEN 50 WHEN contains(title, found_title) OR contains(found_title, title) THEN 30 ELSE 0 END
+         + CASE WHEN author = found_author THEN 40 WHEN contains(author, found_author) OR contains(found_author, author) THEN 20 ELSE 0 END AS score
+  FROM wanted, found)
+SELECT id, position, score FROM scored WHERE score >= 30
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, position) <= 3""")
+def candidate_scoring_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every title against every candidate; ``candidate_scoring`` takes a tenth of them and only those of equal size, as its SQL does."""
+    parts = c.table(spark, d, "part")
+    wanted = parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
+    found = parts.select(F.col("p_partkey").alias("position"), F.left("p_name", F.lit(8)).alias("found_title"), F.col("p_brand").alias("found_author"))
+    return matching.best_matches(wanted, found, 3).select("id", "position", "score")
+
+
 @query(V("""
 , catalog AS (SELECT id AS url, CAST(part_id AS VARCHAR) AS title, sort_order AS place, novel_id FROM chapter),
 known AS (SELECT l.id AS url, CAST(l.part_id AS VARCHAR) AS title, l.sort_order AS place FROM chapter l WHERE l.updated_at < TIMESTAMP '1995-01-01')

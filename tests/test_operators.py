@@ -57,6 +57,26 @@ def test_match_score(spark):
     assert [score("t", "a", "t", "a"), score("t", "a", "xtx", "b"), score("t", "a", "", "")] == [90, 30, 0]
 
 
+def test_best_matches_are_those_of_all_pairs(spark):
+    import random
+
+    rand = random.Random(5)
+    titles, authors = ["", None, "ab", "abc", "b", "xabcx", "q" * 20, "q" * 25, "r", "a%b"], ["", None, "Ann", "An", "Bo", "Ann Bo", "Cy"]
+    ours = [(k, rand.choice(titles), rand.choice(authors)) for k in range(60)]
+    theirs = [(k, rand.choice(titles), rand.choice(authors)) for k in range(90)]
+
+    def agree(a, b, whole, part):
+        return 0 if not a or not b else whole if a == b else part if a in b or b in a else 0
+
+    want = []
+    for i, t, a in ours:
+        scored = sorted((-(agree(t, u, 50, 30) + agree(a, b, 40, 20)), p) for p, u, b in theirs)
+        want += [(i, p, -s) for s, p in scored[:3] if -s >= 30]
+    wanted = spark.createDataFrame(ours, "id int, title string, author string")
+    found = spark.createDataFrame(theirs, "position int, found_title string, found_author string")
+    assert values(matching.best_matches(wanted, found, 3).select("id", "position", "score"), "id", "position") == sorted(want)
+
+
 def test_batch_append(spark):
     old = spark.createDataFrame([("n", 7)], "novel_id string, sort_order int")
     new = spark.createDataFrame([("n", 1, "第1章", "正文"), ("n", 2, "12", ""), ("n", 3, "第2章", None)], "novel_id string, position int, title string, content string")
