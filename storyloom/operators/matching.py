@@ -112,8 +112,10 @@ def unknown_items(catalog: DataFrame, known: DataFrame) -> DataFrame:
     return catalog.join(addresses, "url", "left_anti").join(places, ["title", "place"], "left_anti")
 
 
-def translated(rows: DataFrame, text: str, cache: DataFrame, language: str) -> DataFrame:
-    """Looks texts up by hash and language; what the cache lacks stays as it is."""
-    own = cache.where(F.col("target_lang") == language).select(F.col("source_hash").alias("__hash"), "translated_text")
-    keyed = rows.withColumn("__hash", F.sha2(F.col(text), 256)).join(own, "__hash", "left")
-    return keyed.withColumn("shown", F.coalesce("translated_text", F.col(text))).withColumn("hit", F.col("translated_text").isNotNull()).drop("__hash", "translated_text")
+def translated(rows: DataFrame, text: str, cache: DataFrame, language: str | Column) -> DataFrame:
+    """Looks texts up by hash and target language, one for all rows or one of each row; what the cache lacks stays as it is."""
+    own = cache.select(F.col("source_hash").alias("__hash"), F.col("target_lang").alias("__lang"), "translated_text")
+    wanted = F.lit(language) if isinstance(language, str) else language
+    keyed = rows.withColumn("__hash", F.sha2(F.col(text), 256)).withColumn("__lang", wanted).join(own, ["__hash", "__lang"], "left")
+    shown = keyed.withColumn("shown", F.coalesce("translated_text", F.col(text))).withColumn("hit", F.col("translated_text").isNotNull())
+    return shown.drop("__hash", "__lang", "translated_text")

@@ -297,6 +297,20 @@ def translation_lookup(spark: SparkSession, d: str) -> DataFrame:
     return shown.select("doc_id", "lang", F.left("shown", F.lit(40)).alias("shown"), "hit")
 
 
+@query("""
+WITH cached AS (SELECT DISTINCT sha256(text) AS source_hash, lang, '[' || text || ']' AS translated_text FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, lang, sha256(coalesce(translated_text, text)) AS shown_sha, CAST(length(coalesce(translated_text, text)) AS INT) AS shown_length, translated_text IS NOT NULL AS hit
+FROM (SELECT *, sha256(text) AS source_hash FROM documents) LEFT JOIN cached USING (source_hash, lang)""")
+def translation_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of every language; ``translation_lookup`` looks up one language and shows 40 characters, as its SQL does."""
+    docs = c.table(spark, d, "documents").select("doc_id", "lang", "text")
+    cached = docs.where(F.col("doc_id") % 2 == 0).select(
+        F.sha2("text", 256).alias("source_hash"), F.col("lang").alias("target_lang"), F.concat(F.lit("["), "text", F.lit("]")).alias("translated_text")
+    ).dropDuplicates(["source_hash", "target_lang"])
+    shown = matching.translated(docs, "text", cached, F.col("lang"))
+    return shown.select("doc_id", "lang", F.sha2("shown", 256).alias("shown_sha"), F.length("shown").alias("shown_length"), "hit")
+
+
 @query(V("""
 SELECT n.id, n.title, coalesce(min(b.category), '-') AS first_category, count(b.category) AS categories
 FROM novel n LEFT JOIN novel_category b ON b.novel_id = n.id GROUP BY n.id, n.title""", c.NOVEL_SQL, c.BRIDGE_SQL))

@@ -57,6 +57,16 @@ def test_match_score(spark):
     assert [score("t", "a", "t", "a"), score("t", "a", "xtx", "b"), score("t", "a", "", "")] == [90, 30, 0]
 
 
+def test_translations_are_looked_up_by_text_and_language(spark):
+    long = "x" * 100
+    rows = spark.createDataFrame([(1, long, "de"), (2, long, "fr"), (3, long, "es"), (4, "y", "de"), (5, None, None)], "id int, text string, lang string")
+    cache = spark.createDataFrame([(long, "de", "D" * 90), (long, "fr", "F" * 90), ("z", "de", "Z")], "source string, target_lang string, translated_text string")
+    cache = cache.withColumn("source_hash", F.sha2("source", 256))
+    found = matching.translated(rows, "text", cache, F.col("lang")).select("id", "shown", "hit")
+    assert values(found, "id") == [(1, "D" * 90, True), (2, "F" * 90, True), (3, long, False), (4, "y", False), (5, None, False)]
+    assert values(matching.translated(rows, "text", cache, "fr").select("id", "hit"), "id") == [(1, True), (2, True), (3, True), (4, False), (5, False)]
+
+
 def test_best_matches_are_those_of_all_pairs(spark):
     import random
 
