@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +72,8 @@ class Seeds:
             n = min(seed_words, len(ids))
             for h in self.hashes(ids, n).tolist():
                 found[n][h].add(i)
+        #: Items of one seed: two of any kind cannot be asked of them.
+        self.single = [i for n, seeds in found.items() for i, k in Counter(i for of in seeds.values() for i in of).items() if k == 1]
         for n, seeds in found.items():
             keys = np.array(sorted(seeds), np.uint64)
             self.by_length[n] = keys, [sorted(seeds[k]) for k in keys.tolist()]
@@ -141,7 +143,7 @@ def leaks(
     Gives the document's id, ``item_id``, ``score`` (0 to 1), and the words of the document
     that align, ``start_word`` to ``end_word``. Words are in lower case and parted by white
     space. Documents are compared with an item where they share a rare seed, or two seeds of any
-    kind, so a passage that very many documents hold is still found. All places of a document
+    kind (one, if the item has no more), so a passage that very many documents hold is still found. All places of a document
     are aligned; the best one of each pair is returned.
 
     Null and empty texts, and items without words, match nothing; rows that share a document id
@@ -163,7 +165,8 @@ def leaks(
 
 def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, seed_words: int, rare_share: float) -> DataFrame:
     context = source.sparkSession.sparkContext
-    seeds = context.broadcast(Seeds(items, seed_words))
+    made = Seeds(items, seed_words)
+    seeds, single = context.broadcast(made), made.single
     hits = map_text(source, lambda: lambda texts: (seeds.value.hits(texts),), [T.StructField("hits", _HIT)], "__text", ["__id"])
     hits = materialize(hits.where(F.size("hits") > 0).select("__id", F.inline("hits")), "seed-hits")
 
@@ -172,7 +175,7 @@ def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, se
     spread = held.select("__id", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
     rare = F.col("docs") <= max(1.0, rare_share * total)
     pairs = held.join(spread, "seed").groupBy("__id", "item_id").agg(F.max(rare).alias("rare"), F.count(F.lit(1)).alias("seeds"))
-    chosen = hits.join(pairs.where("rare OR seeds > 1").select("__id", "item_id"), ["__id", "item_id"])
+    chosen = hits.join(pairs.where(F.col("rare") | (F.col("seeds") > 1) | F.col("item_id").isin(single)).select("__id", "item_id"), ["__id", "item_id"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

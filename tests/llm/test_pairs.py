@@ -57,6 +57,12 @@ def test_leaks_are_found_and_others_left_alone(leaky, chars):
     assert whole.score == 1 and (whole.start_word, whole.end_word) == (1, len(texts[1000]) - 1)
 
 
+def test_common_short_items_are_found(spark):
+    docs = spark.createDataFrame([(k, f"a{k} tiny item b{k}") for k in range(20)] + [(99, "no such thing")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "tiny item"), (2, "tiny tiny tiny tiny tiny tiny")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(k, 1) for k in range(20)}
+
+
 def test_leaks_of_odd_tables(odd, empty, leaky):
     docs, items, _ = leaky
     assert decontam.leaks(empty, items).count() == 0
