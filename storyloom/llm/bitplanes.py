@@ -10,13 +10,15 @@ On disk, in one folder:
   the shard), ``n_ids``, ``planes`` (compressed, one after another), ``plane_ends`` and ``docs``
   (which documents' ids it holds, and where);
 * ``index``: the chunk index, a row for each block without the payload, with the block's
-  ``start`` among all ids.
+  ``start`` among all ids. ``read`` takes the starts of documents from it, and ``span`` the blocks
+  that hold some range of ids, so that no others are opened.
 
 The files are written by Spark's committer, so a lost executor leaves no half file behind.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoders
+from .common import slices
 
 BLOCK_IDS = 65_536
 #: Byte planes came out smaller than bit planes here, and faster both ways.
 KIND = "byte"
-#: Rows encoded at once.
+#: Texts encoded at once, if they are short.
 ROWS = 2048
 
 _BLOCKS = (
@@ -104,9 +107,9 @@ def write(
 
         encoder = encoders.opened(encoders.ByteLevel, vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            for at, n in slices(batch.column(1), ROWS):
+                part = batch.slice(at, n)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids, taken = ids + end, 0
                     total = len(ids) // 4
                     while taken < total:
@@ -119,6 +122,7 @@ def write(
                     place += total
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     spark = docs.sparkSession
     ordered.mapInArrow(blocks, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
@@ -135,12 +139,12 @@ def _shard_starts(blocks: DataFrame) -> DataFrame:
     return totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
 
 
-def read(spark: SparkSession, path: str, kind: str = KIND) -> DataFrame:
-    """The documents in the files: doc_id, start (ids before it), n_tokens, ids.
+def read(spark: SparkSession, path: str, kind: str = KIND, with_ids: bool = True) -> DataFrame:
+    """The documents in the files: doc_id, start (ids before it), n_tokens, ids_crc32 and ids.
 
-    ``ids`` holds little-endian unsigned 32-bit integers. The compressed blocks of a shard are
-    brought together in order, so each is opened once, and a document that lies across blocks is
-    put together as they pass by.
+    ``ids`` holds little-endian unsigned 32-bit integers, and can be left out. The compressed
+    blocks of a shard are brought together in order, so each is opened once, and a document that
+    lies across blocks is put together as they pass by. Starts come from the chunk index.
     """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +153,11 @@ def read(spark: SparkSession, path: str, kind: str = KIND) -> DataFrame:
         unpress = zstandard.ZstdDecompressor().decompress
         held: list[bytes] = []
 
-        def rows(shard: int, docs: pa.StructArray, ids: pa.Array) -> pa.RecordBatch:
+        def rows(shard: int, docs: pa.StructArray, ids: list[bytes]) -> pa.RecordBatch:
             fields = [docs.field(c) for c in ("doc_id", "doc_start", "doc_tokens")]
-            return pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int32()), *fields, ids], names=["shard", "doc_id", "doc_start", "n_tokens", "ids"])
+            made = [pa.array([shard] * len(docs), pa.int32()), *fields, pa.array(list(map(zlib.crc32, ids)), pa.int64())]
+            made += [pa.array(ids, pa.binary())] * with_ids
+            return pa.RecordBatch.from_arrays(made, names=["shard", "doc_id", "doc_start", "n_tokens", "ids_crc32", "ids"][: len(made)])
 
         for batch in batches:
             shards, counts, ends = (batch.column(c).to_pylist() for c in ("shard", "n_ids", "plane_ends"))
@@ -164,16 +170,41 @@ def read(spark: SparkSession, path: str, kind: str = KIND) -> DataFrame:
                 for d in part:
                     held.append(ids[4 * at[d] : 4 * (at[d] + length[d])])
                     if piece[d] + length[d] == total[d]:
-                        yield rows(shards[k], docs.slice(d, 1), pa.array([b"".join(held)], pa.binary()))
+                        yield rows(shards[k], docs.slice(d, 1), [b"".join(held)])
                         held.clear()
                     low, high = (d + 1, high) if d == 0 else (low, d)
                 if high > low:
-                    cuts = np.r_[at[low:high], at[high - 1] + length[high - 1]].astype(np.int32) * 4
-                    whole = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
-                    yield rows(shards[k], docs.slice(low, high - low), whole)
+                    cuts = [4 * x for x in (*at[low:high].tolist(), int(at[high - 1] + length[high - 1]))]
+                    yield rows(shards[k], docs.slice(low, high - low), [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
-    starts = F.broadcast(_shard_starts(blocks.select("shard", "n_ids")))
+    blocks, index = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/index")
+    # A row for each task that wrote, so it can be broadcast.
+    starts = F.broadcast(index.where("block = 0").select("shard", F.col("start").alias("shard_start")))
     ordered = blocks.repartitionByRange("shard").sortWithinPartitions("shard", "block")
-    found = ordered.mapInArrow(documents, "shard int, doc_id bigint, doc_start bigint, n_tokens bigint, ids binary")
-    return found.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("doc_start")).alias("start"), "n_tokens", "ids")
+    columns = "shard int, doc_id bigint, doc_start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+    found = ordered.mapInArrow(documents, columns).join(starts, "shard")
+    more = ["ids"] * with_ids
+    return found.select("doc_id", (F.col("shard_start") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32", *more)
+
+
+def span(spark: SparkSession, path: str, start: int, n: int, kind: str = KIND) -> DataFrame:
+    """The ids from place ``start`` among all ids on, ``n`` of them at most: rows of ``start`` and ``ids``.
+
+    The chunk index names the blocks; only these are opened, each by itself.
+    """
+    chunks = spark.read.parquet(f"{path}/index").where((F.col("start") < start + n) & (F.col("start") + F.col("n_ids") > start))
+    blocks = spark.read.parquet(f"{path}/blocks").select("shard", "block", "planes").join(chunks, ["shard", "block"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends = row["plane_ends"]
+                ids = restore([unpress(row["planes"][a:b]) for a, b in zip([0, *ends], ends, strict=False)], row["n_ids"], kind)
+                low, high = max(0, start - row["start"]), min(row["n_ids"], start + n - row["start"])
+                made = pa.array([row["start"] + low], pa.int64()), pa.array([ids[low:high].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(made), names=["start", "ids"])
+
+    return blocks.select("start", "n_ids", "plane_ends", "planes").mapInArrow(cut, "start bigint, ids binary")

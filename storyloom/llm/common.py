@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that a text function sees at once.
-SLICE_ROWS = 512
+#: Rows of an Arrow batch that a text function sees at once, and their bytes but for a single longer text.
+SLICE_ROWS, SLICE_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +99,17 @@ def kept(key: object, make: Callable[[], object]):
     return _kept[key]
 
 
+def slices(texts: pa.Array, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows, at most ``rows`` and, but for a single longer text, ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + size, "right"))
+        n = min(max(1, upto - at), rows, len(ends) - at)
+        yield at, n
+        at += n
+
+
 def map_text(
     df: DataFrame,
     function: Callable[[], Callable[[list[str | None]], Sequence[Sequence]]],
@@ -109,7 +122,8 @@ def map_text(
 
     ``function()`` runs once a task and returns a function from a list of texts (or None) to
     one list for each of ``fields``. Columns in ``carry`` go through as they are; one that
-    clashes with an output column gives way to the output.
+    clashes with an output column gives way to the output. A slice of very long texts holds
+    fewer rows, so memory follows the longest text and not the number of long ones.
     """
     names = [f.name for f in fields]
     carry = [c for c in dict.fromkeys(carry) if c not in names]
@@ -123,8 +137,8 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = function()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for at, n in slices(batch.column("__text"), slice_rows):
+                part = batch.slice(at, n)
                 made = of(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in carry] + [pa.array(v, type=t) for v, t in zip(made, arrow, strict=True)],

@@ -1,8 +1,9 @@
-"""Whole-text encoding by public tokenizers, with a memo of pieces met before.
+"""Whole-text encoding by public tokenizers, with a memo of chunks met before.
 
 The libraries split a text at places that no merge crosses, so a text's ids are the ids of
-its pieces in order. Most pieces repeat; the memo holds the ids the library gave for each.
-A text for which the cut is not certain to be exact goes through the library whole.
+its chunks in order. Most chunks repeat; the memo holds the ids the library gave for each, and
+new words are given to it many at once. A text for which the cut is not certain to be exact goes
+through the library whole.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-#: The pattern by which byte-level BPE of this family splits text (fixed value).
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The pattern of the tokenizer with word ends (fixed value).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces a memo holds before it starts again: bounds a Python worker's memory.
-MEMO_PIECES = 500_000
-#: Below this code point, NFC and lower case are the same in every version of Unicode.
+#: Chunks a memo holds before it starts again: bounds a Python worker's memory.
+MEMO_CHUNKS = 500_000
+#: New words that are encoded in one call of the library.
+JOINED = 64
+#: Below this code point, letters and their normal forms are the same in every version of Unicode.
 STABLE_BELOW = "ɐ"
-#: Stands before a text's first chunk, which no space precedes.
+#: Stands before a chunk that no space precedes.
 HEAD = "\ue000"
 
 _spaces = "[ \t\n\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A mark right after a letter starts a piece of its own.
+_mark_after_letter = r"([A-Za-z])([.,;:!?)])"
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,7 +46,7 @@ def opened(kind: type, path: str):
 class Memo:
     """What was learned of strings, in two generations: what is still met moves to the young one.
 
-    Holds about ``MEMO_PIECES`` entries at most, and forgets those that were not met for longest.
+    Holds about ``MEMO_CHUNKS`` entries at most, and forgets those that were not met for longest.
     """
 
     def __init__(self):
@@ -65,24 +66,30 @@ class Memo:
         return found, missing
 
     def put(self, keys: list[str], values: list[bytes]) -> None:
-        if len(self.young) > MEMO_PIECES // 2:
+        if len(self.young) > MEMO_CHUNKS // 2:
             self.old, self.young = self.young, {}
         self.young.update(zip(keys, values, strict=True))
 
 
 class _Encoder:
-    """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers."""
+    """``encode(texts)``: the ids of each text as little-endian unsigned 32-bit integers.
 
-    pattern: str
+    ``edge`` tells, of each id, whether it can only stand at one end of a word: at the last piece
+    if ``closes``, else at the first. So words that were encoded together are told apart.
+    """
+
+    closes: bool
+    edge_mark: str
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(self.pattern).findall
-        self.chunks, self.pieces = Memo(), Memo()
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
+        for token, k in self.library.get_vocab().items():
+            self.edge[k] = token.endswith(self.edge_mark) if self.closes else token.startswith(self.edge_mark)
+        self.chunks = Memo()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -95,15 +102,24 @@ class _Encoder:
     def cut(self, texts: pa.Array) -> pa.ListArray:
         raise NotImplementedError
 
-    def sub_pieces(self, chunk: str) -> list[str]:
+    def text_of(self, chunk: str) -> str:
+        """What the library is given for a chunk alone."""
+        raise NotImplementedError
+
+    def is_word(self, chunk: str) -> bool:
+        """Whether it is sure to be one piece also between other words."""
         raise NotImplementedError
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        array = pa.array([t or "" for t in texts], pa.large_string())
-        unsure = self.uncertain(array)
-        out = self.by_chunks(array.filter(pc.invert(unsure)))
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        unsure = self.uncertain(texts)
+        if not pc.any(unsure).as_py():
+            return self.by_chunks(texts)
+        out = self.by_chunks(texts.filter(pc.invert(unsure)))
         at = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
-        for k, ids in zip(at.tolist(), self.whole([texts[k] for k in at]) if len(at) else [], strict=True):
+        for k, ids in zip(at.tolist(), self.whole(texts.filter(unsure).to_pylist()), strict=True):
             out.insert(k, ids)
         return out
 
@@ -112,8 +128,12 @@ class _Encoder:
         coded = lists.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         found, new = self.chunks.look(distinct)
-        for k, ids in zip(new, self.learn([distinct[k] for k in new]), strict=True):
-            found[k] = ids
+        if new:
+            keys = [distinct[k] for k in new]
+            values = self.learn(keys)
+            self.chunks.put(keys, values)
+            for k, ids in zip(new, values, strict=True):
+                found[k] = ids
         ids = pa.array(found, pa.large_binary()).take(coded.indices)
         _, offsets, data = ids.buffers()
         ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1][lists.offsets.to_numpy()].tolist()
@@ -121,50 +141,71 @@ class _Encoder:
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def learn(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.sub_pieces(c) for c in chunks]
-        distinct = list({p for ps in parts for p in ps})
-        found, missing = self.pieces.look(distinct)
-        new = [distinct[k] for k in missing]
-        made = self.whole(new)
-        self.pieces.put(new, made)
-        ids = dict(zip(distinct, found, strict=True))
-        ids.update(zip(new, made, strict=True))
-        of = ids.__getitem__
-        out = [of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for ps in parts]
-        self.chunks.put(chunks, out)
+        """The ids of chunks; words go through the library many at once, all else alone."""
+        word, of = self.is_word, self.text_of
+        words = [k for k, c in enumerate(chunks) if word(c)]
+        out: list = [None] * len(chunks)
+        groups = [words[a : a + JOINED] for a in range(0, len(words), JOINED)]
+        made = self.library.encode_batch_fast([self.joined([chunks[k] for k in g]) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, made, strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):
+                continue
+            ends = (4 * np.r_[0, at + 1] if self.closes else 4 * np.r_[at, len(ids)]).tolist()
+            data = ids.tobytes()
+            for k, a, b in zip(group, ends, ends[1:], strict=False):
+                out[k] = data[a:b]
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(left, self.whole([of(chunks[k]) for k in left]), strict=True):
+            out[k] = ids
         return out
 
+    def joined(self, words: list[str]) -> str:
+        raise NotImplementedError
+
 
 class ByteLevel(_Encoder):
     """byte_bpe_50k: a space starts a piece unless white space stands beside it."""
 
-    pattern = BYTE_PATTERN
+    closes, edge_mark = False, "Ġ"
 
     def uncertain(self, texts):
         return pc.match_substring_regex(texts, f"{_spaces} | {_spaces}|<\\||{HEAD}")
 
     def cut(self, texts):
-        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(HEAD, pa.large_string()), texts, pa.scalar("", pa.large_string())), " ")
+        marked = pc.replace_substring_regex(texts, _mark_after_letter, f"\\1 {HEAD}\\2")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(HEAD, pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+
+    def text_of(self, chunk):
+        return chunk[1:] if chunk[:1] == HEAD else " " + chunk
+
+    def is_word(self, chunk):
+        return chunk.isalpha() and (chunk.isascii() or max(chunk) < STABLE_BELOW)
 
-    def sub_pieces(self, chunk):
-        return self.split(chunk[1:] if chunk[:1] == HEAD else " " + chunk)
+    def joined(self, words):
+        return " " + " ".join(words)
 
 
 class WordEnds(_Encoder):
     """word_bpe_49k: lower case, white space dropped, so white space always ends a piece."""
 
-    pattern = WORD_PATTERN
+    closes, edge_mark = True, "</w>"
 
     def uncertain(self, texts):
-        return pc.match_substring_regex(texts, "<\\|")
+        return pc.match_substring(texts, "<|")
 
     def cut(self, texts):
-        return pc.ascii_split_whitespace(texts)
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _mark_after_letter, r"\1 \2"))
+
+    def text_of(self, chunk):
+        return chunk
+
+    def is_word(self, chunk):
+        return chunk.isalpha() and (chunk.isascii() or max(chunk) < STABLE_BELOW)
 
-    def sub_pieces(self, chunk):
-        if chunk.isascii() or max(chunk) < STABLE_BELOW:
-            return self.split(chunk.lower())
-        return [chunk]
+    def joined(self, words):
+        return " ".join(words)
 
 
 class Pieces:
@@ -188,7 +229,7 @@ class Pieces:
         self.merged: dict[str, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:
-        if len(self.merged) > MEMO_PIECES:
+        if len(self.merged) > MEMO_CHUNKS:
             self.merged.clear()
         single, merged = self.single.get, self.merged.get
         out: list[int] = []

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import encoders
-from .common import map_text
+from .common import slices
 
 WINDOW = 2048
 #: Documents that one task packs together, on average.
 GROUP_DOCS = 8192
+#: Texts encoded at once, if they are short.
+ROWS = 2048
 
 
 class OpenWindows:
@@ -72,46 +78,56 @@ def pieces(
     window: int = WINDOW,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
     """Each document's ids with ``end_id`` after them, cut into full windows and what is left.
 
-    Gives the id, ``start``, ``length``, ``doc_tokens`` and ``ids`` (little-endian unsigned
-    32-bit integers). A null text counts as an empty one: one piece that holds ``end_id`` alone.
+    Gives the id, ``start``, ``length``, ``ids_crc32`` (unsigned, of the piece's ids),
+    ``doc_tokens`` and, if asked for, ``ids`` (little-endian unsigned 32-bit integers). A null or
+    empty text is one piece that holds ``end_id`` alone; a very long one gives as many windows as
+    it fills. Repeated rows each give their pieces; other columns are left out, whatever their
+    names, and an empty table gives an empty one. There is no shuffle.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * window
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    fields = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
+    fields += [T.StructField("ids", T.BinaryType())] * with_ids
 
-    def function():
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoders.opened(encoders.WordEnds, vocabulary)
-
-        def cut(texts):
-            encoded = [ids + end for ids in encoder.encode(texts)]
-            return ([[ids[a : a + 4 * window] for a in range(0, len(ids), 4 * window)] for ids in encoded],)
-
-        return cut
-
-    cut = map_text(docs, function, [T.StructField("__cut", T.ArrayType(T.BinaryType()))], text_col, [id_col], 2048)
-    total = F.aggregate("__cut", F.lit(0).cast("long"), lambda n, p: n + F.length(p)) / 4
-    return cut.select(id_col, total.cast("long").alias("doc_tokens"), F.posexplode("__cut").alias("__k", "ids")).select(
-        id_col,
-        (F.col("__k").cast("long") * window).alias("start"),
-        (F.length("ids") / 4).cast("long").alias("length"),
-        "doc_tokens",
-        "ids",
-    )
+        for batch in batches:
+            for at, n in slices(batch.column(1), ROWS):
+                encoded = encoder.encode(batch.column(1).slice(at, n))
+                sizes = np.array([len(x) for x in encoded], np.int64) + 4
+                counts = -(-sizes // step)
+                row = np.repeat(np.arange(n), counts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * window
+                length = np.minimum(sizes[row] // 4 - start, window)
+                data = [x[a : a + step] for x in (ids + end for ids in encoded) for a in range(0, len(x), step)]
+                columns = [start, length, [zlib.crc32(x) for x in data], sizes[row] // 4]
+                made = [batch.column(0).slice(at, n).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns)]
+                if with_ids:
+                    made.append(pa.array(data, pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, names=[id_col, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return source.mapInArrow(cut, T.StructType([source.schema[id_col], *fields]))
 
 
 def pack(parts: DataFrame, n_docs: int, window: int = WINDOW, group_docs: int = GROUP_DOCS, length_col: str = "length") -> DataFrame:
     """Adds ``sequence_id``, ``offset`` and ``pad_tokens`` to pieces of 1 to ``window`` tokens.
 
-    Rows are dealt by a hash of all their columns into ``n_docs / group_docs`` groups, so no id
-    or length can fill one, and each group is packed by best-fit decreasing; every group wastes
-    at most about one window more than packing all together would. ``pad_tokens`` is what its
-    sequence is padded by: up to ``window``, but not at all at a power of two. Input columns of
-    the three names are replaced. An empty table gives an empty one.
+    Rows are dealt by a hash of all their columns and of the task that reads them into
+    ``n_docs / group_docs`` groups, so no id or length can fill one, and repeated rows of
+    different tasks part; each group is packed by best-fit decreasing; every group wastes at most
+    about one window more than packing all together would. Pieces of one length go by id and
+    start. ``pad_tokens`` is what a sequence is padded by: up to ``window``, but not at all at a
+    power of two. Repeated rows are packed one by one, null ids like others. Input columns of the
+    three names are replaced. An empty table gives an empty one.
     """
     groups = max(1, -(-n_docs // group_docs))
     parts = parts.drop("sequence_id", "offset", "pad_tokens")
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(*parts.columns), F.lit(groups)).cast("long"))
+    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(*parts.columns, F.spark_partition_id()), F.lit(groups)).cast("long"))
     out = T.StructType([*dealt.schema, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "pad_tokens"))])
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "bitplanes")
     bitplanes.write(documents(spark, sf_dir), path, encoders.tokenizer_path("byte_bpe_50k.json"))
-    return bitplanes.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return bitplanes.read(spark, path, with_ids=False)
 
 
 def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    cut = packing.pieces(docs, encoders.tokenizer_path("word_bpe_49k.json"))
-    digests = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digests, docs.count())
+    cut = packing.pieces(docs, encoders.tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(cut, docs.count())
 
 
 def queries() -> dict[str, Query]:

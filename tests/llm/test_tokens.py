@@ -20,7 +20,7 @@ def strings(n=3000):
 
 @pytest.mark.parametrize(("kind", "path"), [(encoders.ByteLevel, BYTE), (encoders.WordEnds, WORD)])
 def test_encoders_give_the_library_ids(kind, path, monkeypatch):
-    monkeypatch.setattr(encoders, "MEMO_PIECES", 500)  # so that memos start again on the way
+    monkeypatch.setattr(encoders, "MEMO_CHUNKS", 500)  # so that memos start again on the way
     encoder, texts = kind(path), strings()
     wanted = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [x for at in range(0, len(texts), 700) for x in encoder.encode(texts[at : at + 700])] == wanted
