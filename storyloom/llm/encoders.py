@@ -208,24 +208,32 @@ class WordEnds(_Encoder):
         return " ".join(words)
 
 
+def single_tokens(path: str) -> frozenset[str]:
+    """The strings of a vocabulary that the library encodes alone as one token: each is put through it."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+    if bad := [p for p in names if "▁" in p.lstrip("▁")]:
+        raise ValueError(f"pieces that cross a space: {bad[:5]}")
+    words = [p[1:] for p in names if p.startswith("▁") and p[1:] and p[1] != "▁"]
+    encoded = library.encode(words, num_threads=1)
+    return frozenset(w for w, ids in zip(words, encoded, strict=True) if len(ids) == 1)
+
+
 class Pieces:
     """piece_bpe_32k: token counts. Pieces of the vocabulary hold a space mark only in front.
 
-    ``single`` holds the vocabulary strings proven to encode alone as one token: each was put
-    through the library when the encoder was opened. Chunks found there count 1 without any
-    merge; only the rest is merged, and those counts are kept in a bounded memo.
+    ``single`` holds the vocabulary strings proven to encode alone as one token (see
+    ``single_tokens``). Chunks found there count 1 without any merge; only the rest is merged, and
+    those counts are kept in a bounded memo.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, single: frozenset[str] | None = None):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        if bad := [p for p in names if "▁" in p.lstrip("▁")]:
-            raise ValueError(f"pieces that cross a space: {bad[:5]}")
-        words = [p[1:] for p in names if p.startswith("▁") and p[1:] and p[1] != "▁"]
-        encoded = self.library.encode(words, num_threads=1)
-        self.single = {w: 1 for w, ids in zip(words, encoded, strict=True) if len(ids) == 1}
+        self.single = dict.fromkeys(single_tokens(path) if single is None else single, 1)
         self.merged: dict[str, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import encoders
-from .common import map_text
+from .common import kept, map_text
 
 LIMIT = 4096
 
@@ -19,12 +19,16 @@ def count(
 
     Strings of the vocabulary that the library encodes alone as one token count 1 without any
     merge (see ``encoders.Pieces``); the rest is merged by the library, once for each distinct
-    string in a worker's memo. A null or empty text has 0 bytes and 0 tokens. Rows are kept as
-    they are, repeated ones too; columns other than the id are left out. There is no shuffle.
+    string in a worker's memo. A null or empty text has 0 bytes and 0 tokens; a very long one is
+    counted whole, in a slice of its own. Rows are kept as they are, repeated ones and null ids
+    too; columns other than the id are left out, whatever their names. There is no shuffle.
     """
 
+    # The proof is made once, here; it holds a part of the vocabulary, so its broadcast is bounded.
+    single = docs.sparkSession.sparkContext.broadcast(encoders.single_tokens(vocabulary))
+
     def function():
-        counter = encoders.opened(encoders.Pieces, vocabulary)
+        counter = kept((encoders.Pieces, vocabulary), lambda: encoders.Pieces(vocabulary, single.value))
         return lambda texts: ([len(t.encode()) if t else 0 for t in texts], counter.count(texts))
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
