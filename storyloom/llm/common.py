@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there.
 
@@ -55,16 +60,75 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._storyloom_path = path
+    _written.append((spark, path))
     return out
 
 
-def release(df: DataFrame | None) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame | None) -> None:
     """Deletes what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_storyloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        path = getattr(df, "_storyloom_path", None)
+        if path and (df.sparkSession, path) in _written:
+            _written.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def tidied() -> Iterator[None]:
+    """On leaving, deletes what was materialized inside and not released: results must be written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _delete(*_written.pop())
+
+
+#: Keys that ``join_back`` deals by broadcast, at most.
+HOT_KEYS = 1 << 15
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Joins each row with the one row of its key; column ``n`` of ``per_key`` counts the key's rows, ``total`` all.
+
+    A key of more than ``total / HOT_KEYS`` rows is hot. There are fewer than ``HOT_KEYS`` of
+    them, whatever the data, so they are broadcast and their rows are not shuffled; no other key
+    can fill a task. ``n`` is dropped.
+    """
+    least = max(1, total // HOT_KEYS)
+    hot = F.broadcast(per_key.where(F.col(n) > least))
+    warm = rows.join(hot, key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(per_key.where(F.col(n) <= least), key)
+    return warm.unionByName(cold).drop(n)
+
+
+#: A table is broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table as the small side of a join: a broadcast if its rows, counted now, are small enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
+def row_keyed(df: DataFrame, name: str = "__row") -> DataFrame:
+    """Adds a key of each row's own, which repeated rows do not share: its file and its place there.
+
+    A table that was not read from files is written first, so that its keys stay the same.
+    """
+    def keyed(table: DataFrame) -> DataFrame:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return table.select("*", place.alias(name))
+
+    try:
+        return keyed(df)
+    except AnalysisException:
+        return keyed(materialize(df, "rows"))
 
 
 def label_split(id_col: str, modulus: int) -> Column:

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialize, release
+from .common import join_back, map_text, materialize, release
 from .graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Members of a component that are compared with each other at once.
-BLOCK = 1024
+#: Members of a component that are compared with each other at once, and their n-grams but for a single larger one.
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
 #: How a member takes part in a group: compared with all of it, or with those of the other side.
 LEFT, RIGHT, WITHIN = 0, 1, 2
 #: Columns of a block's incidence matrix at once.
@@ -191,21 +191,27 @@ def _verify(threshold: float):
     return run
 
 
-def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def _blocks(members: DataFrame, threshold: float, block: int, grams: int) -> DataFrame:
     """For each candidate class: the pairs of blocks it takes part in, as (group, side).
 
-    A component of up to ``block`` members is one group. A larger one is cut by set size at steps
-    of 1 / threshold, so a link lies within a step or between neighbours, and each step is cut
-    into blocks by a hash. Where two different blocks meet, each member has a side.
+    A component of up to ``block`` members and ``grams`` n-grams is one group. A larger one is cut
+    by set size at steps of 1 / threshold, so a link lies within a step or between neighbours, and
+    each step is cut by a hash into blocks of about these sizes. Where two different blocks meet,
+    each member has a side.
     """
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(-np.log(threshold)) * 1.000001))
     counted = members.withColumn("step", step.cast("long"))
-    sizes = counted.groupBy("comp", "step").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("comp").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("steps"))
-    joined = counted.join(whole, "comp")
+    number = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / grams)).cast("long")
+    sizes = counted.groupBy("comp", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
+    whole = sizes.groupBy("comp").agg(
+        F.sum("n").alias("total"),
+        ((F.sum("n") <= block) & (F.sum("grams") <= grams)).alias("one"),
+        F.map_from_entries(F.collect_list(F.struct("step", number.alias("blocks")))).alias("steps"),
+    )
+    joined = join_back(counted, whole, "comp", "total", members.count())
 
     def blocks(at):
-        return F.ceil(F.coalesce(F.col("steps")[at], F.lit(0)) / F.lit(block)).cast("long")
+        return F.coalesce(F.col("steps")[at], F.lit(0)).cast("long")
 
     mine = F.pmod(F.xxhash64("node", F.lit("block")), F.greatest(blocks(F.col("step")), F.lit(1)))
 
@@ -223,8 +229,8 @@ def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
     above = F.transform(upto(blocks(F.col("step") + 1)), lambda j: meet(F.col("step") * 2 + 1, F.col("mine"), j, one_side))
     below = F.transform(upto(blocks(F.col("step") - 1)), lambda j: meet(F.col("step") * 2 - 1, j, F.col("mine"), other_side))
     alone = F.array(F.struct(F.xxhash64("comp", F.lit("whole")).alias("group"), within.alias("side")))
-    pairs = F.when(F.col("total") <= block, alone).otherwise(F.concat(same, above, below))
-    return joined.withColumn("mine", mine).withColumn("pairs", pairs).drop("mine", "step", "steps", "total")
+    pairs = F.when(F.col("one"), alone).otherwise(F.concat(same, above, below))
+    return joined.withColumn("mine", mine).withColumn("pairs", pairs).drop("mine", "step", "steps", "one")
 
 
 def join(
@@ -235,33 +241,44 @@ def join(
     block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
+    grams: int = BLOCK_GRAMS,
 ) -> DataFrame:
     """Each row's ``class_id``, ``n_links`` and ``n_copies`` by n-gram Jaccard similarity.
 
     ``n_links`` counts the other rows whose n-gram sets have a similarity of ``threshold`` or
     more with its own, equal sets included; ``n_copies`` counts the rows of its set, itself
-    included; ``class_id`` is the least id among all rows that links connect to it. A text
-    without words links to none: its row is a class of its own. A row of a null id counts as
-    others' link, but cannot name a class: where only such rows are connected, ``class_id`` is
-    null. Rows that share an id are told apart by their texts. Repeated rows are kept, other
-    columns left out, and an empty table gives an empty one.
+    included; ``class_id`` is the least id among all rows that links connect to it, and
+    ``class_key`` names those rows even where no id is. A text without words links to none: its
+    row is a class of its own, without a key. A row of a null id links like any other, but cannot
+    name a class: where only such rows are connected, ``class_id`` is null. Rows that share an id
+    are told apart by their texts. Repeated rows are kept; columns other than the id and those in
+    ``carry`` are left out, whatever their names; an empty table gives an empty one. A very long
+    text is one set as any other, and is compared in blocks of fewer members.
+
+    What no later step reads is deleted from the shared folder; the result stays there.
     """
     bands, rows = bands_and_rows(threshold, recall)
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    # A text is found again by a hash of its id and itself, which a row without an id has too.
+    source = docs.select(
+        F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__in_{c}") for c in carry]
+    ).withColumn("__key", F.xxhash64("__id", "__text"))
+    more = [f"__in_{c}" for c in carry]
     fields = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    signed = materialize(map_text(source, lambda: signature_function(bands, rows, words), fields, "__text", ["__id"]), "signed")
+    signed = materialize(map_text(source, lambda: signature_function(bands, rows, words), fields, "__text", ["__id", "__key", *more]), "signed")
     sets = signed.where("n_shingles > 0").groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_copies"), F.min("__id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
-    )
+        F.count(F.lit(1)).alias("n_copies"), F.min("__id").alias("rep"), F.min(F.struct(F.col("__id").isNull(), "__id", "__key"))["__key"].alias("rep_key"),
+        F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+    )
     sets = materialize(sets, "sets")
 
     keyed = sets.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
-    ties = keyed.join(buckets, "key").where(F.col("node") != F.col("least")).select("node", "least")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = join_back(keyed, buckets, "key", "n", bands * sets.count()).where(F.col("node") != F.col("least")).select("node", "least")
     candidates = components(ties, "node", "least").withColumnRenamed("label", "comp")
-    members = materialize(
-        _blocks(candidates.join(sets.select("node", "rep", "n_copies", "n_shingles"), "node").where(F.col("rep").isNotNull()), threshold, block), "members"
-    )
+    known = sets.select("node", "rep", "rep_key", "n_copies", "n_shingles")
+    candidates = materialize(candidates.join(known.drop("rep"), "node"), "candidates")
+    members = materialize(_blocks(candidates, threshold, block, grams), "members")
 
     def whole_sets():
         def of(texts):
@@ -271,7 +288,7 @@ def join(
         return of
 
     # The candidates grow with the table, so their texts are found by a shuffle at every size.
-    texts = source.join(members.hint("shuffle_hash"), F.col("__id") == F.col("rep"))
+    texts = source.select("__key", "__text").join(members.hint("shuffle_hash"), F.col("__key") == F.col("rep_key"))
     found = map_text(
         texts, whole_sets, [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())], "__text", ["node", "n_copies", "pairs"]
     ).where("own = node")
@@ -279,21 +296,24 @@ def join(
     verified = materialize(
         grouped.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_verify(threshold), "node bigint, links bigint, root bigint"), "verified"
     )
-    release(members)
+    release(members, candidates)
 
     labels = components(verified.select("node", "root"), "node", "root")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = sets.select("node", "rep", "n_copies").join(labels, "node", "left").join(links, "node", "left")
-    known = known.withColumn("label", F.coalesce("label", "node"))
-    named = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = known.join(named, "label").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies"
-    )
-    result = signed.select("__id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(known, "node", "left")
-    blank = F.col("node").isNull()
-    return result.select(
-        F.col("__id").alias(id_col),
-        F.when(blank, F.col("__id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        F.when(blank, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+    known = known.join(labels, "node", "left").join(links, "node", "left")
+    known = materialize(known.select("node", "rep", "n_copies", "links", F.coalesce("label", "node").alias("label")), "known")
+    named = known.groupBy("label").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    known_sets = known.count()
+    classes = join_back(known, named, "label", "n", known_sets).select(
+        "node", F.col("label").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies",
+        F.col("n_copies").alias("n"),
+    )
+    own = [F.col("__id").alias(id_col)]
+    more = [F.col(f"__in_{c}").alias(c) for c in carry]
+    linked_rows = join_back(signed.where("n_shingles > 0").drop("n_shingles", "bands"), classes, "node", "n", signed.count())
+    alone = signed.where("n_shingles = 0").select(
+        *own, *more, F.col("__id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_key")
     )
+    result = materialize(linked_rows.select(*own, *more, "class_id", "n_links", "n_copies", "class_key").unionAll(alone), "classes")
+    release(signed, sets, verified, known)
+    return result

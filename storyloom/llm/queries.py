@@ -61,7 +61,7 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir))
+    return jaccard.join(documents(spark, sf_dir)).drop("class_key")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, jaccard
+from storyloom.llm import common, decontam, jaccard
 from storyloom.llm.graph import components
 
 
@@ -99,8 +100,8 @@ def brute_force(rows):
     return Counter((i, min(least[top(k)]) if least[top(k)] else None, links[k]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 5])
-def test_links_and_classes(spark, block):
+@pytest.mark.parametrize(("block", "grams"), [(jaccard.BLOCK, jaccard.BLOCK_GRAMS), (5, jaccard.BLOCK_GRAMS), (50, 700)])
+def test_links_and_classes(spark, block, grams):
     rng = random.Random(9)
     kinds = [f"w{k}" for k in range(5000)]
     rows = []
@@ -114,7 +115,7 @@ def test_links_and_classes(spark, block):
     rows += [(900 + k, "the same text in very many rows of it") for k in range(40)]
     rows += [(950, None), (951, ""), (952, " \n"), (953, "two words"), (954, "two  words"), (955, "one")]
     rng.shuffle(rows)
-    found = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block, grams=grams).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == brute_force(rows)
 
 
@@ -126,6 +127,27 @@ def test_links_of_odd_tables(odd, empty):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == wanted
 
 
+def test_rows_without_an_id_link_like_others(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words, "more"])), (None, "only here " * 4), (None, "only here " * 4), (2, ""), (2, "")]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), carry=("text",)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == brute_force(rows)
+    by = {r.text: r for r in found}
+    assert by[rows[0][1]].class_key == by[rows[1][1]].class_key != by[rows[2][1]].class_key
+    assert by[rows[1][1]].n_links == 1 and by[""].class_key is None
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1 << 15])
+def test_rows_find_the_row_of_their_key(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rows = spark.range(100).select(F.when(F.col("id") < 60, 0).otherwise(F.col("id") % 7).alias("k"), "id")
+    per_key = rows.groupBy("k").agg(F.max("id").alias("most"), F.count("*").alias("n"))
+    found = common.join_back(rows, per_key, "k", "n", 100)
+    assert sorted(found.columns) == ["id", "k", "most"]
+    most = {k: max(r.id for r in rows.collect() if r.k == k) for k in range(7)}
+    assert sorted((r.id, r.most) for r in found.collect()) == [(r.id, most[r.k]) for r in rows.collect()]
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_and_rows(0.8, 0.9999)
     assert (1 - 0.8**rows) ** bands <= 0.0001 < (1 - 0.8**rows) ** (bands - 1)
