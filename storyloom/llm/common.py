@@ -90,7 +90,7 @@ def tidied() -> Iterator[None]:
 
 
 #: Keys that ``join_back`` deals by broadcast, at most.
-HOT_KEYS = 1 << 15
+HOT_KEYS = 1 << 13
 
 
 def join_back(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 8)."""
+"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 8).
+
+1. Each document gives the seeds it holds: hashes of its word n-grams that some item has. Those
+   that hold any are written with their texts, which no later step looks for again.
+2. Seeds are counted, so it is known which are rare before any region is cut out.
+3. Of each document and item that share a rare seed, or two seeds of any kind, the regions around
+   the seeds are cut out and aligned at once.
+"""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialize
+from .common import map_text, materialize, release, slices
 
 #: Words of a seed. An item of fewer words is a seed as a whole.
 SEED_WORDS = 4
@@ -21,17 +28,29 @@ RARE_SHARE = 0.0005
 #: Least score of a leak: the alignment's share of what the whole item would score.
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Characters of benchmark text that are broadcast at once; a larger benchmark takes several passes.
+#: Characters of benchmark text that are broadcast at once, but for one item; a larger benchmark takes several passes.
 BROADCAST_CHARS = 16_000_000
+#: Marks that do not count at the ends of a word.
+EDGES = " .,;:!?\"'()[]{}<>*_`~«»¡¿…“”‘’-"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_HIT = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("seeds", T.ArrayType(T.LongType())), T.StructField("region", T.ArrayType(T.StringType()))])
-)
+
+
+def normal_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text: parted by white space, in lower case, without marks at their ends.
+
+    Items and documents both go through here. A word of marks alone stays as it is.
+    """
+    array = pc.utf8_lower(pc.utf8_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.utf8_split_whitespace(array)
+    coded = lists.values.dictionary_encode()
+    bare = pc.utf8_trim(coded.dictionary, characters=EDGES)
+    bare = pc.if_else(pc.equal(bare, ""), coded.dictionary, bare)
+    return pa.LargeListArray.from_arrays(lists.offsets.cast(pa.int64()), bare.take(coded.indices))
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    return [w for w in normal_words(pa.array([text], pa.string()))[0].as_py() if w]
 
 
 def align(item: list[str], region: list[str]) -> tuple[float, int, int]:
@@ -60,20 +79,26 @@ def align(item: list[str], region: list[str]) -> tuple[float, int, int]:
 
 
 class Seeds:
-    """The seeds of some benchmark items, by the hashes of their words in order."""
+    """The seeds of some benchmark items, by the hashes of their words in order.
+
+    Items are told apart by their place in the list: rows that share an ``item_id`` each count.
+    """
 
     def __init__(self, items: list[tuple[int, str]], seed_words: int):
         self.words: dict[str, int] = {}
-        self.items = {i: w for i, t in items if (w := words_of(t))}
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        held = [(i, w) for i, t in items if (w := words_of(t))]
+        self.ids, self.items = [i for i, _ in held], [w for _, w in held]
         found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for i, words in self.items.items():
+        #: How many distinct seeds each item has.
+        self.distinct: list[int] = []
+        for k, words in enumerate(self.items):
             ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.uint64)
             n = min(seed_words, len(ids))
-            for h in self.hashes(ids, n).tolist():
-                found[n][h].add(i)
-        #: Items of one seed: two of any kind cannot be asked of them.
-        self.single = [i for n, seeds in found.items() for i, k in Counter(i for of in seeds.values() for i in of).items() if k == 1]
+            own = set(self.hashes(ids, n).tolist())
+            self.distinct.append(len(own))
+            for h in own:
+                found[n][h].add(k)
+        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for n, seeds in found.items():
             keys = np.array(sorted(seeds), np.uint64)
             self.by_length[n] = keys, [sorted(seeds[k]) for k in keys.tolist()]
@@ -85,15 +110,14 @@ class Seeds:
             value = (value ^ (value >> np.uint64(29))) * _BASE + ids[k : len(ids) - n + 1 + k]
         return value
 
-    def hits(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each text: the regions around seeds of each item."""
-        array = pc.utf8_lower(pc.utf8_trim_whitespace(pa.array([t or "" for t in texts], pa.large_string())))
-        coded = (lists := pc.utf8_split_whitespace(array)).values.dictionary_encode()
+    def _places(self, texts: pa.Array) -> tuple[pa.ListArray, list[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]]:
+        """The words of texts and, for each length of seeds: documents, places, seeds, and the items of each."""
+        lists = normal_words(texts)
+        coded = lists.values.dictionary_encode()
         get = self.words.get
         known = np.array([get(w, 0) for w in coded.dictionary.to_pylist()] or [0], np.uint64)
         ids = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
-        ends = lists.offsets.to_numpy()
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        ends, out = lists.offsets.to_numpy(), []
         for n, (keys, of) in self.by_length.items():
             if len(ids) < n:
                 continue
@@ -107,24 +131,49 @@ class Seeds:
             places, where = places[yes], where[yes]
             doc = np.searchsorted(ends, places, side="right") - 1
             fits = places + n <= ends[doc + 1]
-            for p, s, d in zip(places[fits].tolist(), where[fits].tolist(), doc[fits].tolist(), strict=True):
-                for item in of[s]:
-                    at[d][item].append((p - int(ends[d]), int(keys[s].astype(np.int64))))
-        out: list[list[dict]] = [[] for _ in texts]
-        for d, by_item in at.items():
-            words = coded.dictionary.take(coded.indices[ends[d] : ends[d + 1]]).to_pylist()
-            out[d] = [r for item, found in by_item.items() for r in self.regions(item, sorted(found), words)]
+            doc, places, where = doc[fits], places[fits], where[fits]
+            out.append((doc, places - ends[doc], keys[where].astype(np.int64), [of[s] for s in where.tolist()]))
+        return lists, out
+
+    def held(self, texts: list[str | None]) -> list[list[int] | None]:
+        """The distinct seeds of each text; None if it has none."""
+        out: list[list[int] | None] = [None] * len(texts)
+        seeds: dict[int, set[int]] = defaultdict(set)
+        for doc, _, keys, _ in self._places(pa.array(texts, pa.string()))[1]:
+            for d, s in zip(doc.tolist(), keys.tolist(), strict=True):
+                seeds[d].add(s)
+        for d, own in seeds.items():
+            out[d] = sorted(own)
         return out
 
-    def regions(self, item: int, found: list[tuple[int, int]], words: list[str]) -> Iterator[dict]:
+    def leaks(self, texts: pa.Array, common: frozenset[int], min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, first word, end) of what aligns well enough around seeds that tell."""
+        lists, found = self._places(texts)
+        at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for doc, place, keys, items in found:
+            for d, p, s, of in zip(doc.tolist(), place.tolist(), keys.tolist(), items, strict=True):
+                for item in of:
+                    at[d, item].append((p, s))
+        words: tuple[int, list[str]] = -1, []
+        for (d, item), places in sorted(at.items()):
+            seeds = {s for _, s in places}
+            if seeds <= common and len(seeds) < min(2, self.distinct[item]):
+                continue
+            if words[0] != d:
+                words = d, lists[d].as_py()
+            for first, last in self.regions(item, sorted(p for p, _ in places)):
+                score, start, end = align(self.items[item], words[1][first:last])
+                if score >= min_score:
+                    yield d, item, score, first + start, first + end
+
+    def regions(self, item: int, places: list[int]) -> Iterator[tuple[int, int]]:
         """Seeds no further apart than the item is long share a region, an item longer on each side."""
         length, k = len(self.items[item]), 0
-        while k < len(found):
+        while k < len(places):
             j = k
-            while j + 1 < len(found) and found[j + 1][0] - found[j][0] <= length:
+            while j + 1 < len(places) and places[j + 1] - places[j] <= length:
                 j += 1
-            first = max(0, found[k][0] - length)
-            yield {"item_id": item, "first": first, "seeds": sorted({s for _, s in found[k : j + 1]}), "region": words[first : found[j][0] + 2 * length]}
+            yield max(0, places[k] - length), places[j] + 2 * length
             k = j + 1
 
 
@@ -141,55 +190,59 @@ def leaks(
     """Pairs of a document and a benchmark item it holds, whole, edited or in good part.
 
     Gives the document's id, ``item_id``, ``score`` (0 to 1), and the words of the document
-    that align, ``start_word`` to ``end_word``. Words are in lower case and parted by white
-    space. Documents are compared with an item where they share a rare seed, or two seeds of any
-    kind (one, if the item has no more), so a passage that very many documents hold is still found. All places of a document
-    are aligned; the best one of each pair is returned.
-
-    Null and empty texts, and items without words, match nothing; rows that share a document id
-    count as one document, and those with a null id or item id are left out, as a pair needs
-    both. Items are broadcast in blocks of at most ``broadcast_chars`` characters, a pass over
-    the documents for each, so the broadcast is bounded however large the benchmark is.
+    that align, ``start_word`` to ``end_word``. Words are in lower case, parted by white space, and
+    bare of marks at their ends. A document is compared with an item where they share a rare seed,
+    or two seeds of any kind (one, if the item has no more), so a passage that very many documents
+    hold is still found. An edited copy that keeps no ``seed_words`` words in a row shares no seed
+    and is not found. All places of a document are aligned; the best one of each pair is returned,
+    of equal ones the first.
+
+    Null and empty texts, and items without words, match nothing; very long ones are read whole.
+    Rows that share a document id count as one document, and those with a null id or item id are
+    left out, as a pair needs both. Items that share an id each count. Other columns are left out,
+    whatever their names; an empty table gives an empty one. Items are broadcast in parts of
+    ``broadcast_chars`` characters and at most one item more, a pass over the documents for each.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars, longest = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    passes = max(1, -(-(chars or 0) // max(1, broadcast_chars - (longest or 0))))
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull())
+    # Only ids and lengths meet in one task here, of the benchmark and of no document.
+    before = F.sum("chars").over(Window.orderBy("item_id", "chars").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = items.select("*", F.length("text").alias("chars")).withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / broadcast_chars).cast("long"))
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__id").isNotNull())
+    parts = [r.part for r in dealt.select("part").distinct().orderBy("part").collect()]
     found = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        one = _leaks(source, [(r[0], r[1]) for r in part.collect()], min_score, seed_words, rare_share)
+    for part in parts or [0]:
+        one = _leaks(source, [(r.item_id, r.text) for r in dealt.where(F.col("part") == part).collect()], min_score, seed_words, rare_share)
         found = one if found is None else found.unionAll(one)
     return found.withColumnRenamed("__id", id_col)
 
 
 def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, seed_words: int, rare_share: float) -> DataFrame:
     context = source.sparkSession.sparkContext
-    made = Seeds(items, seed_words)
-    seeds, single = context.broadcast(made), made.single
-    hits = map_text(source, lambda: lambda texts: (seeds.value.hits(texts),), [T.StructField("hits", _HIT)], "__text", ["__id"])
-    hits = materialize(hits.where(F.size("hits") > 0).select("__id", F.inline("hits")), "seed-hits")
-
-    total = source.select("__id").count()
-    held = hits.select("__id", "item_id", F.explode("seeds").alias("seed")).distinct()
-    spread = held.select("__id", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-    rare = F.col("docs") <= max(1.0, rare_share * total)
-    pairs = held.join(spread, "seed").groupBy("__id", "item_id").agg(F.max(rare).alias("rare"), F.count(F.lit(1)).alias("seeds"))
-    chosen = hits.join(pairs.where(F.col("rare") | (F.col("seeds") > 1) | F.col("item_id").isin(single)).select("__id", "item_id"), ["__id", "item_id"])
+    seeds = context.broadcast(Seeds(items, seed_words))
+    kind = T.ArrayType(T.LongType())
+    held = map_text(source.withColumn("__whole", F.col("__text")), lambda: lambda texts: (seeds.value.held(texts),), [T.StructField("seeds", kind)], "__text", ["__id", "__whole"])
+    held = materialize(held.where(F.col("seeds").isNotNull()), "seeded")
+
+    # Seeds are the benchmark's, so those found common are no more than were broadcast.
+    most = max(1.0, rare_share * source.count())
+    counts = held.select("__id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
+    common = context.broadcast(frozenset(r.seed for r in counts.where(F.col("docs") > most).collect()))
+    id_type = held.schema["__id"]
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["__id", "item_id", "score", "start_word", "end_word"]
+        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
-            doc, item, first, region = (batch.column(c) for c in ("__id", "item_id", "first", "region"))
-            made = [align(seeds.value.items[i], r) for i, r in zip(item.to_pylist(), region.to_pylist(), strict=True)]
-            score = pa.array([m[0] for m in made], pa.float64())
-            start, end = (pc.add(first, pa.array([m[k] for m in made], pa.int64())) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([doc, item, score, start, end], names=["__id", "item_id", "score", "start_word", "end_word"])
-
-    kind = hits.schema["__id"].dataType.simpleString()
-    scored = chosen.select("__id", "item_id", "first", "region").mapInArrow(
-        aligned, f"__id {kind}, item_id bigint, score double, start_word bigint, end_word bigint"
-    )
-    best = scored.where(F.col("score") >= min_score).groupBy("__id", "item_id").agg(
-        F.max(F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("best")
-    )
-    return best.select("__id", "item_id", "best.score", (-F.col("best.col2")).alias("start_word"), F.col("best.end_word"))
+            for at, n in slices(batch.column("__whole")):
+                rows = list(seeds.value.leaks(batch.column("__whole").slice(at, n), common.value, min_score))
+                ids = batch.column("__id").slice(at, n).take(pa.array([r[0] for r in rows], pa.int64()))
+                values = [[seeds.value.ids[r[1]] for r in rows], *([r[k] for r in rows] for k in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=names)
+
+    fields = [T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())]
+    scored = held.select("__id", "__whole").mapInArrow(aligned, T.StructType([id_type, *fields]))
+    best = scored.groupBy("__id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("best"))
+    best = best.select("__id", "item_id", "best.score", (-F.col("best.col2")).alias("start_word"), F.col("best.end_word"))
+    best = materialize(best, "leaks")
+    release(held)
+    return best

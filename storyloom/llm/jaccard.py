@@ -194,18 +194,21 @@ def _verify(threshold: float):
 def _blocks(members: DataFrame, threshold: float, block: int, grams: int) -> DataFrame:
     """For each candidate class: the pairs of blocks it takes part in, as (group, side).
 
-    A component of up to ``block`` members and ``grams`` n-grams is one group. A larger one is cut
-    by set size at steps of 1 / threshold, so a link lies within a step or between neighbours, and
-    each step is cut by a hash into blocks of about these sizes. Where two different blocks meet,
-    each member has a side.
+    A component of up to a quarter of ``block`` members and ``grams`` n-grams is one group. A
+    larger one is cut by set size at steps of 1 / threshold, so a link lies within a step or
+    between neighbours, and each step is cut by a hash into blocks: up to eight of that quarter,
+    so that one component is the work of many tasks, and from there on of about ``block`` members,
+    so that no more copies of sets are shuffled than need be. Where two different blocks meet, each
+    member has a side.
     """
+    small = max(1, block // 4)
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(-np.log(threshold)) * 1.000001))
     counted = members.withColumn("step", step.cast("long"))
-    number = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / grams)).cast("long")
+    number = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(8), F.ceil(F.col("n") / small)), F.ceil(F.col("grams") / grams)).cast("long")
     sizes = counted.groupBy("comp", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
     whole = sizes.groupBy("comp").agg(
         F.sum("n").alias("total"),
-        ((F.sum("n") <= block) & (F.sum("grams") <= grams)).alias("one"),
+        ((F.sum("n") <= small) & (F.sum("grams") <= grams)).alias("one"),
         F.map_from_entries(F.collect_list(F.struct("step", number.alias("blocks")))).alias("steps"),
     )
     joined = join_back(counted, whole, "comp", "total", members.count())

@@ -64,6 +64,35 @@ def test_common_short_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(k, 1) for k in range(20)}
 
 
+def test_items_and_documents_have_one_normal_form(spark):
+    pairs = ["ΟΔΥΣΣΕΥΣ ΚΑΙ ΟΙ ΛΟΓΟΣ ΣΟΦΙΑΣ", "İstanbul büyük İzmir küçük şehir", "Straße: “die” (große), ist... lang!"]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(pairs)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(pairs)] + [(9, "x straße, die große ist lang; y")], "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, items).collect()}
+    assert found == {(0, 0): 1, (1, 1): 1, (2, 2): 1, (9, 2): 1}
+
+
+def test_long_items_common_seeds_and_shared_ids(spark):
+    rng = random.Random(4)
+    long = " ".join(f"v{rng.randrange(9000)}" for _ in range(600))
+    items = spark.createDataFrame([(1, long), (2, "of the very same kind now here it ends"), (3, "some other item of five words"), (3, "the second text of that id here")], "item_id bigint, text string")
+    docs = [(k, f"a{k} of the very same kind b{k}") for k in range(60)]
+    docs += [(100, "x " + long), (101, "of the very same kind now here it ends"), (102, "nothing here"), (102, "some other item of five words"), (103, "the second text of that id here")]
+    for chars in (100, decontam.BROADCAST_CHARS):
+        found = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items, broadcast_chars=chars).collect()
+        whole = {(r.doc_id, r.item_id) for r in found if r.score == 1}
+        assert whole == {(100, 1), (101, 2), (102, 3), (103, 3)} and len(found) == len({(r.doc_id, r.item_id) for r in found})
+        assert {(r.doc_id, r.item_id) for r in found} - whole == {(k, 2) for k in range(60)}  # two common seeds, and half the words
+
+
+def test_leaks_by_a_key_of_each_row(spark):
+    docs = spark.createDataFrame([(None, "a tiny item"), (1, "a tiny item"), (1, "other")], "doc_id bigint, text string")
+    keyed = common.row_keyed(docs)
+    found = decontam.leaks(keyed, spark.createDataFrame([(50, "tiny item")], "item_id bigint, text string"), id_col="__row")
+    assert found.count() == 2
+    assert [r.text for r in keyed.join(found, "__row", "left_anti").collect()] == ["other"]
+
+
 def test_leaks_of_odd_tables(odd, empty, leaky):
     docs, items, _ = leaky
     assert decontam.leaks(empty, items).count() == 0
