@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -75,7 +75,7 @@ def release(*tables: DataFrame | None) -> None:
         path = getattr(df, "_storyloom_path", None)
         if path and (df.sparkSession, path) in _written:
             _written.remove((df.sparkSession, path))
-            _delete(df.sparkSession, path)
+            delete_folder(df.sparkSession, path)
 
 
 @contextmanager
@@ -86,7 +86,7 @@ def tidied() -> Iterator[None]:
         yield
     finally:
         while len(_written) > before:
-            _delete(*_written.pop())
+            delete_folder(*_written.pop())
 
 
 #: Keys that ``join_back`` deals by broadcast, at most.

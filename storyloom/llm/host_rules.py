@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialize
+from .common import BROADCAST_BYTES, join_back, map_text, materialize
 
 MIN_WORDS = 50
 #: A document fails if more than this share (in hundredths) of its words repeat.
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
-#: Verdicts are broadcast up to so many bytes, at so many for a host besides its name.
-BROADCAST_BYTES, HOST_BYTES = 16 << 20, 64
+#: Bytes of a host's verdict besides its name.
+HOST_BYTES = 64
 #: Bounds on the prior's strength, in documents.
 STRENGTH = (1.0, 1e6)
 
@@ -49,12 +49,13 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def host_of(url: Column) -> Column:
-    """The host of a URL, in lower case; an empty one if there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host of a URL, in lower case; of any other value the value itself, and of a null an empty one."""
+    found = F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), url.cast("string"), F.lit(""))
 
 
-def host_verdicts(rows: DataFrame) -> DataFrame:
-    """From ``__host`` and ``base_failed``: n, failures, shrunk rate and verdict of each host.
+def host_verdicts(rows: DataFrame) -> tuple[DataFrame, bool, int]:
+    """From ``__host`` and ``base_failed``: number, failures, shrunk rate and verdict of each host.
 
     The prior is a beta distribution fitted to all hosts by moments: its mean is the overall
     failure rate, and its strength follows from how much more the hosts' rates vary than chance
@@ -73,8 +74,7 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     strength = min(max(chance / spread - 1, STRENGTH[0]), STRENGTH[1]) if spread > 0 else STRENGTH[1]
     rate = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
     verdicts = hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") <= MAX_HOST_RATE)
-    # Their size is known by now: a small table goes to every task, so texts need no shuffle by host.
-    return F.broadcast(verdicts) if count * HOST_BYTES + (chars or 0) * 4 <= BROADCAST_BYTES else verdicts
+    return verdicts, count * HOST_BYTES + (chars or 0) * 4 <= BROADCAST_BYTES, docs or 0
 
 
 def evaluate(
@@ -84,20 +84,22 @@ def evaluate(
 
     A text fails with under 50 words, or if more than half of its words lie in 3-word windows
     that the text holds twice or more. ``kept`` is false for it; else it is its host's verdict.
-    A null or empty text has no words and fails. Rows of a null host belong to the host "".
-    Repeated rows each count. An output column replaces an input column of its name.
+    A null or empty text has no words and fails; a very long one is measured whole. The host is
+    that of the URL in ``host``, or else its whole value; rows of a null one belong to the host "".
+    Repeated rows each count. An output column replaces an input column of its name. An empty
+    table gives an empty one.
 
     Measures are written to the shared folder once. Failures are summed before the shuffle, so a
     host with a third of all rows is one row of it; verdicts go back by a broadcast if their
-    size, which is counted first, is under ``BROADCAST_BYTES``, and else by a join by host whose
-    hot hosts Spark splits.
+    size, which is counted first, is under ``BROADCAST_BYTES``, and else only those of hot hosts do.
     """
-    host = F.col(host) if isinstance(host, str) else host
-    source = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit("")))
+    source = docs.withColumn("__host", host_of(F.col(host) if isinstance(host, str) else host))
     fields = [T.StructField(c, T.LongType()) for c in _FIELDS]
     made = map_text(source, lambda: lambda texts: list(zip(*map(measures, texts), strict=True)), fields, text_col, [*carry, "__host"])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     rows = materialize(made.withColumn("base_failed", failed), "rules")
-    verdicts = host_verdicts(rows)
+    verdicts, small, total = host_verdicts(rows)
     rows = rows.drop("host_docs", "host_failures", "host_rate", "host_kept", "kept")
-    return rows.join(verdicts, "__host").drop("__host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    # A small table goes to every task, so texts need no shuffle by host.
+    told = rows.join(F.broadcast(verdicts), "__host") if small else join_back(rows, verdicts.withColumn("__n", F.col("host_docs")), "__host", "__n", total)
+    return told.drop("__host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))

@@ -185,7 +185,9 @@ def learn(
     At most about ``train_docs`` rows are bundled: a sample picked by a hash of the id. Each
     document counts alike, whatever its length. Tasks return one vector for each language, which
     are summed by (language, dimension), so what reaches the driver depends on neither rows nor
-    tasks. Rows of a null id are in fold 0 of none: they are not learned from.
+    tasks. Rows of a null id have no fold and are not learned from, nor are those of a null
+    language; repeated rows each count, and null or empty texts add nothing. Columns are taken by
+    name, so others do not matter. From an empty table no language is learned.
     """
     usable = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     usable = usable.where(F.col("__lang").isNotNull() & (label_split("__id", FOLDS) != HELD_FOLD))
@@ -215,8 +217,10 @@ def learn(
 def predict(docs: DataFrame, profiles: Profiles, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``carry``, ``lang_pred`` and ``score`` (the cosine with the language's prototype).
 
-    A text that is null, empty or without letters gets ``und`` and 0. Rows are kept as they are,
-    without a shuffle; input columns named like the two outputs are replaced.
+    A text that is null, empty or without letters gets ``und`` and 0, and so does every text if no
+    language was learned. Of languages at one cosine, the first by name is told. Whole texts
+    count; very long ones make a slice of their own. Rows are kept as they are, repeated ones and
+    null ids too, without a shuffle; input columns named like the two outputs are replaced.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return map_text(docs, lambda: profiles.predict, fields, text_col, carry)

@@ -107,7 +107,7 @@ FROM placed, filled
 
 _OP3_SQL = f"""
 WITH words AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce(nullif(lower(regexp_extract(source, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), ''), source, '') AS host, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
   FROM documents),
 placed AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, words FROM words WHERE len(words) > 2),

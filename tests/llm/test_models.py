@@ -36,7 +36,14 @@ def test_hosts(spark, odd, empty):
     assert found[0].kept and not found[100].kept and not found[200].kept and not found[200].base_failed
     assert found[201].kept and 0.4 < found[201].host_rate < 0.6 and found[203].kept
     hosts = spark.createDataFrame([("https://user@A.Example:8/x",), ("no",), (None,)], "u string").select(host_rules.host_of(F.col("u")).alias("h"))
-    assert [r.h for r in hosts.collect()] == ["a.example", "", ""]
+    assert [r.h for r in hosts.collect()] == ["a.example", "no", ""]
+
+
+def test_verdicts_too_many_to_broadcast(spark, odd, monkeypatch):
+    columns = ["doc_id", "n_words", "base_failed", "kept", "host_docs", "host_rate"]
+    small = host_rules.evaluate(odd).select(columns).collect()
+    monkeypatch.setattr(host_rules, "BROADCAST_BYTES", 0)
+    assert Counter(host_rules.evaluate(odd).select(columns).collect()) == Counter(small)
 
 
 def test_attention_gradient_and_fit(spark, odd, empty):
