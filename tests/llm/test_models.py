@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,8 +49,9 @@ def test_verdicts_too_many_to_broadcast(spark, odd, monkeypatch):
 
 def test_attention_gradient_and_fit(spark, odd, empty):
     rng = np.random.default_rng(1)
-    bags = [rng.normal(size=(n, quality_mil.N_FEATURES)).tolist() for n in (1, 3, 2)]
+    bags = [rng.normal(size=(n, 30)) for n in (1, 3, 2)]
     model = quality_mil.fit(bags, [0, 1, 1], hidden=4, gates=3, epochs=2)
+    model = quality_mil.Model(model.mean.astype(float), model.scale.astype(float), {k: w.astype(float) for k, w in model.weights.items()})
     flat, starts, labels = np.concatenate(bags), np.array([0, 1, 4]), np.array([0.0, 1, 1])
     grad = model.gradient(flat, starts, labels)
 
@@ -80,6 +82,54 @@ def test_attention_gradient_and_fit(spark, odd, empty):
     assert quality_mil.score(empty, nothing).count() == 0
 
 
+def test_scores_are_those_of_a_plain_scorer(odd, monkeypatch):
+    """Bag by bag and passage by passage, in sums over words, by the formulas."""
+    texts = [r.text for r in odd.collect()]
+    hashes = quality_mil.Hashes()
+    bags = [quality_mil.features([quality_mil.bag_of(t, hashes)]) for t in texts]
+    model = quality_mil.fit(bags, [k % 2 for k in range(len(bags))], epochs=3)
+    w, few = model.weights, quality_mil.BUCKETS
+
+    def bucket(value):
+        value = value * 0x9E3779B97F4A7C15 % 2**64
+        value ^= value >> 32
+        return value % few, 1 - 2 * (value >> 20 & 1)
+
+    def encoded(words):
+        x = np.zeros(quality_mil.N_FEATURES)
+        if words:
+            low = [zlib.crc32(v.lower().encode()) for v in words]
+            x[: quality_mil.N_LOOKS] = quality_mil.looks(words, [v.lower() for v in words])
+            for value in low + [(a * 0x9E3779B1 + b) % 2**64 for a, b in zip(low, low[1:], strict=False)]:
+                at, sign = bucket(value)
+                x[quality_mil.N_LOOKS + at] += sign / len(words) ** 0.5
+        return np.tanh(np.clip((x - model.mean) / model.scale, -8, 8) @ w["E"] + w["e"])
+
+    for size in (quality_mil.ENCODED, 3):
+        monkeypatch.setattr(quality_mil, "ENCODED", size)
+        score, top, n = model.score(texts)
+        for k, text in enumerate(texts):
+            words = (text or "").split()
+            h = [encoded(words[a : a + 64]) for a in range(0, max(1, len(words)), 64)]
+            raw = np.array([np.tanh(v @ w["V"]) * (1 / (1 + np.exp(-(v @ w["U"])))) @ w["w"] for v in h])
+            share = np.exp(raw) / np.exp(raw).sum()
+            want = 1 / (1 + np.exp(-(sum(a * v for a, v in zip(share, h, strict=True)) @ w["c"] + w["d"][0])))
+            assert abs(score[k] - want) < 1e-4 and abs(top[k] - share.max()) < 1e-4 and n[k] == len(h)
+
+
+def test_long_samples_are_made_smaller(spark):
+    docs = spark.createDataFrame([(k, "word " * 200) for k in range(100)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id bigint, quality int")
+    seen = []
+    quality_mil.fit, keep = lambda bags, labels: seen.append(len(bags)), quality_mil.fit
+    try:
+        quality_mil.learn(docs, labels)
+        quality_mil.learn(docs, labels, train_chars=20_000)
+    finally:
+        quality_mil.fit = keep
+    assert seen[0] > 60 and 5 < seen[1] < 40
+
+
 def test_language_bundles_and_accuracy(spark, odd, empty):
     space = langid.Space(64, 3)
     text = "Ab, cé"
