@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ FOLDS, HELD_FOLD = 4, 2
 LEAST_CELL = 1e-9
 #: Weight of the overall share of label 1 in a vote, in neighbours of similarity 1.
 PRIOR = 0.5
+#: Tasks among which the examples are dealt that all others vote on.
+CALIBRATION_TASKS = 32
 #: Distinct chunks of text whose term a worker remembers.
 MEMO = 400_000
 _STRIP = " \t\n.,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`@^«»¡¿…"
@@ -70,6 +73,27 @@ def g_statistic(a: np.ndarray, n1: float, b: np.ndarray, n0: float) -> np.ndarra
     return np.where(a * n0 >= b * n1, g, -g)
 
 
+def calibration(shares: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic function of a share's logit that fits labels best; (1, 0) if nothing can be told."""
+    if len(shares) < 20 or labels.min() == labels.max():
+        return 1.0, 0.0
+    x, y = np.stack([_logit(shares), np.ones(len(shares))], axis=1), labels.astype(float)
+    fit = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        bent = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-2])  # a little ridge towards (1, 0)
+        step = np.linalg.solve(bent, x.T @ (y - p) - 1e-2 * (fit - np.array([1.0, 0.0])))
+        fit = fit + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(fit[0]), float(fit[1])) if fit[0] > 0 else (1.0, 0.0)
+
+
+def _logit(share):
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from each start on, ``lengths`` of them, one range after another."""
     return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
@@ -150,6 +174,8 @@ class Index:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.terms, self.weights = terms[at].astype(np.int32), weights[at]
         self.block, self.blocks = block, -(-len(order) // block)
+        #: How a share of votes becomes a probability; see ``calibration``.
+        self.slope, self.offset = 1.0, 0.0
 
     def _postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(self.terms, kind="stable")
@@ -248,7 +274,7 @@ class Index:
             out.append((near[order], own[order]))
         return out
 
-    def _told(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _told(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each query, the votes for label 1 and all votes of the ``k`` examples nearest to it by telling terms alone."""
         votes, of_all = np.zeros(len(queries)), np.zeros(len(queries))
         if not len(self.ids):
@@ -263,27 +289,40 @@ class Index:
         for a in range(0, len(some), step := max(1, QUERY_CELLS // len(self.ids))):
             rows = some[a : a + step]
             score = np.round(q[rows] / np.linalg.norm(q[rows], axis=1, keepdims=True) @ self.said.T, 9)
+            if own is not None:
+                score[np.array(own)[rows][:, None] == self.ids] = 0
             near = np.argpartition(self.late - score, k - 1, axis=1)[:, :k]
             weight = np.take_along_axis(score, near, 1)
             votes[rows], of_all[rows] = (weight * self.labels[near]).sum(axis=1), weight.sum(axis=1)
         return votes, of_all
 
-    def vote(self, texts: list[Counter], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
-        """For each text: a share of label 1, and its nearest examples.
+    def shares(self, texts: list[Counter], k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[float, list[int], list[float]] | None]:
+        """For each text: the share of label 1 among votes, and its nearest examples; None if it holds no term of theirs.
 
         The nearest vote by a power of their similarity, so that copies count and likeness of topic hardly
         does; the nearest by telling terms vote beside them, and the overall share where few have a say.
+        ``own`` are ids of examples that do not vote on themselves.
         """
         vectors = [self.vector(t) for t in texts]
         some = [i for i, (at, _) in enumerate(vectors) if len(at)]
-        out: list[tuple[float, list[int], list[float]]] = [(self.silent, [], [])] * len(texts)
-        known = [vectors[i] for i in some]
-        for i, (found, score), said, all_said in zip(some, self.nearest(known, k), *self._told(known, k), strict=True):
+        out: list[tuple[float, list[int], list[float]] | None] = [None] * len(texts)
+        known, mine = [vectors[i] for i in some], [own[i] for i in some] if own is not None else None
+        near = self.nearest(known, k + (own is not None))
+        if mine is not None:
+            near = [(f[keep][:k], s[keep][:k]) for (f, s), i in zip(near, mine, strict=True) for keep in [self.ids[f] != i]]
+        for i, (found, score), said, all_said in zip(some, near, *self._told(known, k, mine), strict=True):
             weight = score**STEEP
             share = (weight @ self.labels[found] + said + PRIOR * self.share) / (weight.sum() + all_said + PRIOR)
             out[i] = float(share), self.ids[found].tolist(), score.tolist()
         return out
 
+    def vote(self, texts: list[Counter], k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
+        """For each text: the calibrated probability of label 1, and its nearest examples."""
+        return [(self.calibrated(r[0]), *r[1:]) if r else (self.silent, [], []) for r in self.shares(texts, k)]
+
+    def calibrated(self, share: float) -> float:
+        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * float(_logit(share)) + self.offset)))))
+
 
 def learn(
     docs: DataFrame,
@@ -297,8 +336,12 @@ def learn(
     """Indexes at most about ``examples`` labelled rows outside the held-out fold.
 
     Ids are sampled before any text is read; terms are counted on the executors and reach the
-    driver as Arrow columns. Null labels and null ids are not used; of an id with two labels,
-    the greater holds.
+    driver as Arrow columns. Then the executors let all others vote on each example, and a
+    logistic function of these votes is fitted to the labels: by it, scores are probabilities.
+
+    Null labels and null ids are not used; of an id with two labels, the greater holds. Rows that
+    share an id are each an example, and a null or empty text is one without terms. Columns are
+    taken by name, so others do not matter; from empty tables comes an index without examples.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (label_split("__id", FOLDS) != HELD_FOLD)
@@ -317,9 +360,21 @@ def learn(
 
     kinds = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("key", T.LongType())]
     counted = materialize(map_text(texts, function, kinds, "__text", ["__id", "__label"]), "examples")
-    rows = counted.toArrow()
+    index = Index.of_table(counted.toArrow(), min_g)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [Counter(dict(zip(t, n, strict=True))) for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            shares = [None if r is None else r[0] for r in shared.value.shares(held, own=batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), batch.column(1)], names=["share", "label"])
+
+    told = counted.select("__id", "__label", "terms", "counts").repartition(CALIBRATION_TASKS).mapInArrow(voted, "share double, label int")
+    told = told.where(F.col("share").isNotNull()).toPandas()
+    shared.unpersist()
     release(counted)
-    return Index.of_table(rows, min_g)
+    index.slope, index.offset = calibration(told["share"].to_numpy(), (told["label"].to_numpy() > 0).astype(int))
+    return index
 
 
 def score(
