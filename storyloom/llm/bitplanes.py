@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import slices
+from .common import rest, slices
 
 BLOCK_IDS = 65_536
 #: Byte planes came out smaller than bit planes here, and faster both ways.
 KIND = "byte"
 #: Texts encoded at once, if they are short.
-ROWS = 2048
+ROWS = 1024
 
 _BLOCKS = (
     "shard int, block int, first bigint, n_ids int, planes binary, plane_ends array<int>,"
@@ -122,7 +122,7 @@ def write(
                     place += total
         if held:
             yield flush()
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        rest()
 
     spark = docs.sparkSession
     ordered.mapInArrow(blocks, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
@@ -149,6 +150,14 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(buckets)) < int(buckets * rows / total))
 
 
+def rest() -> None:
+    """Gives back what a task no longer needs: its worker lives on, beside the next tasks'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 _kept: dict[object, object] = {}
 
 
@@ -195,8 +204,10 @@ def map_text(
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    source = df.select(*[F.col(c) for c in carry], F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in carry] + [f for t in types for f in t])
+    # A text that goes through is sent once, and taken back under its own name.
+    whole = [c for c in carry if c == text_col and isinstance(df.schema[c].dataType, T.StringType)]
+    source = df.select(*[F.col(c) for c in carry if c not in whole], F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([df.schema[c] for c in carry] + [f for t in types for f in t])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = function()
@@ -205,9 +216,9 @@ def map_text(
                 part = batch.slice(at, n)
                 made = of(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in carry] + [pa.array(v, type=t) for v, t in zip(made, arrow, strict=True)],
+                    [part.column("__text" if c in whole else c) for c in carry] + [pa.array(v, type=t) for v, t in zip(made, arrow, strict=True)],
                     names=[*carry, *names],
                 )
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        rest()
 
     return source.mapInArrow(run, schema)

@@ -220,7 +220,7 @@ def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, se
     context = source.sparkSession.sparkContext
     seeds = context.broadcast(Seeds(items, seed_words))
     kind = T.ArrayType(T.LongType())
-    held = map_text(source.withColumn("__whole", F.col("__text")), lambda: lambda texts: (seeds.value.held(texts),), [T.StructField("seeds", kind)], "__text", ["__id", "__whole"])
+    held = map_text(source, lambda: lambda texts: (seeds.value.held(texts),), [T.StructField("seeds", kind)], "__text", ["__id", "__text"])
     held = materialize(held.where(F.col("seeds").isNotNull()), "seeded")
 
     # Seeds are the benchmark's, so those found common are no more than were broadcast.
@@ -233,14 +233,14 @@ def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, se
         names = ["__id", "item_id", "score", "start_word", "end_word"]
         kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for at, n in slices(batch.column("__whole")):
-                rows = list(seeds.value.leaks(batch.column("__whole").slice(at, n), common.value, min_score))
+            for at, n in slices(batch.column("__text")):
+                rows = list(seeds.value.leaks(batch.column("__text").slice(at, n), common.value, min_score))
                 ids = batch.column("__id").slice(at, n).take(pa.array([r[0] for r in rows], pa.int64()))
                 values = [[seeds.value.ids[r[1]] for r in rows], *([r[k] for r in rows] for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=names)
 
     fields = [T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())]
-    scored = held.select("__id", "__whole").mapInArrow(aligned, T.StructType([id_type, *fields]))
+    scored = held.select("__id", "__text").mapInArrow(aligned, T.StructType([id_type, *fields]))
     best = scored.groupBy("__id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("best"))
     best = best.select("__id", "item_id", "best.score", (-F.col("best.col2")).alias("start_word"), F.col("best.end_word"))
     best = materialize(best, "leaks")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .common import kept
 
 #: Chunks a memo holds before it starts again: bounds a Python worker's memory.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 400_000
 #: New words that are encoded in one call of the library.
 JOINED = 64
 #: Below this code point, letters and their normal forms are the same in every version of Unicode.

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import encoders
-from .common import slices
+from .common import rest, slices
 
 WINDOW = 2048
 #: Documents that one task packs together, on average.
 GROUP_DOCS = 8192
 #: Texts encoded at once, if they are short.
-ROWS = 2048
+ROWS = 1024
 
 
 class OpenWindows:
@@ -109,7 +109,7 @@ def pieces(
                 if with_ids:
                     made.append(pa.array(data, pa.binary()))
                 yield pa.RecordBatch.from_arrays(made, names=[id_col, *(f.name for f in fields)])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        rest()
 
     return source.mapInArrow(cut, T.StructType([source.schema[id_col], *fields]))
 
