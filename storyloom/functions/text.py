@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -75,7 +76,7 @@ BAD_TITLE_PATTERNS = (
 #: Fixed value: the marks that are trimmed from both ends of a chapter title.
 TITLE_EDGES = "·…。.!！?？,，;；:：\""
 #: The tags that stay in text shown as HTML.
-SAFE_TAGS = ("p", "br", "b", "i", "u", "em", "strong", "span", "blockquote", "ul", "ol", "li")
+SAFE_TAGS = ("br", "p", "b", "i", "em", "strong", "h1", "h2", "h3", "h4", "h5", "h6")
 #: What a page of a challenge or a refusal says near its start.
 BLOCK_MARKERS = (
     "captcha", "verify you are a human", "请完成安全验证", "access denied", "403 forbidden", "request blocked",
@@ -86,6 +87,11 @@ BLOCK_MARKERS = (
 NOT_WORDS = r"^[\s\d\p{P}\p{S}]*$"
 
 
+#: Where one character has over half of a text of five or more, it stands twice within three places; from six
+#: tenths on, it stands three times within five.
+CLOSE_TWINS = (r"(?s)(.).?\1", r"(?s)(.)(?:\1.{0,2}|.\1.?|..\1)\1")
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -130,11 +136,15 @@ def mode_share(text: Column) -> Column:
 
 
 def repeats_itself(text: Column, most: float = 0.6) -> Column:
-    """Whether one character makes up so great a share; one of over half is the median of all in order."""
+    """Whether one character makes up so great a share; one of over half is the median of all in order.
+
+    If one makes up six tenths, some three characters in a row hold it twice: only texts of which
+    that is so are put in order.
+    """
     if most > 0.5:
-        middle = F.element_at(F.array_sort(F.split(text, "")), (F.floor(F.length(text) / 2) + 1).cast("int"))
+        middle = F.element_at(F.sort_array(F.split(text, "")), (F.floor(F.length(text) / 2) + 1).cast("int"))
         share = (F.length(text) - F.length(F.replace(text, middle, F.lit("")))) / F.length(text)
-        return F.coalesce(F.when(F.length(text) >= 5, share >= most), F.lit(False))
+        return F.coalesce(F.when((F.length(text) >= 5) & text.rlike(CLOSE_TWINS[most > 0.55]), share >= most), F.lit(False))
     return F.coalesce(F.when(F.length(text) >= 5, mode_share(text) >= most), F.lit(False))
 
 
@@ -146,7 +156,8 @@ def clean_content(
     max_repeat_ratio: float = 0.6,
 ) -> Column:
     """Lines that carry text, cleaned, one below another. A null text gives an empty one."""
-    drop = "|".join(f"(?:{p})" for p in (*REMOVE_LINES, *remove_lines))
+    # What may stand before and after a word needs no match of its own.
+    drop = "|".join(f"(?:{re.sub(r'^\^\.\*(.*)\.\*\$$', r'\1', p, flags=re.S)})" for p in (*REMOVE_LINES, *remove_lines))
     cut = "|".join(f"(?:{p})" for p in (*INLINE_REMOVE, *inline_remove))
     lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), strip)
     kept = F.filter(
@@ -212,8 +223,6 @@ def apply_transform(value: Column, kind: str, param: str = "") -> Column:
     if kind == "suffix":
         return F.when(value.endswith(param), F.left(value, F.length(value) - len(param))).otherwise(value)
     if kind == "regex":
-        import re
-
         return F.when(value.rlike(param), F.regexp_extract(value, param, min(1, re.compile(param).groups))).otherwise(value)
     if kind == "trim":
         return strip(value)
@@ -238,12 +247,13 @@ def anchor(template: Column, values: dict[str, Column]) -> Column:
 
 def page_template(url: Column) -> Column:
     """The last positive number among the underscored parts of a file name becomes ``{page}``."""
-    stem = F.regexp_extract(url, r"^(.*?)(\.[A-Za-z]+)?$", 1)
-    tail = F.regexp_extract(url, r"(\.[A-Za-z]+)$", 1)
+    folder = F.regexp_extract(url, r"^(.*/)?([^/]*?)(\.[A-Za-z]+)?$", 1)
+    stem = F.regexp_extract(url, r"^(.*/)?([^/]*?)(\.[A-Za-z]+)?$", 2)
+    tail = F.regexp_extract(url, r"^(.*/)?([^/]*?)(\.[A-Za-z]+)?$", 3)
     parts = F.split(stem, "_")
-    at = F.array_max(F.transform(parts, lambda p, i: F.when((i > 0) & p.rlike("^[0-9]+$") & ~p.rlike("^0+$"), i)))
+    at = F.array_max(F.transform(parts, lambda p, i: F.when(p.rlike("^[0-9]+$") & ~p.rlike("^0+$"), i)))
     named = F.array_join(F.transform(parts, lambda p, i: F.when(i == at, F.lit("{page}")).otherwise(p)), "_")
-    return F.when(at.isNotNull(), F.concat(named, tail))
+    return F.when((F.size(parts) > 1) & at.isNotNull(), F.concat(folder, named, tail))
 
 
 def page_urls(url: Column, pages: Column) -> Column:
@@ -254,14 +264,38 @@ def page_urls(url: Column, pages: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+    """The host in lower case; an IPv6 address without its brackets, and no user's name."""
+    found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1)
+    return F.lower(F.btrim(found, F.lit("[]")))
+
+
+#: IPv4 networks that no public site is in, as first address and length of the prefix.
+PRIVATE_NETWORKS = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
+    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
+    ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+
+
+def _ipv4(host: Column) -> Column:
+    """An address as a number; null if the host is none."""
+    parts = F.transform(F.split(host, r"\."), lambda p: p.cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p)
+    return F.when(host.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$") & ~host.endswith("."), number)
 
 
 def public_url(url: Column) -> Column:
-    """http or https, and no address of a private, loopback or link-local network."""
+    """http or https, and no address of a private, loopback, link-local or reserved network."""
     host = host_of(url)
-    private = host.rlike(r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") & host.rlike(r"^[0-9.]+$")
-    return F.coalesce(url.rlike("^(?i)https?://") & (host != "") & (host != "localhost") & ~private, F.lit(False))
+    four = _ipv4(F.regexp_replace(host, r"^::ffff:(?=[0-9.]+$)", ""))
+    inside = F.lit(False)
+    for network, length in PRIVATE_NETWORKS:
+        first = sum(int(p) << s for p, s in zip(network.split("."), (24, 16, 8, 0), strict=True))
+        inside = inside | four.between(first, first + (1 << (32 - length)) - 1)
+    # unspecified, loopback, unique local, link-local, multicast and documentation addresses
+    six = host.contains(":") & host.rlike(r"^(::1?$|f[cd]|fe[89ab]|ff|2001:0?db8:)")
+    named = host.rlike(r"^(localhost|.*\.localhost|.*\.local|.*\.internal)\.?$")
+    return F.coalesce(url.rlike("^(?i)https?://") & (host != "") & ~named & ~six & ~F.coalesce(inside, F.lit(False)), F.lit(False))
 
 
 def blocked(html: Column, markers: Sequence[str] = BLOCK_MARKERS) -> Column:

@@ -1,4 +1,4 @@
-"""Progress, rate limits and caches (STM, WIN10)."""
+"""Progress, rate limits and the reuse of keys (STM01-06, STM09, WIN10)."""
 
 from __future__ import annotations
 
@@ -36,7 +36,9 @@ def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
     return limits.rate_limit(events(spark, d), "task_id", "ts", "event_id", 5, 21_600)
 
 
-@query()
+@query("""
+SELECT event_id, task_id, round(age, 6) AS age, coalesce(age < 36000, false) AS fresh FROM (
+  SELECT event_id, user_id AS task_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS age FROM events)""")
 def cache_replay(spark: SparkSession, d: str) -> DataFrame:
-    log = events(spark, d).withColumn("cache", F.col("task_id") % 8).withColumn("size", F.lit(1000))
-    return limits.replay_cache(log, "cache", "task_id", "size", "ts", "event_id", 10, 8_000, 36_000.0)
+    """Which accesses find their key asked for less than ten hours before."""
+    return limits.reuse(events(spark, d), "task_id", "ts", "event_id", 36_000).select("event_id", "task_id", F.round("age", 6).alias("age"), "fresh")

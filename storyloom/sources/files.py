@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
+import json
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names a rule may have, the language all others fall back to, and the languages of a synthetic site.
 RULE_NAME = r"^[a-zA-Z0-9_-]+$"
 BASE_LANGUAGE = "zh"
+#: Fixed value: the level at which texts are compressed.
+BLOB_LEVEL = 3
 LANGUAGES = ("en", "zh", "ja", "ko", "fr", "de", "es", "ru")
 PAGE_KINDS = ("/", "/novels", "/novels?category=1", "/search?q=test")
 
@@ -26,7 +32,7 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, boun
 def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     """Gzipped texts laid out as ``novel/chapter.txt.gz``: their two ids and the text."""
     path = F.col("_metadata.file_path")
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").text(root, wholetext=True)
     return texts.select(
         F.regexp_extract(path, r"([^/]+)/[^/]+\.txt\.gz$", 1).alias("novel_id"),
         F.regexp_extract(path, r"([^/]+)\.txt\.gz$", 1).alias("chapter_id"),
@@ -34,9 +40,89 @@ def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_blobs(chapters: DataFrame, root: str) -> None:
-    """Texts that are not empty, compressed, in files by novel; Spark commits all of them or none."""
-    chapters.where(F.length("content") > 0).write.mode("append").option("compression", "gzip").partitionBy("novel_id").parquet(root)
+def write_blobs(chapters: DataFrame, root: str) -> DataFrame:
+    """Texts that are not empty, each gzipped to ``novel/chapter.txt.gz`` under ``root``; gives what was written.
+
+    A file's name is final only when all of it is there: it is written beside its place by the
+    file system that Spark has for ``root``, and renamed. So a task can be run again at any time.
+    """
+    from pyspark.sql import types as T
+
+    folder = root.rstrip("/")
+    texts = chapters.where(F.length("content") > 0).select(
+        F.col("novel_id").cast("string").alias("novel_id"), F.col("id").cast("string").alias("id"), F.col("content").cast("binary").alias("content")
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            sizes = []
+            for novel, chapter, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                packed = gzip.compress(content, BLOB_LEVEL, mtime=0)
+                place, beside = f"{base}/{novel}/{chapter}.txt.gz", f"{base}/{novel}/.{chapter}.{uuid.uuid4().hex}"
+                system.create_dir(f"{base}/{novel}", recursive=True)
+                with system.open_output_stream(beside) as out:
+                    out.write(packed)
+                system.move(beside, place)
+                sizes.append(len(packed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["novel_id", "chapter_id", "bytes"])
+
+    schema = T.StructType([T.StructField("novel_id", T.StringType()), T.StructField("chapter_id", T.StringType()), T.StructField("bytes", T.LongType())])
+    return texts.mapInArrow(write, schema)
+
+
+def delete_blobs(spark: SparkSession, root: str, gone: DataFrame) -> int:
+    """Deletes the files of ``novel_id`` and ``id``; a file that is not there is passed over. Gives how many there were."""
+    folder = root.rstrip("/")
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            done = []
+            for novel, chapter in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = f"{base}/{novel}/{chapter}.txt.gz"
+                there = system.get_file_info(place).type == fs.FileType.File
+                if there:
+                    system.delete_file(place)
+                done.append(int(there))
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["deleted"])
+
+    keys = gone.select(F.col("novel_id").cast("string"), F.col("id").cast("string")).distinct()
+    return int(keys.mapInArrow(delete, "deleted int").agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0])
+
+
+def blobs_exist(chapters: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Adds ``has_file`` to chapters; the files are listed, not read."""
+    there = blobs.select(F.col("chapter_id").alias("id"), F.lit(True).alias("has_file")).distinct()
+    return chapters.join(there, "id", "left").withColumn("has_file", F.coalesce("has_file", F.lit(False)))
+
+
+def save_rule(spark: SparkSession, root: str, source: str, rule: dict) -> None:
+    """Writes a rule file by way of another name, so that no reader sees half of it."""
+    if not re.fullmatch(RULE_NAME, source):
+        raise ValueError(f"not the name of a rule: {source!r}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(f"{root}/{source}.json")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{root}/.{source}.{uuid.uuid4().hex}")
+    system = place.getFileSystem(conf)
+    out = system.create(beside, True)
+    out.write(bytearray(json.dumps(rule, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    system.delete(place, False)
+    if not system.rename(beside, place):
+        raise OSError(f"can't rename {beside} to {place}")
+
+
+def delete_rule(spark: SparkSession, root: str, source: str) -> bool:
+    """Whether there was such a rule file."""
+    if not re.fullmatch(RULE_NAME, source):
+        raise ValueError(f"not the name of a rule: {source!r}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{source}.json")
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False))
 
 
 def resolve_content(chapters: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -66,7 +152,7 @@ def load_rule(spark: SparkSession, root: str, source: str, schema: str) -> DataF
 
 def dictionary(spark: SparkSession, path: str, language: str) -> DataFrame:
     """A flat JSON object of strings as rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
     return entries.withColumn("language", F.lit(language))
 

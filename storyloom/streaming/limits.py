@@ -1,12 +1,13 @@
-"""State that feeds back on itself: the sliding rate limit, and caches of bounded size and age."""
+"""State that feeds back on itself: the sliding rate limit; and how often keys are asked for again."""
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Requests a client may make in a number of seconds.
@@ -31,8 +32,6 @@ def rate_limit(calls: DataFrame, client: str, time: str, order: str, most: int =
     Calls are dealt by client and sorted by Spark; a task reads them as they come and holds one
     client's recent admissions at a time, at most ``most`` of them, however many calls it made.
     """
-    from pyspark.sql import functions as F
-
     keyed = calls.withColumn("__at", F.col(time).cast("timestamp").cast("double")).repartition(client).sortWithinPartitions(client, "__at", order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,76 +48,33 @@ def rate_limit(calls: DataFrame, client: str, time: str, order: str, most: int =
     return keyed.mapInPandas(run, schema)
 
 
-def rate_limit_stream(calls: DataFrame, client: str, time: str, most: int = MOST, seconds: int = SECONDS) -> DataFrame:
-    """The same over a stream: a client's recent admissions are its state, which expires when it falls silent."""
+def rate_limit_stream(calls: DataFrame, client: str, time: str, most: int = MOST, seconds: int = SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: a client's recent admissions are its state.
+
+    A batch's calls of a client are put in order of their time before any is judged; calls later
+    than ``late`` are dropped by the watermark. State expires once the watermark has passed the
+    last admission by ``seconds``, so silent clients cost nothing.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         recent = deque(state.get[0]) if state.exists else deque()
-        for frame in frames:
-            frame = frame.sort_values(time)
-            times = frame[time].astype("int64") / 1e9 if str(frame[time].dtype).startswith("datetime64[ns") else frame[time].astype("datetime64[ns]").astype("int64") / 1e9
-            yield pd.DataFrame({client: key[0], time: frame[time], "allowed": admit(iter(times), recent, most, seconds)})
+        frame = pd.concat(list(frames)).sort_values(time, kind="stable")
+        times = frame[time].astype("datetime64[ns]").astype("int64") / 1e9
+        yield pd.DataFrame({client: key[0], time: frame[time], "allowed": admit(iter(times), recent, most, seconds)})
         state.update((list(recent),))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(int((recent[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
     kind = calls.schema[client].dataType.simpleString()
-    return calls.groupBy(client).applyInPandasWithState(
-        step, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return calls.withWatermark(time, late).groupBy(client).applyInPandasWithState(
+        step, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-class Cache:
-    """Entries of bounded number, bytes and age; the least recently used goes first."""
-
-    def __init__(self, items: int, size: int, seconds: float):
-        self.items, self.size, self.seconds = items, size, seconds
-        self.held: OrderedDict = OrderedDict()
-        self.total = 0
-
-    def get(self, key, now: float) -> bool:
-        found = self.held.get(key)
-        if found is None:
-            return False
-        if now - found[1] >= self.seconds:
-            self.drop(key)
-            return False
-        self.held.move_to_end(key)
-        return True
-
-    def put(self, key, size: int, now: float) -> None:
-        self.drop(key)
-        if size > self.size:
-            return
-        self.held[key] = (size, now)
-        self.total += size
-        while len(self.held) > self.items or self.total > self.size:
-            self.drop(next(iter(self.held)))
-
-    def drop(self, key) -> None:
-        if (found := self.held.pop(key, None)) is not None:
-            self.total -= found[0]
-
-
-def replay_cache(log: DataFrame, cache: str, key: str, size: str, time: str, order: str, items: int = 100, most_bytes: int = 16 << 20, seconds: float = 300) -> DataFrame:
-    """Adds ``hit`` to a log of accesses, replayed in order through one bounded cache for each value of ``cache``."""
-    from pyspark.sql import functions as F
-
-    keyed = log.withColumn("__at", F.col(time).cast("timestamp").cast("double")).repartition(cache).sortWithinPartitions(cache, "__at", order)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, own = object(), Cache(items, most_bytes, seconds)
-        for batch in batches:
-            hits = []
-            for c, k, n, t in zip(batch[cache], batch[key], batch[size], batch["__at"], strict=True):
-                if c != who:
-                    who, own = c, Cache(items, most_bytes, seconds)
-                hits.append(own.get(k, t))
-                if not hits[-1]:
-                    own.put(k, int(n), t)
-            yield batch.drop(columns="__at").assign(hit=hits)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", hit boolean"
-    return keyed.mapInPandas(run, schema)
+def reuse(log: DataFrame, key: str, time: str, order: str, seconds: float) -> DataFrame:
+    """Adds the age of a key's last access, ``age``, and whether a store of so many seconds would still hold it, ``fresh``."""
+    before = F.lag(F.col(time)).over(Window.partitionBy(key).orderBy(time, order))
+    age = F.col(time).cast("timestamp").cast("double") - before.cast("timestamp").cast("double")
+    return log.withColumn("age", age).withColumn("fresh", F.coalesce(F.col("age") < seconds, F.lit(False)))

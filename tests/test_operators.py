@@ -113,16 +113,11 @@ def test_rate_limit_forgets_refused_calls(spark):
     assert [r.allowed for r in found.orderBy("n").collect()] == [True, True, False, True, False]
 
 
-def test_cache_is_bounded():
-    cache = limits.Cache(2, 100, 10)
-    cache.put("a", 10, 0)
-    cache.put("b", 10, 0)
-    assert cache.get("a", 1)
-    cache.put("c", 10, 2)
-    assert not cache.get("b", 2) and cache.get("a", 2)
-    assert not cache.get("a", 20) and cache.total == 10
-    cache.put("d", 101, 2)
-    assert not cache.get("d", 2)
+def test_reuse(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("a", 1, start), ("b", 2, start), ("a", 3, start + timedelta(seconds=5)), ("a", 4, start + timedelta(seconds=30))]
+    found = limits.reuse(spark.createDataFrame(rows, "k string, n int, at timestamp"), "k", "at", "n", 10)
+    assert values(found.select("n", "age", "fresh"), "n") == [(1, None, False), (2, None, False), (3, 5.0, True), (4, 25.0, False)]
 
 
 def test_pages():

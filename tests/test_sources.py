@@ -23,10 +23,25 @@ def test_blobs_come_before_the_column(spark, tmp_path):
     assert files.count_files(spark, str(tmp_path)).first().files == 2
 
 
-def test_written_blobs_leave_out_empty_texts(spark, tmp_path):
-    rows = spark.createDataFrame([("n1", "c1", "x"), ("n1", "c2", ""), ("n2", "c3", None)], "novel_id string, id string, content string")
-    files.write_blobs(rows, str(tmp_path / "out"))
-    assert values(spark.read.parquet(str(tmp_path / "out")).select("id")) == [("c1",)]
+def test_blobs_round_trip(spark, tmp_path):
+    texts = [("n1", "c1", "x\ny\n"), ("n1", "c2", ""), ("n2", "c3", None), ("n2", "c4", "日本\r\nlast")]
+    rows = spark.createDataFrame(texts, "novel_id string, id string, content string")
+    assert values(files.write_blobs(rows, str(tmp_path)).select("chapter_id"), "chapter_id") == [("c1",), ("c4",)]
+    files.write_blobs(rows, str(tmp_path)).count()  # again, as a task that is run twice
+    blobs = files.read_blobs(spark, str(tmp_path))
+    assert values(blobs, "chapter_id") == [("n1", "c1", "x\ny\n"), ("n2", "c4", "日本\r\nlast")]
+    assert values(files.blobs_exist(rows, blobs).select("id", "has_file"), "id") == [("c1", True), ("c2", False), ("c3", False), ("c4", True)]
+    assert files.delete_blobs(spark, str(tmp_path), rows.where("novel_id = 'n1'")) == 1
+    assert values(files.read_blobs(spark, str(tmp_path)).select("chapter_id")) == [("c4",)]
+
+
+def test_rules_are_written_whole(spark, tmp_path):
+    for name in ("Old", "新"):
+        files.save_rule(spark, str(tmp_path), "mine", {"name": name})
+        assert files.load_rule(spark, str(tmp_path), "mine", "name string").first().name == name
+    assert files.delete_rule(spark, str(tmp_path), "mine") and not files.delete_rule(spark, str(tmp_path), "mine")
+    with pytest.raises(ValueError, match="not the name"):
+        files.save_rule(spark, str(tmp_path), "a/b", {})
 
 
 def test_rules(spark, tmp_path):
@@ -42,7 +57,7 @@ def test_rules(spark, tmp_path):
 
 def test_dictionary_falls_back_twice(spark, tmp_path):
     (tmp_path / "en.json").write_text('{"a": "A"}')
-    (tmp_path / "zh.json").write_text('{"a": "甲", "b": "乙"}')
+    (tmp_path / "zh.json").write_text('{\n  "a": "甲",\n  "b": "乙"\n}\n')
     both = files.dictionary(spark, str(tmp_path / "en.json"), "en").unionAll(files.dictionary(spark, str(tmp_path / "zh.json"), "zh"))
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     assert values(files.translations(both, "en", keys), "key") == [("a", "A"), ("b", "乙"), ("c", "c")]
@@ -63,7 +78,7 @@ def test_plug_in_source(spark):
 
 def test_streams_agree_with_their_batches(spark, tmp_path):
     rows = [(k, k % 3, ("start", "progress", "error")[k % 3 - 1], k, float(k)) for k in range(60)]
-    events = spark.createDataFrame(rows, "event_id bigint, task_id bigint, type string, s int, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events = spark.createDataFrame(rows, "event_id bigint, task_id bigint, type string, s int, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 86_400)).drop("s")  # a watermark begins at the epoch
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
 
@@ -75,8 +90,7 @@ def test_streams_agree_with_their_batches(spark, tmp_path):
 
     one = progress.stream(spark, str(tmp_path / "in"), events.schema, 10)
     limited = limits.rate_limit_stream(one, "task_id", "ts", 2, 10)
-    query = limited.writeStream.outputMode("append").format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c2")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = limited.writeStream.outputMode("append").format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     wanted = limits.rate_limit(batch, "task_id", "ts", "event_id", 2, 10).select("task_id", "ts", "allowed")
     assert values(spark.table("limited").select("task_id", "ts", "allowed"), "task_id", "ts") == values(wanted, "task_id", "ts")

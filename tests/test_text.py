@@ -23,6 +23,22 @@ def test_valid_title(spark, title, valid):
         (text.count_words, None, 0),
         (text.clean_chapter_title, "第3章 开端（求月票）", "第3章 开端"),
         (text.safe_html, "<b>x</b><div>y", "<b>x</b>y"),
+        (text.safe_html, "<H2>t</H2><p>a<br/><span>b</span><ul><li>c</li></ul><u>d</u>", "<H2>t</H2><p>a<br/>bcd"),
+        (text.repeats_itself, "abacadaeaf", False),
+        (text.repeats_itself, "abaacaadaa", True),
+        (text.page_template, "https://h/book_7/list_2.html", "https://h/book_7/list_{page}.html"),
+        (text.page_template, "https://h/book_7/list.html", None),
+        (text.page_template, "https://h/3_a.html", "https://h/{page}_a.html"),
+        (text.public_url, "http://[::1]/", False),
+        (text.public_url, "http://[fd00::2]:80/x", False),
+        (text.public_url, "http://[2606:4700::1111]/", True),
+        (text.public_url, "http://198.18.0.1/", False),
+        (text.public_url, "http://250.1.1.1/", False),
+        (text.public_url, "http://172.31.0.9:8080/", False),
+        (text.public_url, "http://172.32.0.9/", True),
+        (text.public_url, "http://user@10.1.1.1/", False),
+        (text.public_url, "http://10.example.com/", True),
+        (text.public_url, "http://localhost:80", False),
         (text.repeats_itself, "aaab!", True),
         (text.repeats_itself, "aab", False),
         (text.repeats_itself, None, False),
