@@ -131,11 +131,15 @@ def without(root: Node, selector: str) -> Node:
 def field(root: Node, base: str, spec: dict) -> str | None:
     """A rule's field: the first non-empty value of its selectors, else its default, then transformed.
 
-    ``spec``: ``selectors``, ``attr`` (text if absent), ``regex``, ``absolute`` and ``default``.
+    ``spec``: ``selectors`` (``&`` is the row's own element), ``attr`` (text if absent), ``nth`` (only
+    that element), ``must`` (a pattern that the value has), ``regex``, ``absolute`` and ``default``.
     """
     for selector in spec.get("selectors", ()):
-        for node in select(root, selector):
+        nodes = [root] if selector == "&" else select(root, selector)
+        for node in nodes if "nth" not in spec else nodes[spec["nth"] : spec["nth"] + 1]:
             value = node.attrs.get(spec["attr"], "") if spec.get("attr") else node.text()
+            if spec.get("must") and not re.search(spec["must"], value):
+                continue
             if spec.get("regex") and (m := re.search(spec["regex"], value)):
                 value = m[1] if m.re.groups else m[0]
             if value.strip():
@@ -166,8 +170,8 @@ def extract(pages: DataFrame, fields: dict[str, dict], container: str | None = N
     return pages.select(key, "url", "html").mapInPandas(rows, f"{key} {kind}, position int, " + ", ".join(f"`{n}` string" for n in names))
 
 
-def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str = "page_id") -> DataFrame:
-    """Links whose address matches, outside the site's frame, the first of each address; a page without the main element is searched whole."""
+def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str = "page_id", frame: frozenset[str] = FRAME) -> DataFrame:
+    """Links whose address matches, outside the site's frame (elements of ``frame``), the first of each address; a page without the main element is searched whole."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         want = re.compile(pattern)
@@ -177,7 +181,7 @@ def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str
                 root, seen = parse(html), set()
                 for a in select((select(root, main) or [root])[0], "a[href]"):
                     href = urljoin(url or "", a.attrs["href"])
-                    if href in seen or not want.search(href) or any(n.tag in FRAME for n in a.above()):
+                    if href in seen or not want.search(href) or any(n.tag in frame for n in a.above()):
                         continue
                     seen.add(href)
                     out.append((ident, len(seen) - 1, href, a.text() or a.attrs.get("title", "")))

@@ -28,19 +28,23 @@ def sort_key(column: str, direction: str) -> Column:
 
 
 def filtered(
-    novels: DataFrame, search: str | None = None, status: str | None = None, members: DataFrame | None = None, category: str | None = None
+    novels: DataFrame, search: str | None = None, status: str | None = None, members: DataFrame | None = None, category: str | DataFrame | None = None
 ) -> DataFrame:
     """The novels that meet all given conditions; one that is None or empty does not count.
 
     ``members`` is the bridge of novels and categories: a category is a semi-join on it, so a
-    novel comes once however many rows link it.
+    novel comes once however many rows link it. It may be the one row of a table too.
     """
     if search:
         novels = novels.where(contains_text(search, "title", "author"))
     if status:
         novels = novels.where(F.col("status") == status)
-    if category and members is not None:
-        inside = members.where(F.col("category") == category).select(F.col("novel_id").alias("id"))
+    if category is not None and category != "" and members is not None:
+        if isinstance(category, str):
+            members = members.where(F.col("category") == category)
+        else:
+            members = members.join(F.broadcast(category.limit(1)), "category", "left_semi")
+        inside = members.select(F.col("novel_id").alias("id"))
         novels = novels.join(inside, "id", "left_semi")
     return novels
 
@@ -70,14 +74,14 @@ def in_scope(column: str, scope: str | int) -> Column:
 
 
 def scope_choice(rows: DataFrame, column: str, choice: str | int | None) -> DataFrame:
-    """All rows, only global ones (``'global'``), or those of one scope."""
+    """All rows, only global ones (``'global'``: null or empty), or those of one scope."""
     if choice is None:
         return rows
-    return rows.where(F.col(column).isNull()) if choice == "global" else rows.where(F.col(column) == choice)
+    return rows.where(missing(column)) if choice == "global" else rows.where(F.col(column) == choice)
 
 
 def missing(column: str) -> Column:
-    return F.col(column).isNull() | (F.col(column) == "")
+    return F.col(column).isNull() | (F.col(column).cast("string") == "")
 
 
 def contains_any(words: Sequence[str], *columns: str) -> Column:

@@ -52,12 +52,6 @@ def best_category(names: DataFrame, name: str, categories: Sequence[str], words:
     )
 
 
-def best_candidates(wanted: DataFrame, found: DataFrame, block: str, size: int = 1) -> DataFrame:
-    """For each wanted title, the best ``size`` candidates of its block, by score and then position."""
-    pairs = wanted.join(found, block).withColumn("score", match_score(*[F.col(c) for c in ("title", "author", "found_title", "found_author")]))
-    return first_per_key(pairs.where(F.col("score") >= LEAST_MATCH), "id", [F.desc("score"), F.asc("position")], size)
-
-
 def _contained(short: DataFrame, inner: str, long: DataFrame, outer: str) -> DataFrame:
     """Pairs of which the one string holds the other: keyed by the inner one's first characters, then compared whole."""
     pieces = F.flatten(

@@ -145,10 +145,10 @@ def progress_samples(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'running' AND created_at < now - INTERVAL 600 SECOND) AS stuck
 FROM task, latest""", c.TASK_SQL))
 def queue_status(spark: SparkSession, d: str) -> DataFrame:
-    now = c.table(spark, d, "events").agg(F.max("ts")).first()[0]
+    now = c.table(spark, d, "events").agg(F.max("ts").alias("now"))
     running = F.col("status") == "running"
-    stuck = running & (F.col("created_at") < F.lit(now) - F.make_dt_interval(secs=F.lit(600)))
-    return c.tasks(spark, d).agg(F.count_if(running).alias("running"), F.count_if(stuck).alias("stuck"))
+    stuck = running & (F.col("created_at") < F.col("now") - F.make_dt_interval(secs=F.lit(600)))
+    return c.beside(c.tasks(spark, d), now).agg(F.count_if(running).alias("running"), F.count_if(stuck).alias("stuck"))
 
 
 @query("""

@@ -49,21 +49,22 @@ CHAPTER_SQL = """chapter AS (
   FROM lineitem)"""
 
 
-def novels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as novels; the chapter counter is one aggregate of the child table."""
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            F.col("o_orderkey").alias("id"),
-            F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-            F.col("c_name").alias("author"),
-            relabel("o_orderstatus", NOVEL_STATES).alias("status"),
-            F.coalesce("n", F.lit(0)).alias("total_chapters"),
-            F.col("o_orderdate").alias("updated_at"),
-        )
+def novels(spark: SparkSession, sf_dir: str, counted: bool = True, authored: bool = True) -> DataFrame:
+    """Orders as novels. The counter of chapters is an aggregate of the child table and the author a join: both are
+    left out where nobody asks for them."""
+    rows = table(spark, sf_dir, "orders")
+    if authored:
+        rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    if counted:
+        counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        *([F.col("c_name").alias("author")] if authored else []),
+        relabel("o_orderstatus", NOVEL_STATES).alias("status"),
+        *([F.coalesce("n", F.lit(0)).alias("total_chapters")] if counted else []),
+        F.col("o_orderdate").alias("updated_at"),
     )
 
 
@@ -163,6 +164,11 @@ TARGET_SQL = """target AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Each row with the columns of a one-row aggregate: a broadcast of that row, and no job of its own."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def with_views(body: str, *views: str) -> str:
     """``body`` after the common table expressions it needs; it may begin with a comma and more of them."""
     return "WITH " + ",\n".join(views) + body
