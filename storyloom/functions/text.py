@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -167,6 +167,11 @@ def clean_content(
     return F.coalesce(F.array_join(whole, "\n"), F.lit(""))
 
 
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """A function of a value that it names many times: the value is worked out once, and plans stay small."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _without(title: Column, patterns: Sequence[str]) -> Column:
     out = strip(title)
     for p in patterns:
@@ -174,8 +179,7 @@ def _without(title: Column, patterns: Sequence[str]) -> Column:
     out = F.regexp_replace(out, f"{SPACE}+", " ")
     for entity, char in ENTITIES:
         out = F.regexp_replace(out, entity, char)
-    out = strip(out)
-    return F.coalesce(F.when(out != "", out), strip(title), F.lit(""))
+    return F.coalesce(F.nullif(strip(out), F.lit("")), strip(title), F.lit(""))
 
 
 def clean_title(title: Column) -> Column:
@@ -188,7 +192,10 @@ def clean_novel_title(title: Column) -> Column:
 
 def valid_title(title: Column) -> Column:
     """Whether it may be a chapter's title: 2 to 200 characters, no page furniture, and some letters."""
-    text = strip(F.coalesce(title, F.lit("")))
+    return _once(strip(F.coalesce(title, F.lit(""))), _valid)
+
+
+def _valid(text: Column) -> Column:
     ok = F.length(text).between(2, 200) & ~text.isin(*BAD_TITLES)
     low = F.lower(text)
     for part in BAD_TITLE_PARTS:
@@ -200,8 +207,7 @@ def valid_title(title: Column) -> Column:
 
 def clean_chapter_title(title: Column) -> Column:
     bare = F.regexp_replace(clean_title(title), "<[^>]*>", "")
-    trimmed = F.btrim(bare, F.lit(TITLE_EDGES))
-    return F.when(valid_title(trimmed), trimmed).otherwise(F.lit(""))
+    return _once(F.btrim(bare, F.lit(TITLE_EDGES)), lambda t: F.when(valid_title(t), t).otherwise(F.lit("")))
 
 
 def without_suffix(text: Column, separators: Sequence[str] = (" - ", "_", " | ", " – ", "-")) -> Column:

@@ -51,6 +51,25 @@ def delete(rows: DataFrame, gone: DataFrame, key: str, keep: Column | None = Non
     return rows.join(listed, key, "left").where(F.col("__gone").isNull() | held).drop("__gone")
 
 
+def deleted(rows: DataFrame, gone: DataFrame, key: str, scope: Column) -> DataFrame:
+    """The rows that a list of keys removes inside a scope: what a delete by list counts."""
+    return rows.where(F.coalesce(scope, F.lit(False))).join(gone.select(key).distinct(), key, "left_semi")
+
+
+def upsert_last(rows: DataFrame, messages: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Each key's last message by ``order`` replaces its row or adds it; rows without a message stay."""
+    columns = [c for c in rows.columns if c != key]
+    last = messages.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("__last")).select(key, *[F.col(f"__last.{c}").alias(c) for c in columns])
+    return rows.join(last, key, "left_anti").unionByName(last)
+
+
+def sweep(locks: DataFrame, now: Column) -> DataFrame:
+    """Frees the locks whose time is over; ``swept`` tells which."""
+    over = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("locked_at") > F.col("ttl"), F.lit(True))
+    held = F.coalesce(F.col("owner") != "", F.lit(False))
+    return locks.withColumn("swept", held & over).withColumn("owner", F.when(~F.col("swept"), F.col("owner")))
+
+
 def reset_stuck(tasks: DataFrame, now: Column, seconds: int = 600) -> DataFrame:
     """Running tasks that began before the cutoff wait again."""
     stuck = (F.col("status") == "running") & (F.col("created_at") < now - F.make_dt_interval(secs=F.lit(seconds)))

@@ -24,6 +24,14 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     )
 
 
+def drained(events: DataFrame, last: str) -> DataFrame:
+    """Of each task that has sent ``last``: how many events came from then on, and when its stream is done."""
+    here = F.struct("ts", "event_id")
+    ends = events.groupBy("task_id").agg(F.min(F.when(F.col("type") == last, here)).alias("finish")).where(F.col("finish").isNotNull())
+    rest = events.join(ends, "task_id").where(here >= F.col("finish"))
+    return rest.groupBy("task_id").agg(F.count(F.lit(1)).alias("drained"), F.max("ts").alias("done_at"))
+
+
 def stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Event files as a stream; the source is read no faster than ``per_trigger`` files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
