@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +45,25 @@ MEMO = 400_000
 _STRIP = " \t\n.,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`@^«»¡¿…"
 
 
+class Terms(dict):
+    """The term of each chunk of text, kept once it was asked for: in lower case, without marks at its ends."""
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) > MEMO:
+            self.clear()
+        made = self[chunk] = chunk.lower().strip(_STRIP)
+        return made
+
+
 def term_counts(text: str | None, memo: dict[str, str]) -> Counter:
-    """Terms are lower-case words without marks at their ends."""
-    if len(memo) > MEMO:
-        memo.clear()
+    """How often each term stands in a text; chunks of marks alone are none."""
+    memo = memo if isinstance(memo, Terms) else Terms(memo)
+    chunks = Counter((text or "").split())
     out: Counter = Counter()
-    for chunk, n in Counter((text or "").split()).items():
-        term = memo.get(chunk)
-        if term is None:
-            term = memo[chunk] = chunk.lower().strip(_STRIP)
-        if term:
-            out[term] += n
+    get = out.get
+    for term, n in zip(map(memo.__getitem__, chunks), chunks.values(), strict=True):
+        out[term] = get(term, 0) + n
+    out.pop("", None)
     return out
 
 
@@ -217,11 +226,12 @@ class Index:
     def vector(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms that examples hold: (1 + log of the count) times the inverse document
         frequency, over the length of the vector of all terms."""
-        known = [(k, n) for t, n in terms.items() if (k := self.term.get(t)) is not None]
-        new = np.array([n for t, n in terms.items() if t not in self.term], float) if len(known) < len(terms) else np.zeros(0)
-        at = np.array([k for k, _ in known], np.int64)
-        weight = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at] if known else np.zeros(0)
-        length = math.sqrt(weight @ weight + (((1 + np.log(new)) * self.new_idf) ** 2).sum())
+        at = np.fromiter(map(self.term.get, terms, repeat(-1)), np.int64, len(terms))
+        weight = 1 + np.log(np.fromiter(terms.values(), float, len(terms)))
+        known = at >= 0
+        at, new, weight = at[known], weight[~known], weight[known]
+        weight = weight * self.idf[at]
+        length = math.sqrt(weight @ weight + (new @ new) * self.new_idf**2)
         return at, weight / max(length, 1e-12)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -350,7 +360,7 @@ def learn(
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
 
     def function():
-        memo: dict[str, str] = {}
+        memo = Terms()
 
         def of(texts):
             made = [term_counts(t, memo) for t in texts]
@@ -391,7 +401,7 @@ def score(
     kind = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
     def function():
-        memo: dict[str, str] = {}
+        memo = Terms()
 
         def of(texts):
             made = shared.value.vote([term_counts(t, memo) for t in texts], k)
