@@ -69,6 +69,7 @@ def nearest_rank(rows: DataFrame, value: str, by: Sequence[str] = (), quantiles:
 
     return ranked.groupBy(*by).agg(
         F.max("all").alias("requests"),
+        F.round(F.sum(F.col(value) * F.col("n")) / F.max("all"), 4).alias("mean_value"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
         *[at(q).alias(f"p{round(q * 100)}") for q in quantiles],

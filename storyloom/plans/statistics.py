@@ -69,7 +69,7 @@ def next_sort_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type, count(*) AS requests, min(value) AS min_value, max(value) AS max_value,
+SELECT event_type, count(*) AS requests, round(avg(value), 4) AS mean_value, min(value) AS min_value, max(value) AS max_value,
        list_sort(list(value))[CAST(least(floor(count(*) * 0.5::DOUBLE), count(*) - 1) AS BIGINT) + 1] AS p50,
        list_sort(list(value))[CAST(least(floor(count(*) * 0.9::DOUBLE), count(*) - 1) AS BIGINT) + 1] AS p90,
        list_sort(list(value))[CAST(least(floor(count(*) * 0.99::DOUBLE), count(*) - 1) AS BIGINT) + 1] AS p99
