@@ -156,14 +156,19 @@ def clean_content(
     max_repeat_ratio: float = 0.6,
 ) -> Column:
     """Lines that carry text, cleaned, one below another. A null text gives an empty one."""
-    # What may stand before and after a word needs no match of its own.
-    drop = "|".join(f"(?:{re.sub(r'^\^\.\*(.*)\.\*\$$', r'\1', p, flags=re.S)})" for p in (*REMOVE_LINES, *remove_lines))
+    # What may stand before and after a word needs no match of its own; a line without CJK meets no word that has some.
+    bare = [re.sub(r"^\^\.\*(.*)\.\*\$$", r"\1", p, flags=re.S) for p in REMOVE_LINES]
+    words = [p[1:-1].split("|") if re.fullmatch(r"\([^()]*\)", p) else [p] for p in bare]
+    plain = [w for ws in words for w in ws if len(ws) == 1 or not re.search(CJK, w)]
+    drop, drop_plain = ("|".join(f"(?:{p})" for p in ps) for ps in ((*bare, *remove_lines), (*plain, *remove_lines)))
     cut = "|".join(f"(?:{p})" for p in (*INLINE_REMOVE, *inline_remove))
     lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), strip)
     kept = F.filter(
-        lines, lambda x: (F.length(x) >= max(1, min_line_length)) & ~x.rlike(drop) & ~repeats_itself(x, max_repeat_ratio)
+        lines, lambda x: (F.length(x) >= max(1, min_line_length)) & ~F.when(x.rlike(CJK), x.rlike(drop)).otherwise(x.rlike(drop_plain)) & ~repeats_itself(x, max_repeat_ratio)
     )
-    whole = F.filter(F.transform(kept, lambda x: strip(F.regexp_replace(x, cut, ""))), lambda x: x != "")
+    # All that is removed within a line by default has CJK too.
+    marked = lambda x: x.rlike(CJK) if not inline_remove else F.lit(True)
+    whole = F.filter(F.transform(kept, lambda x: F.when(marked(x), strip(F.regexp_replace(x, cut, ""))).otherwise(x)), lambda x: x != "")
     return F.coalesce(F.array_join(whole, "\n"), F.lit(""))
 
 
