@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode knows it, the CJK block, and a chapter number at the start.
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CJK = r"[一-鿿]"
 CHAPTER_NUMBER = r"^第[零一二三四五六七八九十百千0-9]+[章节回卷]"
 
@@ -91,10 +92,13 @@ NOT_WORDS = r"^[\s\d\p{P}\p{S}]*$"
 #: tenths on, it stands three times within five.
 CLOSE_TWINS = (r"(?s)(.).?\1", r"(?s)(.)(?:\1.{0,2}|.\1.?|..\1)\1")
 
+#: Characters that make up about half of a text in Latin letters.
+HALF = " aeiou"
+
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -138,13 +142,17 @@ def mode_share(text: Column) -> Column:
 def repeats_itself(text: Column, most: float = 0.6) -> Column:
     """Whether one character makes up so great a share; one of over half is the median of all in order.
 
-    If one makes up six tenths, some three characters in a row hold it twice: only texts of which
-    that is so are put in order.
+    Where neither ``HALF`` nor all other characters together have that share, no character has. If
+    one makes up six tenths, some three characters in a row hold it twice: only texts that pass both
+    tests are put in order.
     """
     if most > 0.5:
-        middle = F.element_at(F.sort_array(F.split(text, "")), (F.floor(F.length(text) / 2) + 1).cast("int"))
-        share = (F.length(text) - F.length(F.replace(text, middle, F.lit("")))) / F.length(text)
-        return F.coalesce(F.when((F.length(text) >= 5) & text.rlike(CLOSE_TWINS[most > 0.55]), share >= most), F.lit(False))
+        size = F.length(text)
+        others = F.length(F.translate(text, HALF, ""))
+        middle = F.element_at(F.sort_array(F.split(text, "")), (F.floor(size / 2) + 1).cast("int"))
+        share = (size - F.length(F.replace(text, middle, F.lit("")))) / size
+        may = (size >= 5) & ((others >= size * most) | (size - others >= size * most)) & text.rlike(CLOSE_TWINS[most > 0.55])
+        return F.coalesce(F.when(may, share >= most), F.lit(False))
     return F.coalesce(F.when(F.length(text) >= 5, mode_share(text) >= most), F.lit(False))
 
 
@@ -160,11 +168,15 @@ def clean_content(
     bare = [re.sub(r"^\^\.\*(.*)\.\*\$$", r"\1", p, flags=re.S) for p in REMOVE_LINES]
     words = [p[1:-1].split("|") if re.fullmatch(r"\([^()]*\)", p) else [p] for p in bare]
     plain = [w for ws in words for w in ws if len(ws) == 1 or not re.search(CJK, w)]
-    drop, drop_plain = ("|".join(f"(?:{p})" for p in ps) for ps in ((*bare, *remove_lines), (*plain, *remove_lines)))
+    # Patterns of whole lines are tried at the start of a line only.
+    whole_line = [p[1:-1] for p in plain if re.fullmatch(r"\^[^|]*\$", p)]
+    within = [p for p in plain if p[1:-1] not in whole_line]
+    drop, drop_within = ("|".join(f"(?:{p})" for p in ps) for ps in ((*bare, *remove_lines), (*within, *remove_lines)))
+    drop_whole = f"^(?:{'|'.join(whole_line)})$"
     cut = "|".join(f"(?:{p})" for p in (*INLINE_REMOVE, *inline_remove))
-    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), strip)
+    lines = F.transform(F.split(F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text), "\n"), strip)
     kept = F.filter(
-        lines, lambda x: (F.length(x) >= max(1, min_line_length)) & ~F.when(x.rlike(CJK), x.rlike(drop)).otherwise(x.rlike(drop_plain)) & ~repeats_itself(x, max_repeat_ratio)
+        lines, lambda x: (F.length(x) >= max(1, min_line_length)) & ~F.when(x.rlike(CJK), x.rlike(drop)).otherwise(x.rlike(drop_whole) | x.rlike(drop_within)) & ~repeats_itself(x, max_repeat_ratio)
     )
     # All that is removed within a line by default has CJK too.
     marked = lambda x: x.rlike(CJK) if not inline_remove else F.lit(True)
