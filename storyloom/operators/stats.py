@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 STATES = ("pending", "running", "completed", "failed")
 QUANTILES = (0.5, 0.9, 0.99)
+#: The sketch errs by at most one in so many ranks; a quantile is looked for this many times as far.
+ACCURACY, SLACK = 10_000, 3
 
 
 def novel_statistics(chapters: DataFrame) -> DataFrame:
@@ -52,27 +54,37 @@ def next_order(rows: DataFrame, key: str, order: str) -> DataFrame:
 def nearest_rank(rows: DataFrame, value: str, by: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Least, mean, greatest value and the quantiles ``sorted[int(n * q)]`` of each group.
 
-    Equal values are first counted, so what is sorted for a group is its distinct values and
-    never its rows; the element of a rank is the first whose running count exceeds it.
+    A sketch of known error first tells two values around each quantile. Of each group, only the
+    distinct values between those two are then put in order, after one row that counts all lower
+    ones, so what is sorted for a group is a fixed small share of it. Null values are left out.
     """
     from pyspark.sql import Window
 
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    window = Window.partitionBy(*by).orderBy(value)
-    ranked = counted.withColumn("upto", F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "all", F.sum("n").over(Window.partitionBy(*by))
-    )
-
-    def at(q: float) -> Column:
-        rank = F.least(F.floor(F.col("all") * F.lit(q)), F.col("all") - 1)
-        return F.min(F.when(F.col("upto") > rank, F.col(value)))
-
-    return ranked.groupBy(*by).agg(
-        F.max("all").alias("requests"),
-        F.round(F.sum(F.col(value) * F.col("n")) / F.max("all"), 4).alias("mean_value"),
+    there = rows.where(F.col(value).isNotNull())
+    edges = [min(max(q + side * SLACK / ACCURACY, 0.0), 1.0) for q in quantiles for side in (-1, 1)]
+    spans = there.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.round(F.avg(value), 4).alias("mean_value"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
-        *[at(q).alias(f"p{round(q * 100)}") for q in quantiles],
+        F.percentile_approx(value, edges, ACCURACY).alias("edges"),
+    )
+    spans = spans.withColumnsRenamed({c: f"__{c}" for c in by})
+    same_group = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True)
+    counted = there.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).join(spans, same_group)
+    around = [
+        F.struct(F.lit(k).alias("k"), F.col("edges")[2 * k].alias("low"), F.col("edges")[2 * k + 1].alias("high"), F.least(F.floor(F.col("requests") * F.lit(q)), F.col("requests") - 1).alias("rank"))
+        for k, q in enumerate(quantiles)
+    ]
+    figures = ("requests", "mean_value", "min_value", "max_value")
+    near = counted.withColumn("at", F.explode(F.array(*around))).where(F.col(value) <= F.col("at.high"))
+    kept = near.groupBy(*by, "at.k", F.when(F.col(value) >= F.col("at.low"), F.col(value)).alias("__value")).agg(
+        F.sum("n").alias("n"), F.first("at.rank").alias("rank"), *[F.first(c).alias(c) for c in figures]
+    )
+    order = Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("__value")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = kept.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") > F.col("rank"))
+    return ranked.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in figures], *[F.min(F.when(F.col("k") == k, F.col("__value"))).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)]
     )
 
 

@@ -27,6 +27,26 @@ def test_nearest_rank(spark):
     assert values(stats.nearest_rank(rows, "v", ["g"]).select("requests", "p50", "p90", "p99")) == [(10, 6, 10, 10)]
     doubled = rows.unionAll(rows)
     assert values(stats.nearest_rank(doubled, "v", ["g"]).select("requests", "p50")) == [(20, 6)]
+    empty = rows.where("v < 0")
+    assert stats.nearest_rank(empty, "v", ["g"]).isEmpty()
+
+
+def test_nearest_rank_of_many_values(spark):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 7 == 0, F.lit(5.0)).otherwise(F.exp(F.pmod(F.hash("id"), F.lit(20_000)) / 1000.0)).alias("v"),
+    ).unionAll(spark.sql("SELECT CAST(1 AS BIGINT), CAST(NULL AS DOUBLE)"))
+    groups: dict = {}
+    for g, v in rows.where("v IS NOT NULL").collect():
+        groups.setdefault(g, []).append(v)
+    quantiles = (0.0, 0.01, 0.5, 0.9, 0.99, 1.0)
+    found = {r["g"]: r for r in stats.nearest_rank(rows, "v", ["g"], quantiles).collect()}
+    assert found.keys() == groups.keys()
+    for g, own in groups.items():
+        own.sort()
+        assert found[g]["requests"] == len(own) and found[g]["min_value"] == own[0] and found[g]["max_value"] == own[-1]
+        for q in quantiles:
+            assert found[g][f"p{round(q * 100)}"] == own[min(int(len(own) * q), len(own) - 1)]
 
 
 def test_progress_counts_failures_only_in_the_queue(spark):
