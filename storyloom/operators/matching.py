@@ -17,6 +17,8 @@ GENRE_WORDS = (
 CATEGORY_IN_NAME, NAME_IN_CATEGORY, SHARED_WORD, LEAST_CATEGORY = 10, 5, 3, 3
 #: Fixed value: how many characters of a string are looked up in those that may hold it.
 KEY = 16
+#: A key of a greater share of all rows than one in so many is dealt over several tasks.
+HOT_KEYS = 1024
 SAME_TITLE, PART_TITLE, SAME_AUTHOR, PART_AUTHOR, LEAST_MATCH = 50, 30, 40, 20, 30
 
 
@@ -106,10 +108,30 @@ def unknown_items(catalog: DataFrame, known: DataFrame) -> DataFrame:
     return catalog.join(addresses, "url", "left_anti").join(places, ["title", "place"], "left_anti")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int = HOT_KEYS) -> DataFrame:
+    """All rows, with what a table of one row for each key knows of theirs.
+
+    A key of over 1 / ``hot`` of all rows is hot. There are fewer than ``hot`` of them, whatever the
+    data, so the keys are broadcast; their rows are dealt over parts of that share, and what the
+    table knows of them is there once for each part. Rows of a null key find nothing and are dealt too.
+    """
+    counts = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    often = counts.join(F.broadcast(total), F.col("__n") * hot > F.col("__all"))
+    parts = F.broadcast(often.select(*keys, F.least("__n", F.ceil(F.col("__n") * hot / F.col("__all"))).cast("int").alias("__parts")))
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | F.col(k).isNull()
+    number = F.when(blank, hot).otherwise(F.coalesce("__parts", F.lit(1)))
+    dealt = rows.join(parts, list(keys), "left").withColumn("__part", F.floor(F.rand(1) * number).cast("int")).drop("__parts")
+    known = table.join(parts, list(keys), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(known, [*keys, "__part"], "left").drop("__part")
+
+
 def translated(rows: DataFrame, text: str, cache: DataFrame, language: str | Column) -> DataFrame:
     """Looks texts up by hash and target language, one for all rows or one of each row; what the cache lacks stays as it is."""
     own = cache.select(F.col("source_hash").alias("__hash"), F.col("target_lang").alias("__lang"), "translated_text")
     wanted = F.lit(language) if isinstance(language, str) else language
-    keyed = rows.withColumn("__hash", F.sha2(F.col(text), 256)).withColumn("__lang", wanted).join(own, ["__hash", "__lang"], "left")
-    shown = keyed.withColumn("shown", F.coalesce("translated_text", F.col(text))).withColumn("hit", F.col("translated_text").isNotNull())
+    keyed = rows.withColumn("__hash", F.sha2(F.col(text), 256)).withColumn("__lang", wanted)
+    shown = looked_up(keyed, own, ["__hash", "__lang"]).withColumn("shown", F.coalesce("translated_text", F.col(text))).withColumn("hit", F.col("translated_text").isNotNull())
     return shown.drop("__hash", "__lang", "translated_text")

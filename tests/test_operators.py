@@ -87,6 +87,15 @@ def test_translations_are_looked_up_by_text_and_language(spark):
     assert values(matching.translated(rows, "text", cache, "fr").select("id", "hit"), "id") == [(1, True), (2, True), (3, True), (4, False), (5, False)]
 
 
+def test_hot_and_null_keys_find_the_same(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.lit("x").alias("l"))
+    table = spark.range(0, 2000).select(F.col("id").alias("k"), F.lit("x").alias("l"), (F.col("id") * 2).alias("known"))
+    found = matching.looked_up(rows, table, ["k", "l"], 16)
+    assert values(found.select("id", "k", "known"), "id") == values(rows.join(table, ["k", "l"], "left").select("id", "k", "known"), "id")
+    assert matching.looked_up(rows.where("id < 0"), table, ["k", "l"]).isEmpty()
+    assert matching.looked_up(rows, table.where("k < 0"), ["k", "l"]).where("known IS NULL").count() == 4000
+
+
 def test_best_matches_are_those_of_all_pairs(spark):
     import random
 
