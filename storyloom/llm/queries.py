@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontam, encoders, host_rules, jaccard, langid, maglev, packing, quality_mil, token_counts, toxicity
+from . import bitplanes, decontam, divergence, encoders, host_rules, jaccard, langid, maglev, packing, quality_mil, token_counts, toxicity
 from .common import documents, label_split, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +70,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, docs.count())
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_bitplanes, op2_attention_quality, op3_host_rules, op4_token_counts, op5_lookup_sharding, op6_language_profiles,
-        op7_toxic_neighbours, op8_benchmark_leaks, op9_ngram_jaccard, op10_best_fit_packing,
+        op7_toxic_neighbours, op8_benchmark_leaks, op9_ngram_jaccard, op10_best_fit_packing, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -147,5 +151,46 @@ FROM judged JOIN rates USING (host)
 """
 
 
+def _share(count: str, total: str, terms: str) -> str:
+    smooth = divergence.SMOOTHING
+    return f"CASE WHEN {terms} = 0 THEN 0 ELSE 1 + ({divergence.SCALE}::HUGEINT * ({count} + {smooth})) // ({total} + {smooth} * {terms}) END"
+
+
+_OP13_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT row, lang, source,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs),
+vocabulary AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.MIN_DOCS}),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN vocabulary USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*) AS terms FROM vocabulary GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(terms, 0)::HUGEINT AS terms
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source) LEFT JOIN sizes USING (lang)),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {_share("coalesce(n, 0)", "total", "terms")} AS p
+  FROM groups JOIN vocabulary USING (lang) LEFT JOIN counts USING (lang, source, term)),
+langs AS (SELECT lang, sum(total) AS total, any_value(terms) AS terms FROM groups GROUP BY lang),
+overall AS (
+  SELECT lang, term, {_share("n", "total", "terms")} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term) JOIN langs USING (lang)),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN overall USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": _OP3_SQL, "op5_lookup_sharding": _OP5_SQL}
+    return {"op3_host_rules": _OP3_SQL, "op5_lookup_sharding": _OP5_SQL, "op13_source_divergence": _OP13_SQL}
