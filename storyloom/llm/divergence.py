@@ -36,15 +36,17 @@ TILE_SOURCES, TILE_TERMS = 128, 2048
 #: Texts that are counted at once, if they are short.
 ROWS = 1 << 14
 
-#: What parts terms: all of ASCII but its letters.
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters of terms stay, A to Z in lower case; all other bytes of ASCII become the delimiter.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def delimited(texts: pa.Array) -> pa.Array:
-    """Each text with single spaces between, before and after its terms, and A to Z in lower case."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    padded = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (" ", lowered, " ", "")])
-    return pc.replace_substring_regex(padded, _BETWEEN, " ")
+def delimited(texts: pa.Array) -> pa.LargeStringArray:
+    """Each text with nothing but spaces between its terms, and A to Z in lower case; a null one is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().translate(_TABLE) if data else b""
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(own))
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for at, n in slices(batch.column("text"), ROWS):
             part = batch.slice(at, n)
             langs = part.column("lang").dictionary_encode()
-            words = pc.split_pattern(pc.utf8_trim(delimited(part.column("text")), characters=" "), " ")
+            words = pc.ascii_split_whitespace(delimited(part.column("text")))
             coded = words.values.dictionary_encode()
             lang_of = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(words.offsets.to_numpy()))
             doc = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
@@ -67,7 +69,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 class Automata:
-    """For each language: the automaton of its terms, in order of their numbers."""
+    """For each language: the automaton of its terms, padded with the delimiter, in order of their numbers."""
 
     def __init__(self, terms: dict[str, list[str]]):
         import ahocorasick
@@ -113,7 +115,7 @@ def _occurrences(source: DataFrame, vocabulary: DataFrame) -> DataFrame:
                     if lang in terms:
                         groups.setdefault((lang, name), []).append(text)
                 for group, texts in groups.items():
-                    found = automata.count(group[0], "".join(texts))
+                    found = automata.count(group[0], f" {' '.join(texts)} ")
                     if group in counts:
                         counts[group] += found
                     else:
