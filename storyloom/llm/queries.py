@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bitplanes, decontam, divergence, encoders, host_rules, jaccard, langid, maglev, packing, quality_mil, token_counts, toxicity
+from . import alignment, bitplanes, decontam, divergence, encoders, factors, host_rules, jaccard, langid, maglev, packing, quality_mil, token_counts, toxicity
 from .common import documents, label_split, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), encoders.tokenizer_path("byte_bpe_50k.json"), encoders.tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_relative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.deduplicate(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -81,7 +85,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_bitplanes, op2_attention_quality, op3_host_rules, op4_token_counts, op5_lookup_sharding, op6_language_profiles,
-        op7_toxic_neighbours, op8_benchmark_leaks, op9_ngram_jaccard, op10_best_fit_packing, op11_tokenizer_alignment, op13_source_divergence,
+        op7_toxic_neighbours, op8_benchmark_leaks, op9_ngram_jaccard, op10_best_fit_packing, op11_tokenizer_alignment,
+        op12_relative_factors, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
