@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,13 +30,17 @@ from .common import kept, materialize, release, rest, slices
 #: Stripes of side A's ids.
 STRIPES = 64
 #: Documents of a batch (their places are unsigned 16-bit integers) and bytes of its texts, but for a single longer one.
-BATCH_ROWS, BATCH_BYTES = 1 << 15, 12 << 20
-#: Chunks that are remembered from batch to batch.
-MEMO_CHUNKS = 300_000
+BATCH_ROWS, BATCH_BYTES = 1 << 15, 6 << 20
+#: Chunks that are remembered from batch to batch, and those that go through the libraries at once.
+MEMO_CHUNKS, LEARNED = 250_000, 8192
+#: Chunks that go through the libraries as one text.
+JOINED = 256
 #: Batches whose links of one stripe are the work of one task.
 BATCHES_A_TASK = 512
 
 _white = " \t\n\v\f\r\x1c-\x1f\x85\xa0  -     　▁"
+#: What may not stand before a space at which a text is cut.
+_WHITE = frozenset(chr(k) for k in range(0x3001) if chr(k).isspace()) | {"▁"}
 #: Texts with such spaces are cut with more care.
 _UNEVEN = f"^ | $|[{_white}] "
 #: A space that follows no white space starts a token of both sides.
@@ -53,6 +58,7 @@ class Aligner:
     """Two vocabularies, and what was learned of chunks of text in a Python worker."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -64,60 +70,104 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        #: Ids as they are written: of A before another of its group and as the last, then those of B.
+        self.marked = [f"{k}{m}" for side, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for m in marks for k in range(len(side))]
         self.forget()
 
     def forget(self) -> None:
+        """Starts with nothing known."""
         self.known: dict[str, int] = {}
         #: Of each chunk: tokens of A and of B, groups, links, and whether both sides give back its bytes.
         self.figures = np.zeros((5, 0), np.int64)
         self.groups: list[str] = []
         #: Linked pairs of all chunks, one after another, and where each chunk's end.
         self.pairs, self.pair_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        #: What was learned and not yet laid behind the rest.
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Forgets all chunks but some."""
+        names, groups = list(self.known), self.groups
+        n = self.pair_ends[numbers + 1] - self.pair_ends[numbers]
+        place = np.repeat(self.pair_ends[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.pairs, self.pair_ends, self.figures = self.pairs[place], np.r_[0, np.cumsum(n)], self.figures[:, numbers]
+        self.known, self.groups = {names[k]: j for j, k in enumerate(numbers.tolist())}, [groups[k] for k in numbers.tolist()]
 
     def learn(self, chunks: list[str]) -> None:
-        """What each new chunk gives; it stands after a space, which the library of B adds itself."""
-        found_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        found_b = self.b.encode(chunks, num_threads=1)
+        """What each new chunk gives; it stands after a space, which the library of B adds itself.
+
+        Chunks go through the libraries many in one text, as such spaces part them there too. Where
+        a text does not come back byte by byte, or a chunk ends in white space, each goes alone.
+        """
+        plain = [c for c in chunks if c and c[-1] not in _WHITE]
+        alone = [c for c in chunks if not c or c[-1] in _WHITE]
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        order: list[str] = []
+        ids_a: list[int] = []
+        ids_b: list[int] = []
+        sizes: list[int] = []
+        fits: list[bool] = []
+        for group, own_a, own_b, text in self._encoded(groups):
+            if own_a is None:
+                alone += group
+                continue
+            order += group
+            ids_a += own_a
+            ids_b += own_b
+            sizes += [len(c) + 1 for c in group] if text.isascii() else [len(c.encode()) + 1 for c in group]
+            fits += [True] * len(group)
+        for (chunk,), own_a, own_b, text in self._encoded([[c] for c in alone]):
+            order.append(chunk)
+            fits.append(own_a is not None)
+            ids_a += own_a or []
+            ids_b += own_b or []
+            sizes.append(len(text) if fits[-1] else 0)
+        self._cut_groups(np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.cumsum(np.array(sizes, np.int64)), np.array(fits, bool))
+        self.known |= {c: len(self.known) + k for k, c in enumerate(order)}
+
+    def _encoded(self, groups: list[list[str]]) -> Iterator[tuple[list[str], list[int] | None, list[int] | None, bytes]]:
+        """Each group as one text: the ids of both sides, or None if they do not give back its bytes."""
+        joined = [" ".join(g) for g in groups]
+        found_a = self.a.encode_batch_fast([" " + t for t in joined], add_special_tokens=False)
+        found_b = self.b.encode(joined, num_threads=1)
         bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        whole = [(" " + c).encode("utf-8", "surrogatepass") for c in chunks]
-        fits = np.array([b"".join(map(bytes_a, x)) == b"".join(map(bytes_b, y)) == w for x, y, w in zip(found_a, found_b, whole, strict=True)], bool)
-        for k in np.flatnonzero(~fits).tolist():
-            found_a[k], found_b[k] = [], []
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (found_a, found_b))
-        ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64) for side in (found_a, found_b))
-        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])  # both sides run over the same bytes
+        for group, text, own_a, own_b in zip(groups, joined, found_a, found_b, strict=True):
+            whole, own_a = (" " + text).encode("utf-8", "surrogatepass"), own_a.ids
+            same = b"".join(map(bytes_a, own_a)) == whole == b"".join(map(bytes_b, own_b))
+            yield (group, own_a, own_b, whole) if same else (group, None, None, whole)
+
+    def _cut_groups(self, ids_a: np.ndarray, ids_b: np.ndarray, edges: np.ndarray, fits: np.ndarray) -> None:
+        """Figures, links and written groups of chunks whose ids run over the same bytes and that end at ``edges``."""
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not np.isin(edges[edges > 0], cuts).all():
+            raise ValueError("a token crosses a space that parts chunks")
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        of_a = np.repeat(np.arange(len(chunks)), n_a)
-        chunk_of = of_a[np.cumsum(in_a) - 1] if len(cuts) else np.zeros(0, np.int64)
-        n_groups = np.bincount(chunk_of, minlength=len(chunks))
-        n_links = np.bincount(chunk_of, in_a * in_b, minlength=len(chunks)).astype(np.int64)
+        chunk_a, chunk_b, chunk = (np.searchsorted(edges, x) for x in (ends_a, ends_b, cuts))
+        n_a, n_b, n_groups = (np.bincount(x, minlength=len(edges)) for x in (chunk_a, chunk_b, chunk))
+        n_links = np.bincount(chunk, in_a * in_b, minlength=len(edges)).astype(np.int64)
         # Each token of A is linked with all of B in its group.
         times = in_b[group_a]
-        first_b = np.cumsum(in_b) - in_b
-        start = np.repeat(first_b[group_a], times)
+        start = np.repeat((np.cumsum(in_b) - in_b)[group_a], times)
         step = np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
         pairs = np.repeat(ids_a, times) * len(self.bytes_b) + ids_b[start + step]
-        self.pairs = np.r_[self.pairs, pairs]
-        self.pair_ends = np.r_[self.pair_ends, self.pair_ends[-1] + np.cumsum(n_links)]
-        self.figures = np.c_[self.figures, np.array([n_a, n_b, n_groups, n_links, fits])]
-        self.groups += self._written(ids_a, ids_b, in_a, in_b, n_groups)
-        self.known |= {c: len(self.known) + k for k, c in enumerate(chunks)}
-
-    @staticmethod
-    def _written(ids_a, ids_b, in_a, in_b, n_groups) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each chunk."""
-        a, b, out, at, bt = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), [], 0, 0
-        each = []
-        for x, y in zip(in_a.tolist(), in_b.tolist(), strict=True):
-            each.append((a[at] if x == 1 else ",".join(a[at : at + x])) + "|" + (b[bt] if y == 1 else ",".join(b[bt : bt + y])))
-            at, bt = at + x, bt + y
-        at = 0
-        for n in n_groups.tolist():
-            out.append(each[at] if n == 1 else ";".join(each[at : at + n]))
-            at += n
-        return out
+        self.parts.append((pairs, n_links, np.array([n_a, n_b, n_groups, n_links, fits])))
+        # Written: ids of A and then of B, group after group, each with the mark that follows it.
+        last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True][: len(ids_a)], np.r_[group_b[1:] != group_b[:-1], True][: len(ids_b)]
+        size = len(self.bytes_a)
+        token = np.r_[ids_a + last_a * size, ids_b + last_b * len(self.bytes_b) + 2 * size]
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        written = list(map(self.marked.__getitem__, token[order].tolist()))
+        ends = np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(written[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
+    def lay(self) -> None:
+        pairs, links, figures = zip(*self.parts, strict=True)
+        self.pairs = np.concatenate([self.pairs, *pairs])
+        self.pair_ends = np.concatenate([self.pair_ends, self.pair_ends[-1] + np.cumsum(np.concatenate(links))])
+        self.figures = np.concatenate([self.figures, *figures], axis=1)
+        self.parts = []
 
     @staticmethod
     def cut(texts: pa.Array) -> pa.Array:
@@ -135,14 +185,20 @@ class Aligner:
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: figures and the digest of its groups; then pairs, documents and times of what is linked."""
         if len(self.known) > MEMO_CHUNKS:
-            self.forget()
+            self.keep(self.met)
+        before = len(self.known)
         lists = self.cut(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if new := [c for c in distinct if c not in self.known]:
-            self.learn(new)
+            for k in range(0, len(new), LEARNED):
+                self.learn(new[k : k + LEARNED])
+            self.lay()
         known = self.known
-        chunk = np.array([known[c] for c in distinct], np.int64)[coded.indices.to_numpy()]
+        number, place = np.array([known[c] for c in distinct], np.int64), coded.indices.to_numpy()
+        #: Chunks that were met again: in this batch, or here and before.
+        self.met = np.sort(number[(np.bincount(place, minlength=len(distinct)) > 1) | (number < before)])
+        chunk = number[place]
         lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
@@ -150,7 +206,7 @@ class Aligner:
         figures = np.add.reduceat(self.figures[:4, chunk], starts, axis=1) * fits if len(starts) else np.zeros((4, 0), np.int64)
         groups, digests = self.groups, []
         for a, b, yes in zip(starts.tolist(), ends.tolist(), fits.tolist(), strict=True):
-            digests.append(hashlib.sha256(";".join([groups[k] for k in chunk[a:b].tolist()]).encode()).hexdigest() if yes else "")
+            digests.append(hashlib.sha256("".join([groups[k] for k in chunk[a:b].tolist()])[:-1].encode()).hexdigest() if yes else "")
         doc = np.repeat(np.arange(len(lengths)), lengths)
         there = fits[doc]
         of, times = np.unique(doc[there] * len(known) + chunk[there], return_counts=True)
