@@ -332,3 +332,33 @@ def blocked(html: Column, markers: Sequence[str] = BLOCK_MARKERS) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts."""
+    start = F.array().cast("array<string>")
+    parts = F.aggregate(
+        F.split(path, "/"), start,
+        lambda kept, part: F.when(part == ".", kept).when(part == "..", F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)).otherwise(F.array_append(kept, part)),
+    )
+    slash = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(parts, "/"), slash)).otherwise(path)
+
+
+def join_url(base: Column, url: Column) -> Column:
+    """An address as a page at ``base`` means it: with its scheme and host, and the folder it is relative to."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    host = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    place, rest = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    folder = F.when((path == "") & (host != ""), F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)?", 1))
+    return (
+        F.when(base == "", url)
+        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        .when(url.startswith("//"), F.concat(scheme, url))
+        .when(url == "", base)
+        .when(url.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), url))
+        .when(url.startswith("?"), F.concat(scheme, host, path, url))
+        .when(url.startswith("/"), F.concat(scheme, host, without_dots(place), rest))
+        .otherwise(F.concat(scheme, host, without_dots(F.concat(folder, place)), rest))
+    )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -145,8 +145,6 @@ def dry_run(wanted: DataFrame, pages: DataFrame, section: dict, key: str = "page
 
 def catalogs(pages: DataFrame, header: str, item: str, key: str = "page_id") -> DataFrame:
     """Chapters of catalog pages in order, each with its place in its page from 1."""
-    from pyspark.sql import Window
-
     rows = html.catalog_rows(pages, header, item, key)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("position")))
 
@@ -187,3 +185,23 @@ def noise_title(title: Column, markers: Sequence[str], under: int = 20) -> Colum
     for m in markers:
         found = found | title.contains(m)
     return F.coalesce(found & (F.length(title) < under), F.lit(False))
+
+
+def by_rule(found: DataFrame, novels: DataFrame, known: DataFrame) -> DataFrame:
+    """A crawl from what ``rules.apply`` read: new chapters, with the facts of their novels.
+
+    ``found`` has ``novel_id``, ``page_url``, ``section``, ``position`` and ``fields``; ``novels`` has ``novel_id`` and a ``title``
+    that is kept where it is set; ``known`` holds ``novel_id``, ``url``, ``title`` and ``sort_order`` of stored chapters.
+    """
+    fields = F.col("fields")
+    # One pass: what was read of a novel stays together, a catalog's row beside the chapter at its address.
+    link = F.when(F.col("section") == "chapter", F.col("page_url")).when(F.col("section") == "catalog", fields["url"])
+    content = F.max(F.when(F.col("section") == "chapter", fields["content"])).over(Window.partitionBy("novel_id", "link"))
+    facts = F.max(F.when(F.col("section") == "novel_info", F.struct(*[fields[f].alias(f) for f in ("title", "author", "cover")]))).over(Window.partitionBy("novel_id"))
+    together = found.withColumn("link", link).repartition("novel_id").withColumn("content", content).withColumn("facts", facts)
+    listed = together.where("section = 'catalog'").select("novel_id", F.col("link").alias("url"), fields["title"].alias("title"), (F.col("position") + 1).alias("place"), "content", "facts")
+    new = listed.where((F.col("url") != "") & (F.length("content") > 0)).join(known.where(F.col("url").isNotNull()).select("novel_id", "url"), ["novel_id", "url"], "left_anti")
+    new = new.join(known.where(F.col("title").isNotNull()).select("novel_id", "title", F.col("sort_order").alias("place")), ["novel_id", "title", "place"], "left_anti")
+    titled = new.withColumn("position", F.col("place")).withColumn("title", text.clean_chapter_title(F.col("title")))
+    added = merge.append_chapters(known, titled).join(novels.select("novel_id", F.col("title").alias("__own")), "novel_id")
+    return added.withColumn("novel", _first(F.col("__own"), F.col("facts.title"))).select("*", "facts.author", "facts.cover").drop("__own", "facts")

@@ -1,252 +1,407 @@
-"""Extraction from HTML: a small tree, the selectors that rules use, and rows out of documents.
+"""Extraction from HTML: pages become rows of nodes, and selectors are joins and windows over these.
 
-Spark deals the pages; Python sees one page at a time, in Arrow batches.
+``nodes`` reads pages by a flat parser without recursion: a row for each element, with its parent, the
+place of its last descendant, and where its text lies in the page's. A selector is a few rows of steps,
+each found by an index key (``#id``, ``.class``, ``[attribute]``, tag or ``*``), so one equality join tries
+the selectors of all sites at once; a chain of ancestors is a running maximum over a page's matches. All rows
+of a page stay together by one shuffle on its key.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Elements without an end tag.
+from ..functions import text
+
+#: Elements without an end tag, those that end where their like begins, and those without shown text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ENDS_ITSELF = frozenset("p li option tr td".split())
+MUTE = frozenset(("script", "style"))
 #: Elements whose links lead around the site.
 FRAME = frozenset(("nav", "header", "footer"))
+#: Stands between the strings of a page's text; no page holds it.
+BETWEEN = "\0"
+#: Steps of a selector's longest chain, unless told otherwise.
+DEEPEST = 4
+#: Nodes that are given away at once.
+ROWS = 20_000
 
+_FIELDS = "position int, parent int, upto int, depth int, tag string, attrs map<string,string>, text_from int, text_to int"
+_STEPS = "sel string, alt int, step int, steps int, direct boolean, index string, tag string, ident string, classes array<string>, tests array<struct<name:string,how:string,value:string>>"
 
-class Node:
-    """An element: its tag, attributes, parent, and what it holds (elements and strings)."""
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.inside = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        for x in self.inside:
-            if isinstance(x, Node):
-                yield x
-                yield from x.walk()
-
-    def text(self) -> str:
-        """All text below, with white space collapsed."""
-        return " ".join("".join(self._strings()).split())
-
-    def _strings(self) -> Iterator[str]:
-        for x in self.inside:
-            if isinstance(x, str):
-                yield x
-            elif x.tag not in ("script", "style"):
-                yield from x._strings()
 
-    def above(self) -> Iterator[Node]:
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+class Flat(HTMLParser):
+    """A page as lists of its elements' figures, in order of their start; the page itself is the first.
 
-
-class _Builder(HTMLParser):
-    """An end tag closes its nearest open element and all within; one that matches none is passed over."""
+    An end tag closes its nearest open element and all within; one that matches none is passed over.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.parent, self.upto, self.depth, self.tag, self.attrs, self.start, self.end = [-1], [0], [0], [""], [{}], [0], [0]
+        self.open, self.held, self.muted = [0], {"": 1}, 0
+        self.strings: list[str] = []
+        self.length = 0
+
+    def _begin(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        at = len(self.tag)
+        self.parent.append(self.open[-1])
+        self.depth.append(len(self.open))
+        self.tag.append(tag)
+        self.attrs.append({k: v or "" for k, v in attrs})
+        self.upto.append(at)
+        self.start.append(self.length)
+        self.end.append(self.length)
+        return at
+
+    def _close(self) -> None:
+        at = self.open.pop()
+        self.held[self.tag[at]] -= 1
+        self.muted -= self.tag[at] in MUTE
+        self.upto[at], self.end[at] = len(self.tag) - 1, self.length
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "option", "tr", "td") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.inside.append(node)
+        if tag in ENDS_ITSELF and self.tag[self.open[-1]] == tag:
+            self._close()
+        at = self._begin(tag, attrs)
         if tag not in VOID:
-            self.at = node
+            self.open.append(at)
+            self.held[tag] = self.held.get(tag, 0) + 1
+            self.muted += tag in MUTE
 
     def handle_startendtag(self, tag, attrs):
-        self.at.inside.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._begin(tag, attrs)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if self.held.get(tag) and tag:
+            while self.tag[self.open[-1]] != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
-        self.at.inside.append(data)
-
-
-def parse(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w:-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
-
-
-def _test(simple: str) -> Callable[[Node], bool]:
-    checks: list[Callable[[Node], bool]] = []
-    for tag, cls, ident, name, how, value in _PART.findall(simple):
-        if tag and tag != "*":
-            checks.append(lambda n, t=tag.lower(): n.tag == t)
-        elif cls:
-            checks.append(lambda n, c=cls: c in n.attrs.get("class", "").split())
-        elif ident:
-            checks.append(lambda n, i=ident: n.attrs.get("id") == i)
-        elif name:
-            test = {"": lambda a, b: True, "=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith}[how]
-            checks.append(lambda n, k=name, v=value, t=test: k in n.attrs and t(n.attrs[k], v))
-    return lambda n: all(c(n) for c in checks)
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements in order of the document. Knows tags, ``.class``, ``#id``, attributes, descendants, ``>`` and ``,``."""
-    found: dict[int, None] = {}
-    for path in selector.split(","):
-        steps = path.replace(":scope", " ").replace(">", " > ").split()
-        nodes, direct = [root], False
-        for step in steps:
-            if step == ">":
-                direct = True
-                continue
-            test = _test(step)
-            nodes = [x for n in nodes for x in (n.inside if direct else n.walk()) if isinstance(x, Node) and test(x)]
-            nodes, direct = list({id(n): n for n in nodes}.values()), False
-        found.update({id(n): None for n in nodes})
-    return [n for n in root.walk() if id(n) in found]
-
-
-def without(root: Node, selector: str) -> Node:
-    """Removes what the selector finds."""
-    for n in select(root, selector):
-        n.parent.inside = [x for x in n.parent.inside if x is not n]
-    return root
-
-
-def field(root: Node, base: str, spec: dict) -> str | None:
-    """A rule's field: the first non-empty value of its selectors, else its default, then transformed.
-
-    ``spec``: ``selectors`` (``&`` is the row's own element), ``attr`` (text if absent), ``nth`` (only
-    that element), ``must`` (a pattern that the value has), ``regex``, ``absolute`` and ``default``.
-    """
-    for selector in spec.get("selectors", ()):
-        nodes = [root] if selector == "&" else select(root, selector)
-        for node in nodes if "nth" not in spec else nodes[spec["nth"] : spec["nth"] + 1]:
-            value = node.attrs.get(spec["attr"], "") if spec.get("attr") else node.text()
-            if spec.get("must") and not re.search(spec["must"], value):
-                continue
-            if spec.get("regex") and (m := re.search(spec["regex"], value)):
-                value = m[1] if m.re.groups else m[0]
-            if value.strip():
-                return urljoin(base, value) if spec.get("absolute") else value.strip()
-    return spec.get("default")
+        if not self.muted:
+            self.strings += (data.replace(BETWEEN, ""), BETWEEN)
+            self.length += len(self.strings[-2]) + 1
 
+    def read(self, page: str | None) -> Flat:
+        self.feed(page or "")
+        self.close()
+        while self.open:
+            self._close()
+        return self
 
-def extract(pages: DataFrame, fields: dict[str, dict], container: str | None = None, cleanup: str | None = None, key: str = "page_id") -> DataFrame:
-    """Rows of fields from ``url`` and ``html``: one for each page, or one for each container in it.
 
-    ``position`` numbers the rows of a page from 0. A null page gives no containers, and nulls
-    or defaults as a single document. A value is null where nothing is found.
+def _given(parts: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, kinds, strict=True)], names=names)
+
+
+def nodes(pages: DataFrame, carry: Sequence[str] = ("page_id",)) -> DataFrame:
+    """A row for each element of ``html``, in order, after one for the page itself (``position`` 0, no tag).
+
+    ``upto`` is the position of the last descendant, ``text_from`` and ``text_to`` say where its text lies in
+    the page's (see ``page_texts``). A null page is an empty one. Pages may nest as deep as they like.
     """
-    names = list(fields)
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*carry, "position", "parent", "upto", "depth", "tag", "attrs", "text_from", "text_to"]
+    kinds = [to_arrow_type(pages.schema[c].dataType) for c in carry]
+    kinds += [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string())] + [pa.int32()] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ident, url, html in zip(batch[key], batch["url"], batch["html"], strict=True):
-                root = parse(html)
-                if cleanup:
-                    without(root, cleanup)
-                for k, node in enumerate(select(root, container) if container else [root]):
-                    out.append((ident, k, *[field(node, url or "", fields[n]) for n in names]))
-            yield pd.DataFrame(out, columns=[key, "position", *names])
+            own = [batch.column(c).to_pylist() for c in carry]
+            for k, page in enumerate(batch.column("html").to_pylist()):
+                flat = Flat().read(page)
+                for a in range(0, len(flat.tag), ROWS):
+                    cut = slice(a, a + ROWS)
+                    here = range(a, min(a + ROWS, len(flat.tag)))
+                    parts = [[o[k]] * len(here) for o in own]
+                    parts += [list(here), flat.parent[cut], flat.upto[cut], flat.depth[cut], flat.tag[cut], [list(x.items()) for x in flat.attrs[cut]], flat.start[cut], flat.end[cut]]
+                    yield _given(parts, kinds, names)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url", "html").mapInPandas(rows, f"{key} {kind}, position int, " + ", ".join(f"`{n}` string" for n in names))
+    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry)
+    return pages.select(*carry, "html").mapInArrow(run, f"{schema}, {_FIELDS}")
 
 
-def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str = "page_id", frame: frozenset[str] = FRAME) -> DataFrame:
-    """Links whose address matches, outside the site's frame (elements of ``frame``), the first of each address; a page without the main element is searched whole."""
+def page_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """``key`` and ``page_text``: all strings of a page that are shown, with a mark behind each."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pages.schema[key].dataType
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        want = re.compile(pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ident, url, html in zip(batch[key], batch["url"], batch["html"], strict=True):
-                root, seen = parse(html), set()
-                for a in select((select(root, main) or [root])[0], "a[href]"):
-                    href = urljoin(url or "", a.attrs["href"])
-                    if href in seen or not want.search(href) or any(n.tag in frame for n in a.above()):
-                        continue
-                    seen.add(href)
-                    out.append((ident, len(seen) - 1, href, a.text() or a.attrs.get("title", "")))
-            yield pd.DataFrame(out, columns=[key, "position", "href", "title"])
+            ids, html = batch.column(key).to_pylist(), batch.column("html").to_pylist()
+            for a in range(0, len(ids), 64):
+                yield _given([ids[a : a + 64], ["".join(Flat().read(h).strings) for h in html[a : a + 64]]], [to_arrow_type(kind), pa.string()], [key, "page_text"])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url", "html").mapInPandas(rows, f"{key} {kind}, position int, href string, title string")
+    return pages.select(key, "html").mapInArrow(run, f"`{key}` {kind.simpleString()}, page_text string")
 
 
-def body_text(pages: DataFrame, container: str, junk: str = "script, ins, .adsbygoogle", key: str = "page_id") -> DataFrame:
-    """The text of a chapter: its paragraphs of over 5 characters, else blocks of over 15, else all of it."""
+_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w:-]+)(?:([*^$~]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bodies = []
-            for html in batch["html"]:
-                root = without(parse(html), junk)
-                box = (select(root, container) or [root])[0]
-                parts = [t for n in select(box, "p") if len(t := n.text()) > 5]
-                parts = parts or [t for n in select(box, "> div") if len(t := n.text()) > 15] or [box.text()]
-                bodies.append("\n\n".join(parts))
-            yield pd.DataFrame({key: batch[key], "body": bodies})
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(rows, f"{key} {kind}, body string")
+def steps_of(sel: str, selector: str, deepest: int = DEEPEST) -> list[tuple]:
+    """The steps of a selector, a row each. Knows tags, ``.class``, ``#id``, attributes, descendants, ``>`` and ``,``."""
+    out = []
+    for alt, path in enumerate(re.split(r",(?![^\[]*\])", selector)):
+        words = re.sub(r">(?![^\[]*\])", " > ", path)
+        words = re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", words)
+        chain = [(w, k > 0 and words[k - 1] == ">") for k, w in enumerate(words) if w not in (">", ":scope")]
+        if len(chain) > deepest:
+            raise ValueError(f"{selector!r} has a chain of {len(chain)} steps, more than {deepest}")
+        for k, (word, direct) in enumerate(chain):
+            tag = ident = None
+            classes, tests = [], []
+            for t, c, i, name, how, value in _PART.findall(word):
+                tag = t.lower() if t and t != "*" else tag
+                ident = i or ident
+                classes += [c] * bool(c)
+                tests += [(name, how, value)] * bool(name)
+            index = f"#{ident}" if ident else f".{classes[0]}" if classes else f"[{tests[0][0]}]" if tests else tag or "*"
+            out.append((sel, alt, k + 1, len(chain), direct, index, tag, ident, classes, tests))
+    return out
+
+
+def steps_table(spark: SparkSession, selectors: dict[str, str], deepest: int = DEEPEST) -> tuple[DataFrame, int]:
+    """Steps of selectors that are known when the plan is made, and their longest chain."""
+    rows = [r for sel, selector in selectors.items() for r in steps_of(sel, selector, deepest)]
+    return F.broadcast(spark.createDataFrame(rows, _STEPS)), max((r[3] for r in rows), default=1)
+
+
+def matches(found: DataFrame, steps: DataFrame, key: str = "page_id", deepest: int = DEEPEST, by: Sequence[str] = ()) -> DataFrame:
+    """The elements that each selector finds: ``key``, ``sel`` and the element's figures.
+
+    ``steps`` are those of ``steps_of``, with the columns ``by`` if selectors hold for some pages only.
+    """
+    attrs, classes = F.col("attrs"), F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+")
+    keys = F.concat(
+        F.array("tag", F.lit("*")), F.transform(F.map_keys("attrs"), lambda k: F.concat(F.lit("["), k, F.lit("]"))),
+        F.transform(classes, lambda k: F.concat(F.lit("."), k)), F.array(F.concat(F.lit("#"), F.coalesce(attrs["id"], F.lit("")))),
+    )
+    own = [key, *by, "position", "parent", "upto", "attrs", "text_from", "text_to"]
+    listed = found.where("position > 0").select(*own, F.col("tag").alias("__tag"), F.explode(F.array_distinct(keys)).alias("index"))
+
+    def fits(test: Column) -> Column:
+        value, wanted, how = attrs[test["name"]], test["value"], test["how"]
+        parts = F.when(how == "", True).when(how == "=", value == wanted).when(how == "*=", F.contains(value, wanted)).when(how == "^=", F.startswith(value, wanted))
+        return F.coalesce(value.isNotNull() & parts.when(how == "$=", F.endswith(value, wanted)).otherwise(F.array_contains(F.split(value, r"\s+"), wanted)), F.lit(False))
+
+    tried = listed.join(steps, [*by, "index"]).where(
+        F.coalesce(F.col("tag") == F.col("__tag"), F.lit(True)) & F.coalesce(F.col("ident") == F.col("attrs")["id"], F.col("ident").isNull())
+        & (F.size(F.array_except("classes", F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"))) == 0) & F.forall("tests", fits)
+    )
+    tried = tried.select(*own, "sel", "alt", "step", "steps", "direct").repartition(key).withColumn("ok", F.col("step") == 1)
+    for k in range(2, deepest + 1):
+        # A match of the step before holds an element if it begins before it and ends at it or later: matches nest.
+        before = Window.partitionBy(key, "sel", "alt").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+        here, above = F.col("ok") & (F.col("step") == k - 1), F.col("step") == k
+        tried = tried.withColumn("__slot", F.when(F.col("step") == k - 1, F.col("position")).when(above, F.col("parent")))
+        inside = F.max(F.when(here, F.col("upto"))).over(before) >= F.col("position")
+        child = F.max(here).over(Window.partitionBy(key, "sel", "alt", "__slot"))
+        reached = F.coalesce(F.when(F.col("direct"), child).otherwise(inside), F.lit(False))
+        tried = tried.withColumn("ok", F.when(above, reached).otherwise(F.col("ok")))
+    good = tried.where(F.col("ok") & (F.col("step") == F.col("steps")))
+    return good.dropDuplicates([key, "sel", "position"]).select(*own, "sel")
+
+
+def outside(rows: DataFrame, sels: Sequence[str], key: str = "page_id") -> DataFrame:
+    """Matches that lie in no element found by some of the selectors, whose own rows go too; ``gone`` lists the texts of these."""
+    cut = F.col("sel").isin(*sels)
+    upto = F.max(F.when(cut, F.col("upto"))).over(Window.partitionBy(key).orderBy("position").rangeBetween(Window.unboundedPreceding, 0))
+    gone = F.sort_array(F.collect_list(F.when(cut, F.struct("text_from", "text_to"))).over(Window.partitionBy(key)))
+    return rows.withColumn("gone", gone).withColumn("__cut", upto).where(F.col("__cut").isNull() | (F.col("__cut") < F.col("position"))).drop("__cut")
+
+
+def _piece(whole: Column, start: Column, end: Column) -> Column:
+    return F.substr(whole, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def raw_text(whole: Column, start: Column, end: Column, gone: Column | None = None) -> Column:
+    """A stretch of a page's text, without the stretches in ``gone``, which are in order."""
+    if gone is None:
+        return _piece(whole, start, end)
+    first = F.struct(F.lit("").alias("text"), start.alias("at"))
+
+    def step(state: Column, cut: Column) -> Column:
+        inside = (cut["text_from"] >= state["at"]) & (cut["text_from"] < end)
+        kept = F.when(inside, F.concat(state["text"], _piece(whole, state["at"], cut["text_from"]))).otherwise(state["text"])
+        return F.struct(kept.alias("text"), F.when(inside, F.greatest(state["at"], cut["text_to"])).otherwise(state["at"]).alias("at"))
+
+    return F.aggregate(gone, first, step, lambda s: F.concat(s["text"], _piece(whole, s["at"], end)))
+
+
+def shown(raw: Column) -> Column:
+    """The text of an element: its strings one after another, white space collapsed."""
+    return text.collapse(F.replace(raw, F.lit(BETWEEN), F.lit("")))
+
+
+def spaced(raw: Column) -> Column:
+    """The strings of an element, each trimmed, the blank ones left out, with a space between."""
+    return F.array_join(F.filter(F.transform(F.split(raw, BETWEEN), text.strip), lambda s: s != ""), " ")
+
+
+def next_match(asked: DataFrame, found: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """For each row of ``asked`` (``key``, ``sel``, ``position``, ``upto``): ``hit``, the first match of its selector inside it, or null.
+
+    ``hit`` has the columns ``names`` of ``found``.
+    """
+    hit = F.struct("position", *names)
+    both = asked.withColumn("__hit", F.lit(None).cast(found.select(hit).schema[0].dataType)).unionByName(
+        found.select(key, "sel", "position", hit.alias("__hit")), allowMissingColumns=True
+    )
+    after = Window.partitionBy(key, "sel").orderBy(F.desc("position")).rangeBetween(Window.unboundedPreceding, -1)
+    nearest = F.min_by("__hit", F.when(F.col("__hit").isNotNull(), F.col("position"))).over(after)
+    told = both.withColumn("hit", nearest).where(F.col("__hit").isNull()).drop("__hit")
+    return told.withColumn("hit", F.when(F.col("hit.position") <= F.col("upto"), F.col("hit")))
+
+
+def extract(pages: DataFrame, fields: dict[str, dict], container: str | None = None, cleanup: str | None = None, key: str = "page_id") -> DataFrame:
+    """Rows of fields from ``url`` and ``html``: one for each page, or one for each container in it.
+
+    A field's spec: ``selectors`` (``&`` is the row's own element), ``attr`` (text if absent), ``nth`` (only that
+    element), ``must`` (a pattern that the value has), ``regex`` (its first group, or all of it, if it is found),
+    ``absolute`` and ``default``. Its value is the first that is not blank. ``position`` numbers the rows
+    of a page from 0. A null page gives no containers, and nulls or defaults as a single document.
+    """
+    spark, names = pages.sparkSession, list(fields)
+    sels = {f"{n}/{k}": (n, s) for n in names for k, s in enumerate(fields[n].get("selectors", ()))}
+    wanted = {sel: s for sel, (_, s) in sels.items() if s != "&"} | ({"container": container} if container else {}) | ({"cleanup": cleanup} if cleanup else {})
+    whole = pages.select(key, F.lit(0).alias("position"), F.lit((1 << 31) - 1).alias("upto"), F.lit(0).alias("text_from"), F.lit((1 << 31) - 1).alias("text_to"))
+    none = F.array().cast("array<struct<text_from:int,text_to:int>>")
+    found = None
+    if wanted:
+        steps, deepest = steps_table(spark, wanted)
+        found = matches(nodes(pages, [key]), steps, key, deepest)
+        found = outside(found, ["cleanup"], key) if cleanup else found.withColumn("gone", none)
+    own = [key, "position", "upto", "text_from", "text_to"]
+    boxes = found.where("sel = 'container'").select(*own, "attrs") if container else whole.withColumn("attrs", F.create_map().cast("map<string,string>"))
+    boxes = boxes.withColumn("row", F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1)
+
+    texts = page_texts(pages, key)
+
+    def valued(rows: DataFrame) -> DataFrame:
+        """``value`` of matches of field selectors, null where it does not count."""
+        raw = shown(raw_text(F.col("page_text"), F.col("text_from"), F.col("text_to"), F.col("gone")))
+        value = None
+        for sel, (n, _) in sels.items():
+            spec = fields[n]
+            one = F.coalesce(F.col("attrs")[spec["attr"]], F.lit("")) if spec.get("attr") else raw
+            if spec.get("must"):
+                one = F.when(one.rlike(spec["must"]), one)
+            if spec.get("regex"):
+                group = 1 if re.compile(spec["regex"]).groups else 0
+                one = F.when(one.rlike(spec["regex"]), F.regexp_extract(one, spec["regex"], group)).otherwise(one)
+            one = one if spec.get("absolute") else text.strip(one)
+            one = F.when(text.strip(one) != "", one)
+            value = F.when(F.col("sel") == sel, one) if value is None else value.when(F.col("sel") == sel, one)
+        return rows.join(texts, key, "left").withColumn("value", value).drop("page_text")
+
+    asked = boxes.select(key, "row", "position", "upto", F.explode(F.array(*[F.lit(s) for s in sels])).alias("sel")) if sels else None
+    rows = boxes.select(key, "row", "position")
+    if sels:
+        parts = []
+        first = [s for s, (n, w) in sels.items() if w != "&" and "nth" not in fields[n]]
+        nth = {s: fields[n]["nth"] for s, (n, w) in sels.items() if w != "&" and "nth" in fields[n]}
+        itself = [s for s, (_, w) in sels.items() if w == "&"]
+        if first:
+            good = valued(found.where(F.col("sel").isin(*first))).where(F.col("value").isNotNull())
+            parts.append(next_match(asked.where(F.col("sel").isin(*first)), good, key, ["value"]).select(key, "row", "sel", "hit.value"))
+        if nth:
+            # The n-th match inside a row's element is so many behind those that begin before it.
+            of = F.create_map(*[F.lit(x) for pair in nth.items() for x in pair])
+            those = valued(found.where(F.col("sel").isin(*nth)))
+            number = Window.partitionBy(key, "sel").orderBy("position")
+            both = asked.where(F.col("sel").isin(*nth)).withColumn("__box", F.lit(1)).unionByName(those.select(key, "sel", "position", "value"), allowMissingColumns=True)
+            both = both.withColumn("place", F.sum(F.when(F.col("__box").isNull(), 1).otherwise(0)).over(number.rangeBetween(Window.unboundedPreceding, 0)))
+            boxed = both.where("__box = 1").select(key, "row", "sel", "upto", (F.coalesce("place", F.lit(0)) + 1 + of[F.col("sel")]).alias("place"))
+            met = both.where("__box IS NULL").select(key, "sel", "place", F.col("position").alias("at"), "value")
+            parts.append(boxed.join(met, [key, "sel", "place"]).where("at <= upto").select(key, "row", "sel", "value"))
+        if itself:
+            same = boxes.withColumn("sel", F.explode(F.array(*[F.lit(s) for s in itself]))).withColumn("gone", none)
+            if cleanup:
+                same = same.drop("gone").join(found.select(key, "gone").dropDuplicates([key]), key, "left").withColumn("gone", F.coalesce("gone", none))
+            parts.append(valued(same).select(key, "row", "sel", "value"))
+        together = parts[0]
+        for p in parts[1:]:
+            together = together.unionByName(p)
+        pivoted = together.groupBy(key, "row").agg(*[F.max(F.when(F.col("sel") == s, F.col("value"))).alias(s) for s in sels])
+        rows = rows.join(pivoted, [key, "row"], "left")
+    if any(s.get("absolute") for s in fields.values()):
+        rows = rows.join(pages.select(key, F.col("url").alias("__url")), key, "left")
+
+    def column(n: str) -> Column:
+        found = [F.col(f"`{s}`") for s, (m, _) in sels.items() if m == n]
+        value = F.coalesce(*found) if found else F.lit(None).cast("string")
+        if fields[n].get("absolute"):
+            value = text.join_url(F.coalesce("__url", F.lit("")), value)
+        return F.coalesce(value, F.lit(fields[n].get("default")).cast("string")).alias(n)
+
+    return rows.select(key, F.col("row").cast("int").alias("position"), *[column(n) for n in names])
+
+
+def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str = "page_id", frame: frozenset[str] = FRAME) -> DataFrame:
+    """Links whose address matches, outside the site's frame (elements of ``frame``), the first of each address; a page without the main element is searched whole."""
+    steps, deepest = steps_table(pages.sparkSession, {"main": main, "link": "a[href]"} | ({"frame": ", ".join(sorted(frame))} if frame else {}))
+    found = matches(nodes(pages, [key]), steps, key, deepest)
+    page = Window.partitionBy(key)
+    first = F.min(F.when(F.col("sel") == "main", F.struct("position", "upto"))).over(page)
+    framed = F.max(F.when(F.col("sel") == "frame", F.col("upto"))).over(page.orderBy("position").rangeBetween(Window.unboundedPreceding, -1))
+    links = found.withColumn("main", first).withColumn("framed", framed).where("sel = 'link'").where(
+        (F.col("main").isNull() | ((F.col("position") > F.col("main.position")) & (F.col("position") <= F.col("main.upto")))) & (F.coalesce("framed", F.lit(-1)) < F.col("position"))
+    )
+    links = links.join(pages.select(key, "url"), key).withColumn("href", text.join_url(F.coalesce("url", F.lit("")), F.col("attrs")["href"]))
+    links = links.where(F.col("href").rlike(pattern))
+    links = links.withColumn("__first", F.row_number().over(Window.partitionBy(key, "href").orderBy("position"))).where("__first = 1")
+    title = shown(raw_text(F.col("page_text"), F.col("text_from"), F.col("text_to")))
+    rows = links.join(page_texts(pages, key), key).select(key, "position", "href", F.coalesce(F.nullif(title, F.lit("")), F.col("attrs")["title"], F.lit("")).alias("title"))
+    return rows.select(key, (F.row_number().over(page.orderBy("position")) - 1).alias("position"), "href", "title")
+
+
+def body_text(pages: DataFrame, container: str, junk: str = "script, ins, .adsbygoogle", key: str = "page_id") -> DataFrame:
+    """The text of a chapter: its paragraphs of over 5 characters, else blocks of over 15, else all of it."""
+    steps, deepest = steps_table(pages.sparkSession, {"box": container, "part": "p", "block": "div", "junk": junk})
+    found = outside(matches(nodes(pages, [key]), steps, key, deepest), ["junk"], key)
+    boxes = found.where("sel = 'box'").groupBy(key).agg(F.min(F.struct("position", "upto", "text_from", "text_to")).alias("box"))
+    every = pages.select(key).join(boxes, key, "left")
+    root = F.struct(F.lit(0).alias("position"), F.lit((1 << 31) - 1).alias("upto"), F.lit(0).alias("text_from"), F.lit((1 << 31) - 1).alias("text_to"))
+    # Junk is a row of its own, so that pages of nothing else keep their list of it.
+    cut = matches(nodes(pages, [key]), steps_table(pages.sparkSession, {"junk": junk})[0], key, deepest).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("text_from", "text_to"))).alias("gone"))
+    every = every.join(cut, key, "left").join(page_texts(pages, key), key).select(key, F.coalesce("box", root).alias("box"), F.coalesce("gone", F.array().cast("array<struct<text_from:int,text_to:int>>")).alias("gone"), "page_text")
+    inner = found.where("sel IN ('part', 'block')").select(key, "sel", "position", "parent", "text_from", "text_to")
+    inside = (F.col("position") > F.col("box.position")) & (F.col("position") <= F.col("box.upto")) & ((F.col("sel") == "part") | (F.col("parent") == F.col("box.position")))
+    value = shown(raw_text(F.col("page_text"), F.col("text_from"), F.col("text_to"), F.col("gone")))
+    texts = every.join(inner, key).where(inside).select(key, "sel", "position", value.alias("text")).where(F.length("text") > F.when(F.col("sel") == "part", 5).otherwise(15))
+    texts = texts.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("sel") == s, F.struct("position", "text")))).alias(s) for s in ("part", "block")])
+    box = shown(raw_text(F.col("page_text"), F.col("box.text_from"), F.col("box.text_to"), F.col("gone")))
+    joined = [F.when(F.size(s) > 0, F.array_join(F.transform(F.col(s), lambda x: x["text"]), "\n\n")) for s in ("part", "block")]
+    return every.join(texts, key, "left").select(key, F.coalesce(*joined, box).alias("body"))
 
 
 def catalog_rows(pages: DataFrame, header: str, item: str, key: str = "page_id") -> DataFrame:
     """Headers and items in order of the document, each item under the last header before it."""
     from .windows import fill_down
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for ident, url, html in zip(batch[key], batch["url"], batch["html"], strict=True):
-                root = parse(html)
-                heads = {id(n) for n in select(root, header)}
-                for k, n in enumerate(select(root, f"{header}, {item}")):
-                    is_head = id(n) in heads
-                    out.append((ident, k, n.text() if is_head else None, None if is_head else n.text(), None if is_head else urljoin(url or "", n.attrs.get("href", ""))))
-            yield pd.DataFrame(out, columns=[key, "position", "volume", "title", "url"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    made = pages.select(key, "url", "html").mapInPandas(rows, f"{key} {kind}, position int, volume string, title string, url string")
+    steps, deepest = steps_table(pages.sparkSession, {"header": header, "item": item})
+    found = matches(nodes(pages, [key]), steps, key, deepest).join(page_texts(pages, key), key).join(pages.select(key, "url"), key)
+    # An element that both find is a header.
+    one = found.groupBy(key, "position").agg(F.min(F.struct("sel", F.col("attrs")["href"].alias("href"), shown(raw_text(F.col("page_text"), F.col("text_from"), F.col("text_to"))).alias("text"), "url")).alias("of"))
+    head = F.col("of.sel") == "header"
+    made = one.select(
+        key, (F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1).alias("position"), F.when(head, F.col("of.text")).alias("volume"),
+        F.when(~head, F.col("of.text")).alias("title"), F.when(~head, text.join_url(F.coalesce("of.url", F.lit("")), F.coalesce("of.href", F.lit("")))).alias("url"),
+    )
     return fill_down(made, "volume", "position", key).where(F.col("title").isNotNull())
 
 
 def first_pages(rows: DataFrame, page: str, count: str, *by: str) -> DataFrame:
     """Pages up to the first empty one that is not the very first."""
-    from pyspark.sql import Window
-
     cut = F.min(F.when((F.col(count) == 0) & (F.col(page) > 1), F.col(page))).over(Window.partitionBy(*by))
     return rows.withColumn("__cut", cut).where(F.col("__cut").isNull() | (F.col(page) < F.col("__cut"))).drop("__cut")
-
-
-def resolve_urls(base: str, href: str):
-    """A column of absolute addresses (no built-in function resolves relative ones)."""
-
-    @F.pandas_udf("string")
-    def joined(b: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(x or "", y) if y is not None else None for x, y in zip(b, h, strict=True)], dtype=object)
-
-    return joined(F.col(base), F.col(href))
-
-
-def meta_fields(properties: Sequence[str]) -> dict[str, dict]:
-    """Fields that read ``<meta property=...>``."""
-    return {p.rsplit(":", 1)[-1]: {"selectors": [f'meta[property="{p}"]'], "attr": "content"} for p in properties}

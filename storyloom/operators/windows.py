@@ -24,9 +24,12 @@ def latest_chapter(chapters: DataFrame) -> DataFrame:
 
 
 def with_neighbours(chapters: DataFrame) -> DataFrame:
-    """The chapters of the next lower and next higher place; those of the same place do not count."""
+    """The chapters of the next lower and next higher place; those of the same place do not count.
+
+    Both frames only grow, the second in turned order, so a novel takes time in proportion to its chapters.
+    """
     before = Window.partitionBy("novel_id").orderBy("sort_order").rangeBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("novel_id").orderBy("sort_order").rangeBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("novel_id").orderBy(F.desc("sort_order")).rangeBetween(Window.unboundedPreceding, -1)
     here = F.struct("sort_order", "id")
     return chapters.withColumn("prev_id", F.max(here).over(before)["id"]).withColumn("next_id", F.min(here).over(after)["id"])
 

@@ -166,7 +166,7 @@ def test_html(spark):
     assert values(html.extract(pages, fields), "page_id") == [(1, 0, "卷一", "1", "-"), (2, 0, None, None, "-")]
     rows = html.catalog_rows(pages, "h2", "div > a").select("volume", "title")
     assert values(rows)[0] == ("卷一", "一")
-    assert html.parse("<p>a<p>b").inside[1].text() == "b"
+    assert [html.Flat().read("<p>a<p>b").tag, html.Flat().read("<p>a<p>b").start] == [["", "p", "p"], [0, 0, 2]]
 
 
 def test_links(spark):
