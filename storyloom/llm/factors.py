@@ -261,7 +261,8 @@ def repeats(source: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORD
     total = rows.agg(F.sum(F.size("seeds"))).first()[0] or 0
     told = join_back(seeds, salted, "seed", "n", total)
     asked = materialize(told.groupBy("id", "row").agg(F.collect_list(F.struct("seed", "first", "salts")).alias("asked")), "asked")
-    release(shared, salted)
+    seeded, rows = rows, materialize(rows.drop("seeds"), "rows")
+    release(shared, salted, seeded)
     _swept(spark)
 
     # Texts of rows without a shared seed are not shuffled where the keys of the others are few enough.
@@ -330,7 +331,7 @@ def deduplicate(
 
     cut = texts.select("id", "row", "text", "spans").mapInArrow(run, "id bigint, row bigint, n_removed bigint, kept_sha256 string, kept_text string")
     cut = materialize(cut if with_text else cut.drop("kept_text"), "cut")
-    joined = rows.drop("seeds").join(sized(cut, 128) if not with_text else cut.hint("shuffle_hash"), ["id", "row"], "left")
+    joined = rows.join(sized(cut, 128) if not with_text else cut.hint("shuffle_hash"), ["id", "row"], "left")
     own = [F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256")]
     if with_text:
         plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
