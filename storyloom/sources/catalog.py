@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: those of its folder, or the one that it is."""
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
 def relabel(column: str, labels: dict[str, str], default=None):
     """The label of a key; ``default`` (the key itself if None is given) where it has none."""
     pairs = [F.lit(x) for pair in labels.items() for x in pair]
