@@ -204,18 +204,30 @@ def leaks(
     ``broadcast_chars`` characters and at most one item more, a pass over the documents for each.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    # Only ids and lengths meet in one task here, of the benchmark and of no document.
-    before = F.sum("chars").over(Window.orderBy("item_id", "chars").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = items.select("*", F.length("text").alias("chars")).withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / broadcast_chars).cast("long"))
+    items = items.withColumn("mark", F.xxhash64("text"))
+    # Only ids, marks and lengths meet in one task here, of the benchmark and of no document; texts are joined to their parts.
+    sizes = items.select("item_id", "mark", F.length("text").alias("chars")).distinct()
+    before = F.sum("chars").over(Window.orderBy("item_id", "mark").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = materialize(sizes.select("item_id", "mark", F.floor(F.coalesce(before, F.lit(0)) / broadcast_chars).cast("long").alias("part")), "parts")
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__id").isNotNull())
     parts = [r.part for r in dealt.select("part").distinct().orderBy("part").collect()]
     found = None
     for part in parts or [0]:
-        one = _leaks(source, [(r.item_id, r.text) for r in dealt.where(F.col("part") == part).collect()], min_score, seed_words, rare_share)
+        own = items.join(dealt.where(F.col("part") == part), ["item_id", "mark"]).select("item_id", "text").distinct()
+        one = _leaks(source, [(r.item_id, r.text) for r in own.collect()], min_score, seed_words, rare_share)
         found = one if found is None else found.unionAll(one)
+    release(dealt)
+    if len(parts) > 1:  # items of one id may lie in several parts
+        found = materialize(_best(found), "leaks")
     return found.withColumnRenamed("__id", id_col)
 
 
+def _best(scored: DataFrame) -> DataFrame:
+    """The best place of each pair, of equal ones the first."""
+    best = scored.groupBy("__id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("best"))
+    return best.select("__id", "item_id", "best.score", (-F.col("best.col2")).alias("start_word"), F.col("best.end_word"))
+
+
 def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, seed_words: int, rare_share: float) -> DataFrame:
     context = source.sparkSession.sparkContext
     seeds = context.broadcast(Seeds(items, seed_words))
@@ -241,8 +253,6 @@ def _leaks(source: DataFrame, items: list[tuple[int, str]], min_score: float, se
 
     fields = [T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())]
     scored = held.select("__id", "__text").mapInArrow(aligned, T.StructType([id_type, *fields]))
-    best = scored.groupBy("__id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), F.col("end_word"))).alias("best"))
-    best = best.select("__id", "item_id", "best.score", (-F.col("best.col2")).alias("start_word"), F.col("best.end_word"))
-    best = materialize(best, "leaks")
+    best = materialize(_best(scored), "leaks")
     release(held)
     return best
