@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_back, map_text, materialize, release
+from .common import join_back, map_text, materialize, release, row_keyed, sized
 from .graph import components
 
 WORDS = 5
@@ -31,6 +31,8 @@ RECALL = 0.9999
 BLOCK, BLOCK_GRAMS = 1024, 2_000_000
 #: How a member takes part in a group: compared with all of it, or with those of the other side.
 LEFT, RIGHT, WITHIN = 0, 1, 2
+#: Bytes of a row's key in a join.
+KEY_BYTES = 32
 #: Columns of a block's incidence matrix at once.
 COLUMNS = 4096
 
@@ -246,6 +248,7 @@ def join(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
     grams: int = BLOCK_GRAMS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Each row's ``class_id``, ``n_links`` and ``n_copies`` by n-gram Jaccard similarity.
 
@@ -259,13 +262,19 @@ def join(
     ``carry`` are left out, whatever their names; an empty table gives an empty one. A very long
     text is one set as any other, and is compared in blocks of fewer members.
 
+    ``row_col`` names a column with the place of each row (see ``row_keyed``); without it places are
+    taken from the files that ``docs`` is read from. By its place one row of each n-gram set gives
+    its text to the comparison, so a row that is repeated any number of times is read once.
+
     What no later step reads is deleted from the shared folder; the result stays there.
     """
     bands, rows = bands_and_rows(threshold, recall)
-    # A text is found again by a hash of its id and itself, which a row without an id has too.
+    # A text is found again by its row's place, which repeated rows and rows without an id have too.
     source = docs.select(
-        F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__in_{c}") for c in carry]
-    ).withColumn("__key", F.xxhash64("__id", "__text"))
+        F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__in_{c}") for c in carry], *([F.col(row_col).alias("__place")] if row_col else [])
+    )
+    source = source if row_col else row_keyed(source, "__place")
+    source = source.withColumn("__key", F.xxhash64("__place.file", "__place.at")).drop("__place")
     more = [f"__in_{c}" for c in carry]
     fields = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = materialize(map_text(source, lambda: signature_function(bands, rows, words), fields, "__text", ["__id", "__key", *more]), "signed")
@@ -290,8 +299,9 @@ def join(
 
         return of
 
-    # The candidates grow with the table, so their texts are found by a shuffle at every size.
-    texts = source.select("__key", "__text").join(members.hint("shuffle_hash"), F.col("__key") == F.col("rep_key"))
+    # The candidates grow with the table, so their texts are found by a shuffle at every size; others stay out of it where their keys are few.
+    kept = sized(members.select(F.col("rep_key").alias("__key")), KEY_BYTES)
+    texts = source.select("__key", "__text").join(kept, "__key", "left_semi").join(members.hint("shuffle_hash"), F.col("__key") == F.col("rep_key"))
     found = map_text(
         texts, whole_sets, [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())], "__text", ["node", "n_copies", "pairs"]
     ).where("own = node")
