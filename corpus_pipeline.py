@@ -51,7 +51,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of several rows of that id, the first in its file stays. A text without words has no copies.
     """
     keyed = row_keyed(docs)
-    found = jaccard.join(keyed.withColumn("__none", F.col("doc_id").isNull()), carry=("__row", "__none"))
+    found = jaccard.join(keyed.withColumn("__none", F.col("doc_id").isNull()), carry=("__row", "__none"), row_col="__row")
     grouped = materialize(found.where(F.col("class_key").isNotNull()).select("class_key", F.struct("__none", "doc_id", "__row").alias("place")), "grouped")
     least = grouped.groupBy("class_key").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
     spare = join_back(grouped, least, "class_key", "n", grouped.count()).where(F.col("place") != F.col("least"))
