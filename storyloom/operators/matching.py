@@ -122,8 +122,9 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: int =
     blank = F.lit(False)
     for k in keys:
         blank = blank | F.col(k).isNull()
+    dealt_by = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]  # a task that is run again deals rows alike
     number = F.when(blank, hot).otherwise(F.coalesce("__parts", F.lit(1)))
-    dealt = rows.join(parts, list(keys), "left").withColumn("__part", F.floor(F.rand(1) * number).cast("int")).drop("__parts")
+    dealt = rows.join(parts, list(keys), "left").withColumn("__part", F.pmod(F.xxhash64(*dealt_by), number).cast("int")).drop("__parts")
     known = table.join(parts, list(keys), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return dealt.join(known, [*keys, "__part"], "left").drop("__part")
 

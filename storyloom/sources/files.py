@@ -40,6 +40,42 @@ def read_blobs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def resolved(spark: SparkSession, root: str) -> str:
+    """A folder's whole address, by the file system that Spark takes it for (that of ``fs.defaultFS`` where it names none)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+
+
+def opened(address: str):
+    """The file system of a whole address, and its path there; for use in tasks, which have no JVM to ask."""
+    from pyarrow import fs
+
+    if address.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(address)
+
+
+def delete_paths(spark: SparkSession, root: str, paths: DataFrame, column: str) -> int:
+    """Deletes files by their paths below ``root``; one that is not there is passed over. Gives how many there were."""
+    folder = resolved(spark, root)
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = opened(folder)
+        for batch in batches:
+            done = []
+            for path in batch.column(0).to_pylist():
+                there = system.get_file_info(f"{base}/{path}").type == fs.FileType.File
+                if there:
+                    system.delete_file(f"{base}/{path}")
+                done.append(int(there))
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["deleted"])
+
+    deleted = paths.select(F.col(column).cast("string").alias("path")).distinct().mapInArrow(delete, "deleted int")
+    return int(deleted.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0])
+
+
 def write_blobs(chapters: DataFrame, root: str) -> DataFrame:
     """Texts that are not empty, each gzipped to ``novel/chapter.txt.gz`` under ``root``; gives what was written.
 
@@ -48,15 +84,13 @@ def write_blobs(chapters: DataFrame, root: str) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    folder = root.rstrip("/")
+    folder = resolved(chapters.sparkSession, root)
     texts = chapters.where(F.length("content") > 0).select(
         F.col("novel_id").cast("string").alias("novel_id"), F.col("id").cast("string").alias("id"), F.col("content").cast("binary").alias("content")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, base = opened(folder)
         for batch in batches:
             sizes = []
             for novel, chapter, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -75,24 +109,8 @@ def write_blobs(chapters: DataFrame, root: str) -> DataFrame:
 
 def delete_blobs(spark: SparkSession, root: str, gone: DataFrame) -> int:
     """Deletes the files of ``novel_id`` and ``id``; a file that is not there is passed over. Gives how many there were."""
-    folder = root.rstrip("/")
-
-    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        for batch in batches:
-            done = []
-            for novel, chapter in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = f"{base}/{novel}/{chapter}.txt.gz"
-                there = system.get_file_info(place).type == fs.FileType.File
-                if there:
-                    system.delete_file(place)
-                done.append(int(there))
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["deleted"])
-
-    keys = gone.select(F.col("novel_id").cast("string"), F.col("id").cast("string")).distinct()
-    return int(keys.mapInArrow(delete, "deleted int").agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0])
+    path = F.concat_ws("/", F.col("novel_id").cast("string"), F.concat(F.col("id").cast("string"), F.lit(".txt.gz")))
+    return delete_paths(spark, root, gone.select(path.alias("path")), "path")
 
 
 def blobs_exist(chapters: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -112,9 +130,10 @@ def save_rule(spark: SparkSession, root: str, source: str, rule: dict) -> None:
     out = system.create(beside, True)
     out.write(bytearray(json.dumps(rule, ensure_ascii=False, indent=2).encode()))
     out.close()
-    system.delete(place, False)
-    if not system.rename(beside, place):
-        raise OSError(f"can't rename {beside} to {place}")
+    files = jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    over[0] = files.Options.Rename.OVERWRITE
+    files.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(beside), system.makeQualified(place), over)
 
 
 def delete_rule(spark: SparkSession, root: str, source: str) -> bool:
