@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -117,3 +117,40 @@ def correct_titles(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 def drop_script_links(rows: DataFrame, url: str) -> DataFrame:
     return rows.withColumn(url, F.when(~F.col(url).startswith("javascript:"), F.col(url)))
+
+
+def _times(condition: Column, name: str) -> Column:
+    return F.coalesce(F.sum(F.coalesce(condition, F.lit(False)).cast("long")), F.lit(0)).alias(name)
+
+
+def delete_counted(rows: DataFrame, gone: DataFrame, key: str, keep: Column) -> tuple[DataFrame, Observation]:
+    """``delete``, and how many rows it ``deleted`` and how many listed ones it ``skipped``: told by the pass that writes the rest."""
+    listed = gone.select(key).distinct().withColumn("__gone", F.lit(True))
+    met = rows.join(listed, key, "left").withColumn("__held", F.coalesce(keep, F.lit(False)))
+    told = Observation()
+    there = F.col("__gone").isNotNull()
+    left = met.observe(told, _times(there & ~F.col("__held"), "deleted"), _times(there & F.col("__held"), "skipped"))
+    return left.where(F.col("__gone").isNull() | F.col("__held")).drop("__gone", "__held"), told
+
+
+def insert_and_enqueue(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """Inserts what is found and absent, the first of each key, and asks for a task for each row found, known or not.
+
+    Gives one table of ``kind`` (``row`` or ``task``) and the columns of ``rows``, and the numbers that are ``inserted`` and
+    ``enqueued``, told by the pass that writes it. ``key`` is kept for tasks; their other columns are null.
+    """
+    known = rows.select(key).distinct().withColumn("__known", F.lit(True))
+    place = Window.partitionBy(key).orderBy(*[c for c in found.columns if c != key])
+    met = found.withColumn("__n", F.row_number().over(place)).join(known, key, "left")
+    new = F.col("__known").isNull() & (F.col("__n") == 1)
+    told = Observation()
+    made = met.withColumn("kind", F.explode(F.when(new, F.array(F.lit("row"), F.lit("task"))).otherwise(F.array(F.lit("task")))))
+    made = made.observe(told, _times(F.col("kind") == "row", "inserted"), _times(F.col("kind") == "task", "enqueued"))
+    only = [F.col(c) if c == key else F.when(F.col("kind") == "row", F.col(c)).alias(c) for c in rows.columns]
+    return made.select("kind", *only), told
+
+
+def cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """Parents and children that are left once some parents and all of theirs are gone."""
+    listed = gone.select(F.col(key).alias("__gone")).distinct()
+    return parents.join(listed, F.col(key) == F.col("__gone"), "left_anti"), children.join(listed, F.col(parent) == F.col("__gone"), "left_anti")

@@ -35,3 +35,28 @@ def drained(events: DataFrame, last: str) -> DataFrame:
 def stream(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Event files as a stream; the source is read no faster than ``per_trigger`` files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+#: The fields that each type of event has of its own, and their types.
+EVENT_FIELDS = {
+    "start": {"novel_title": "string"},
+    "status": {"status": "string", "message": "string", "total_chapters": "bigint"},
+    "progress": {"total": "bigint", "message": "string"},
+    "chapter": {"index": "bigint", "total": "bigint", "title": "string", "speed": "double", "eta": "bigint"},
+    "error": {"message": "string"},
+    "heartbeat": {}, "done": {"message": "string"},
+}
+
+
+def typed(messages: DataFrame, column: str, fields: dict[str, dict[str, str]] = EVENT_FIELDS) -> DataFrame:
+    """Events of JSON as rows of their type: a struct column for each type that has fields, set for its own events alone.
+
+    A message is parsed once, to a variant. ``type`` is null for what is no JSON, has no type or one that is not known; such
+    messages are kept in ``malformed``. A field that is absent or of another kind is null.
+    """
+    parsed = messages.withColumn("__v", F.try_parse_json(column))
+    kind = F.try_variant_get("__v", "$.type", "string")
+    known = F.when(kind.isin(*fields), kind)
+    parsed = parsed.withColumn("type", known).withColumn("sent_at", F.try_variant_get("__v", "$.t", "string"))
+    own = [F.when(F.col("type") == t, F.struct(*[F.try_variant_get("__v", f"$.{f}", k).alias(f) for f, k in of.items()])).alias(f"as_{t}") for t, of in fields.items() if of]
+    return parsed.select(*messages.columns, "type", "sent_at", *own, F.when(F.col("type").isNull(), F.col(column)).alias("malformed"))
