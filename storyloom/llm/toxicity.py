@@ -1,4 +1,11 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 7)."""
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 7).
+
+1. The vocabulary is what the examples' labels tell apart: terms that label 1 holds more often than
+   chance allows. Over all terms, neighbours are alike in topic and hardly in label (README has figures).
+2. Examples become TF-IDF vectors over the vocabulary in a block-max inverted index.
+3. Each text's nearest examples vote, by a power of their similarity; a logistic function fitted to such
+   votes of all other examples on each example makes scores of them. They are the evidence, too.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +35,8 @@ QUERY_CELLS = 2_000_000
 COMMON = 1 / 32
 #: Blocks that each query opens first, and more than single precision can err in a similarity.
 FIRST_BLOCKS, MARGIN = 2, 1e-4
-#: Least G statistic of the terms that have a say of their own in a vote; all terms are indexed.
-MIN_G = 20.0
+#: Least G statistic of the terms of the vocabulary (chance gives it to one of a hundred), and examples that hold each, copies counting once.
+MIN_G, LEAST_HELD = 6.63, 4
 #: The power of a neighbour's similarity that is its weight in a vote.
 STEEP = 4
 CUT = 0.3
@@ -109,7 +116,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """A block-max inverted index of labelled examples over all of their terms.
+    """A block-max inverted index of labelled examples over the terms of the vocabulary.
 
     Terms that few examples hold have postings by example, so what they add to each similarity is
     known at once; the weights of the others stand in one matrix, with their greatest by block of
@@ -119,12 +126,12 @@ class Index:
     with a margin; what is left is summed again in double precision, so the neighbours are exact.
 
     Examples are (id, terms, label, copy key). All that share a key count as one document in the
-    statistics of terms, so a text that was copied often does not make its words telling. Terms
-    whose G statistic is ``min_g`` or more are telling: they have a say of their own in a vote,
-    and none in who is near.
+    statistics of terms, so a text that was copied often does not make its words telling. Terms of
+    a G statistic of ``min_g`` or more that ``LEAST_HELD`` examples hold are the vocabulary; ``min_g`` of None
+    takes all that are there.
     """
 
-    def __init__(self, examples: list[tuple[int, Counter, int, int]], min_g: float = MIN_G, block: int = BLOCK):
+    def __init__(self, examples: list[tuple[int, Counter, int, int]], min_g: float | None = MIN_G, block: int = BLOCK):
         names = sorted({t for _, terms, *_ in examples for t in terms})
         number = {t: k for k, t in enumerate(names)}
         terms = np.array([number[t] for _, held, *_ in examples for t in held], np.int64)
@@ -134,7 +141,7 @@ class Index:
         self._fill(ids, labels, keys, lengths, terms, counts, names, min_g, block)
 
     @classmethod
-    def of_table(cls, rows: pa.Table, min_g: float = MIN_G, block: int = BLOCK) -> Index:
+    def of_table(cls, rows: pa.Table, min_g: float | None = None, block: int = BLOCK) -> Index:
         """From columns ``__id``, ``__label``, ``key``, ``terms`` and ``counts``: no Python object for each term of each example."""
         rows = rows.sort_by([("__id", "ascending"), ("key", "ascending")]).combine_chunks()
         columns = {name: rows[name].combine_chunks() for name in rows.column_names}
@@ -157,13 +164,16 @@ class Index:
         yes, no = (np.bincount(terms, (one * y)[row], len(names)) for y in (labels, 1 - labels))
         n1 = float((one * labels).sum())
         self.share = float(labels.sum()) / max(1, len(ids))
+        if min_g is not None:
+            chosen = (g_statistic(yes, n1, no, len(copies) - n1) >= min_g) & (yes + no >= LEAST_HELD - LEAST_CELL)
+            mine = chosen[terms]
+            names = [t for t, good in zip(names, chosen.tolist(), strict=True) if good]
+            yes, no, lengths = yes[chosen], no[chosen], np.bincount(row[mine], minlength=len(ids))
+            row, terms, counts = row[mine], (np.cumsum(chosen) - 1)[terms[mine]], counts[mine]
         self.term = {t: k for k, t in enumerate(names)}
         self.idf = np.log((1 + len(copies)) / (1 + yes + no)) + 1
-        #: Of a term that no example holds.
-        self.new_idf = math.log(1 + len(copies)) + 1
-        self.telling = np.flatnonzero(g_statistic(yes, n1, no, len(copies) - n1) >= min_g)
         silent = labels[lengths == 0]
-        #: The share of label 1 among examples that hold no term: the score of a text that holds none.
+        #: The share of label 1 among examples that hold no term of the vocabulary: the score of a text that holds none.
         self.silent = (float(silent.sum()) + PRIOR * self.share) / (len(silent) + PRIOR)
         weights = (1 + np.log(counts)) * self.idf[terms]
         weights /= np.maximum(np.sqrt(np.bincount(row, weights**2, len(ids))), 1e-12)[row]
@@ -218,20 +228,16 @@ class Index:
         self.dense, self.column = self._matrix(self.common, np.float32)
         self.top = np.array([self.dense[k : k + self.block].max(axis=0) for k in range(0, len(self.ids), self.block)], np.float32)
         self.posting, self.posted, self.posted_weight = self._postings()
-        self.said, self.said_column = self._matrix(self.telling, np.float64)
-        self.said /= np.maximum(np.linalg.norm(self.said, axis=1, keepdims=True), 1e-12)
-        #: Less than a step of the rounding in ``_told``, in the order of ids: ties go to the lower id.
-        self.late = np.argsort(np.argsort(self.ids, kind="stable")) * (1e-9 / (2 * len(self.ids)))
 
     def vector(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of the terms that examples hold: (1 + log of the count) times the inverse document
-        frequency, over the length of the vector of all terms."""
+        """Numbers and weights of the terms of the vocabulary: (1 + log of the count) times the inverse document
+        frequency, over the length of that vector."""
         at = np.fromiter(map(self.term.get, terms, repeat(-1)), np.int64, len(terms))
         weight = 1 + np.log(np.fromiter(terms.values(), float, len(terms)))
         known = at >= 0
-        at, new, weight = at[known], weight[~known], weight[known]
-        weight = weight * self.idf[at]
-        length = math.sqrt(weight @ weight + (new @ new) * self.new_idf**2)
+        at = at[known]
+        weight = weight[known] * self.idf[at]
+        length = math.sqrt(weight @ weight)
         return at, weight / max(length, 1e-12)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -284,33 +290,10 @@ class Index:
             out.append((near[order], own[order]))
         return out
 
-    def _told(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query, the votes for label 1 and all votes of the ``k`` examples nearest to it by telling terms alone."""
-        votes, of_all = np.zeros(len(queries)), np.zeros(len(queries))
-        if not len(self.ids):
-            return votes, of_all
-        self._open()
-        q = np.zeros((len(queries), len(self.telling)))
-        for i, (at, w) in enumerate(queries):
-            column = self.said_column[at]
-            q[i, column[column >= 0]] = w[column >= 0]
-        some = np.flatnonzero(q.any(axis=1))
-        k = min(k, len(self.ids))
-        for a in range(0, len(some), step := max(1, QUERY_CELLS // len(self.ids))):
-            rows = some[a : a + step]
-            score = np.round(q[rows] / np.linalg.norm(q[rows], axis=1, keepdims=True) @ self.said.T, 9)
-            if own is not None:
-                score[np.array(own)[rows][:, None] == self.ids] = 0
-            near = np.argpartition(self.late - score, k - 1, axis=1)[:, :k]
-            weight = np.take_along_axis(score, near, 1)
-            votes[rows], of_all[rows] = (weight * self.labels[near]).sum(axis=1), weight.sum(axis=1)
-        return votes, of_all
-
     def shares(self, texts: list[Counter], k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[float, list[int], list[float]] | None]:
         """For each text: the share of label 1 among votes, and its nearest examples; None if it holds no term of theirs.
 
-        The nearest vote by a power of their similarity, so that copies count and likeness of topic hardly
-        does; the nearest by telling terms vote beside them, and the overall share where few have a say.
+        The nearest vote by a power of their similarity, and the overall share where few have a say.
         ``own`` are ids of examples that do not vote on themselves.
         """
         vectors = [self.vector(t) for t in texts]
@@ -320,9 +303,9 @@ class Index:
         near = self.nearest(known, k + (own is not None))
         if mine is not None:
             near = [(f[keep][:k], s[keep][:k]) for (f, s), i in zip(near, mine, strict=True) for keep in [self.ids[f] != i]]
-        for i, (found, score), said, all_said in zip(some, near, *self._told(known, k, mine), strict=True):
+        for i, (found, score) in zip(some, near, strict=True):
             weight = score**STEEP
-            share = (weight @ self.labels[found] + said + PRIOR * self.share) / (weight.sum() + all_said + PRIOR)
+            share = (weight @ self.labels[found] + PRIOR * self.share) / (weight.sum() + PRIOR)
             out[i] = float(share), self.ids[found].tolist(), score.tolist()
         return out
 
@@ -334,6 +317,26 @@ class Index:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * float(_logit(share)) + self.offset)))))
 
 
+def vocabulary(examples: DataFrame, min_g: float = MIN_G, least_held: int = LEAST_HELD) -> list[str]:
+    """The terms of examples (``key``, ``__label``, ``terms``) that label 1 holds more often than chance allows.
+
+    What ``g_statistic`` gives, as columns; all examples of a key count as one. The examples are a bounded sample, and so
+    is what they hold.
+    """
+    copies = examples.groupBy("key").agg((1 / F.count(F.lit(1))).alias("one"))
+    weighed = examples.join(copies.hint("shuffle_hash"), "key").select("one", (F.col("__label") > 0).cast("double").alias("y"), "terms")
+    total, n1 = weighed.agg(F.sum("one"), F.sum(F.col("one") * F.col("y"))).first()
+    if not total:
+        return []
+    counts = weighed.select("one", "y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("one") * F.col("y")).alias("a"), F.sum(F.col("one") * (1 - F.col("y"))).alias("b"))
+    n0, a, b = total - n1, F.col("a"), F.col("b")
+    g = F.lit(0.0)
+    for x, e in ((a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (total - a - b)), (n0 - b, n0 * (total - a - b))):
+        g = g + F.when((x > LEAST_CELL) & (e > LEAST_CELL), 2 * x * F.log(x * total / e)).otherwise(0.0)
+    told = counts.where((a * n0 >= b * n1) & (a + b >= least_held - LEAST_CELL) & (g >= min_g))
+    return [r.term for r in told.select("term").collect()]
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -345,8 +348,8 @@ def learn(
 ) -> Index:
     """Indexes at most about ``examples`` labelled rows outside the held-out fold.
 
-    Ids are sampled before any text is read; terms are counted on the executors and reach the
-    driver as Arrow columns. Then the executors let all others vote on each example, and a
+    Ids are sampled before any text is read. Terms are counted and the vocabulary is chosen on the
+    executors, and only its terms reach the driver, as Arrow columns. Then the executors let all others vote on each example, and a
     logistic function of these votes is fitted to the labels: by it, scores are probabilities.
 
     Null labels and null ids are not used; of an id with two labels, the greater holds. Rows that
@@ -370,7 +373,19 @@ def learn(
 
     kinds = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("key", T.LongType())]
     counted = materialize(map_text(texts, function, kinds, "__text", ["__id", "__label"]), "examples")
-    index = Index.of_table(counted.toArrow(), min_g)
+    words = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary(counted, min_g)))
+
+    def of_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[(t, n) for t, n in zip(terms, counts, strict=True) if t in words.value] for terms, counts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            made = [pa.array([[p[k] for p in own] for own in pairs], batch.column(3 + k).type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["__id", "__label", "key", "terms", "counts"])
+
+    fields = ["__id", "__label", "key", "terms", "counts"]
+    chosen_terms = materialize(counted.select(*fields).mapInArrow(of_vocabulary, counted.select(*fields).schema), "chosen")
+    release(counted)
+    counted = chosen_terms
+    index = Index.of_table(counted.toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

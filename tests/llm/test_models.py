@@ -158,7 +158,7 @@ def test_nearest_examples_are_exact():
     rand = random.Random(6)
     kinds = [f"t{k}" for k in range(60)]
     examples = [(k, Counter(rand.choices(kinds, k=12)), k % 2, k) for k in range(300)]
-    index = toxicity.Index(examples, min_g=0, block=16)
+    index = toxicity.Index(examples, min_g=None, block=16)
     dense = np.zeros((len(index.ids), len(index.term)))
     for t, at in index.at.items():
         dense[at, t] = index.weight[t]
@@ -170,17 +170,23 @@ def test_nearest_examples_are_exact():
         assert np.allclose(score, full[order]) and np.allclose(full[found], score)
 
 
-def test_copy_without_telling_terms_is_nearest():
+def test_vocabulary_is_what_labels_tell_apart(spark):
+    """Chosen by columns as by plain counts; copies count once; neighbours by it are exact and decide alone."""
     rand = random.Random(7)
-    kinds = [f"t{k}" for k in range(4000)]
-    texts = [prose(rand, 60, kinds) for _ in range(300)]
-    examples = [(k, toxicity.term_counts(t, {}), int(k % 10 == 0), toxicity.copy_key(t)) for k, t in enumerate(texts)]
+    kinds, bad = [f"t{k}" for k in range(300)], ["vile", "scum", "oaf"]
+    texts = [prose(rand, 40, kinds) + (f" {rand.choice(bad)}" if k % 6 == 0 else "") for k in range(300)]
+    texts += [texts[0] + " often often"] * 40  # copies of one text do not make its words telling
+    examples = [(k, toxicity.term_counts(t, {}), int(k % 6 == 0 or k >= 300), toxicity.copy_key(t)) for k, t in enumerate(texts)]
     index = toxicity.Index(examples)  # production parameters
-    assert len(index.ids) == 300 and len(index.term) == len({t for _, terms, *_ in examples for t in terms})
-    assert not len(index.telling)
-    (toxic, near, similar), (clean, *_), (mixed, mixed_near, _) = index.vote([examples[20][1], examples[21][1], toxicity.term_counts(texts[20] + " new", {})])
-    assert near[0] == mixed_near[0] == 20 and abs(similar[0] - 1) < 1e-9 and len(near) == toxicity.NEIGHBOURS
-    assert toxic >= toxicity.CUT and mixed >= toxicity.CUT and clean < toxicity.CUT
+    rows = [(i, y, key, list(c), list(c.values())) for i, c, y, key in examples]
+    table = spark.createDataFrame(rows, "__id bigint, __label int, key bigint, terms array<string>, counts array<int>")
+    assert set(toxicity.vocabulary(table)) == set(index.term) >= set(bad) and "often" not in index.term and len(index.term) < 30
+    (toxic, near, similar), (clean, *_) = index.vote([examples[6][1], toxicity.term_counts(" ".join(kinds[:3]), {})])
+    assert toxic >= toxicity.CUT > clean and len(near) == toxicity.NEIGHBOURS and similar == sorted(similar, reverse=True)
+    labels = dict(zip(index.ids.tolist(), index.labels.tolist(), strict=True))
+    votes = [s**toxicity.STEEP for s in similar]
+    share = (sum(v * labels[i] for v, i in zip(votes, near, strict=True)) + toxicity.PRIOR * index.share) / (sum(votes) + toxicity.PRIOR)
+    assert abs(index.calibrated(share) - toxic) < 1e-12  # the score is a function of the evidence
 
 
 def test_toxic_words_are_found(spark, odd, empty):

@@ -107,36 +107,31 @@ def test_op7(spark, docs):
     toxic = sum(share[i] * labels[i] for i in ids)
     names = sorted(held)
     g = toxicity.g_statistic(np.array([held_toxic[t] for t in names]), toxic, np.array([held[t] - held_toxic[t] for t in names]), n - toxic)
-    telling = {t for t, v in zip(names, g, strict=True) if v >= toxicity.MIN_G}
+    chosen = {t for t, v in zip(names, g, strict=True) if v >= toxicity.MIN_G and held[t] >= toxicity.LEAST_HELD - 1e-9}
 
-    def vector(terms, only=None):
-        v = {t: (1 + math.log(c)) * idf.get(t, math.log(1 + n) + 1) for t, c in terms.items()}
-        if only is not None:
-            v = {t: w for t, w in v.items() if t in only}
+    def vector(terms):
+        v = {t: (1 + math.log(c)) * idf[t] for t, c in terms.items() if t in chosen}
         norm = math.sqrt(sum(w * w for w in v.values())) or 1
         return {t: w / norm for t, w in v.items()}
 
-    whole, said = {i: vector(counts[i]) for i in ids}, {i: vector(counts[i], telling) for i in ids}
-
-    def nearest(v, vectors, but=None):
-        near = [(-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), i) for i in ids if i != but]
-        return [(i, -s) for s, i in sorted(near)[: toxicity.NEIGHBOURS] if s < 0]
-
+    vectors = {i: vector(counts[i]) for i in ids}
     overall = sum(labels.values()) / len(ids)
 
     def told(terms, but=None):
-        near, by_terms = nearest(vector(terms), whole, but), nearest(vector(terms, telling), said, but)
-        votes = [(s**toxicity.STEEP, labels[i]) for i, s in near] + [(s, labels[i]) for i, s in by_terms]
+        v = vector(terms)
+        near = [(-round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 12), i) for i in ids if i != but]
+        near = [(i, -s) for s, i in sorted(near)[: toxicity.NEIGHBOURS] if s < 0]
+        votes = [(s**toxicity.STEEP, labels[i]) for i, s in near]
         total = sum(w for w, _ in votes) + toxicity.PRIOR
         return (sum(w * y for w, y in votes) + toxicity.PRIOR * overall) / total, near
 
-    known = [i for i in ids if counts[i]]
+    known = [i for i in ids if vectors[i]]
     slope, offset = toxicity.calibration(np.array([told(counts[i], i)[0] for i in known]), np.array([labels[i] for i in known]))
     found = {r.doc_id: r for r in ops["op7_toxic_neighbours"](spark, SF_DIR).collect()}
     assert set(found) == set(docs)
     for i, r in found.items():
         assert r.held_out == (fold(i, 4) == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
-        if any(t in held for t in counts[i]):
+        if vector(counts[i]):
             vote, near = told(counts[i])
             assert abs(r.score - 1 / (1 + math.exp(-(slope * math.log(vote / (1 - vote)) + offset)))) < 1e-4
             sims = dict(near)
