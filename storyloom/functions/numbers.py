@@ -35,8 +35,8 @@ def duration_label(seconds: Column) -> Column:
 
 
 def eta_label(minutes: Column) -> Column:
-    return F.when(minutes < 120, F.concat(F.round(minutes, 0).cast("int").cast("string"), F.lit("min"))).otherwise(
-        F.concat(F.round(minutes / 60, 1).cast("string"), F.lit("h"))
+    return F.when(minutes < 120, F.concat(F.bround(minutes, 0).cast("int").cast("string"), F.lit("min"))).otherwise(
+        F.concat(F.bround(minutes / 60, 1).cast("string"), F.lit("h"))
     )
 
 
@@ -55,3 +55,13 @@ def backoff(attempt: Column, jitter: Column) -> Column:
 
 def short_id(text: Column, size: int = 8) -> Column:
     return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("..."))).otherwise(text)
+
+
+def throttle_wait(elapsed: Column, jitter: Column, least: float, most: float) -> Column:
+    """Seconds to wait before a host is called again, ``elapsed`` after the last call; ``jitter`` is 0 to 1."""
+    return F.when(elapsed < least, F.lit(least) - elapsed + jitter * (most - least)).otherwise(F.lit(0.0))
+
+
+def coverage(achieved: Column, needed: Column) -> Column:
+    """What share of a needed rate is achieved, in percent; 0 where nothing is needed."""
+    return F.when(needed > 0, achieved / needed * 100).otherwise(F.lit(0.0))

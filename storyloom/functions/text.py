@@ -362,3 +362,24 @@ def join_url(base: Column, url: Column) -> Column:
         .when(url.startswith("/"), F.concat(scheme, host, without_dots(place), rest))
         .otherwise(F.concat(scheme, host, without_dots(F.concat(folder, place)), rest))
     )
+
+
+#: Callers whose word about a forwarded address is taken.
+TRUSTED_PROXIES = ("127.0.0.1", "::1", "localhost")
+
+
+def client_address(peer: Column, forwarded: Column) -> Column:
+    """Whose a request is: the first of the addresses that a trusted proxy forwards, if any, else the caller's own."""
+    first = F.trim(F.substring_index(forwarded, ",", 1))
+    return F.when(peer.isin(*TRUSTED_PROXIES) & (F.coalesce(forwarded, F.lit("")) != ""), first).otherwise(F.coalesce(F.nullif(peer, F.lit("")), F.lit("unknown")))
+
+
+def host_and_port(host: Column, default: int = 80) -> tuple[Column, Column]:
+    """A host header's name, in lower case, and its port."""
+    name = F.lower(F.regexp_extract(host, r"^(\[[^\]]*\]|[^:]*)", 1))
+    return name, F.coalesce(F.nullif(F.regexp_extract(host, r":(\d+)$", 1), F.lit("")).cast("int"), F.lit(default))
+
+
+def module_enabled(config: Column, page: str, module: str) -> Column:
+    """Whether a site's JSON settings leave a part of a page on: it is unless it says otherwise."""
+    return F.coalesce(F.get_json_object(config, f"$.{page}.{module}.enabled").cast("boolean"), F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns by which novels may be sorted; another falls back to the last.
@@ -54,6 +54,16 @@ def page_of(rows: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     return rows.orderBy(*order).offset(shift + (page - 1) * size).limit(size)
 
 
+def shifted_page(rows: DataFrame, order: Sequence[Column], page: int, size: int, one: DataFrame, shift: str, most: int = 10_000) -> DataFrame:
+    """A page behind as many rows as a one-row table says, ``most`` at the utmost: a top-k, then the page's rows, in one plan."""
+    from ..sources.catalog import beside
+
+    first = beside(rows.orderBy(*order).limit(most + page * size), one)
+    place = F.row_number().over(Window.orderBy(*order))
+    start = F.least(F.col(shift), F.lit(most)) + (page - 1) * size
+    return first.withColumn("__place", place).where((F.col("__place") > start) & (F.col("__place") <= start + size)).orderBy("__place").drop("__place", shift)
+
+
 def envelope(rows: DataFrame, page: int, size: int, least_pages: int = 1) -> DataFrame:
     """``total``, ``page``, ``size`` and ``pages`` of a listing, in one row."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
@@ -96,3 +106,28 @@ def contains_any(words: Sequence[str], *columns: str) -> Column:
 def random_sample(rows: DataFrame, size: int, seed: int = 7) -> DataFrame:
     """``size`` rows at random, by a top-k on a random number."""
     return rows.orderBy(F.rand(seed)).limit(size)
+
+
+def empty_chapter() -> Column:
+    """Whether a chapter has neither a text nor a file, but an address to fetch it from."""
+    return F.col("content").isNull() & F.col("content_file").isNull() & F.col("source_url").isNotNull()
+
+
+def recommended(novels: DataFrame, chapters: DataFrame, size: int = 5, seed: int = 7) -> DataFrame:
+    """For each novel, ``size`` others with a cover, drawn by a seed, each with its latest chapter (``-`` if it has none).
+
+    One more than ``size`` are drawn for all, so that each novel can leave itself out: the draw is a top-k, and goes
+    to every novel by a broadcast of ``size + 1`` rows.
+    """
+    from .windows import first_per_key
+
+    dice = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    drawn = novels.where(~missing("cover")).select("id", "title", dice.alias("dice")).orderBy("dice").limit(size + 1)
+    own = chapters.join(F.broadcast(drawn.select(F.col("id").alias("novel_id"))), "novel_id", "left_semi")
+    last = first_per_key(own, "novel_id", [F.desc("sort_order"), F.desc("id")]).select("novel_id", F.col("id").cast("string").alias("chapter"))
+    full = drawn.join(last, F.col("id") == F.col("novel_id"), "left").agg(
+        F.array_sort(F.collect_list(F.struct("dice", "id", "title", F.coalesce("chapter", F.lit("-")).alias("chapter")))).alias("all")
+    )
+    rows = novels.select(F.col("id").alias("reader_of"), F.lit(1).alias("__one")).join(F.broadcast(full.withColumn("__one", F.lit(1))), "__one")
+    others = F.slice(F.filter("all", lambda b: b["id"] != F.col("reader_of")), 1, size)
+    return rows.select("reader_of", F.explode(others).alias("book")).select("reader_of", "book.id", "book.title", "book.chapter")

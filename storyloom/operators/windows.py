@@ -95,3 +95,17 @@ def fill_down(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:
     """Each row gets the last value at or before it, as rows under a header do."""
     window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, True).over(window))
+
+
+def watchdog(cycles: DataFrame, time: str, *by: str) -> DataFrame:
+    """Adds ``progressed``, ``restart`` and its ``reason`` to cycles of ``alive``, ``stuck``, ``pending``, ``running`` and ``completed``.
+
+    A dead runner is started again, as is one with stuck tasks; a live one only if work waits, nothing runs, and neither
+    fewer wait nor more are done than in the cycle before (none is before the first).
+    """
+    window = Window.partitionBy(*by).orderBy(time)
+    moved = (F.col("pending") < F.lag("pending").over(window)) | (F.col("completed") > F.lag("completed").over(window))
+    told = cycles.withColumn("progressed", F.coalesce(moved, F.lit(False)))
+    idle = (F.col("pending") > 0) & (F.col("running") == 0) & ~F.col("progressed")
+    reason = F.when(~F.col("alive"), "dead").when(F.col("stuck") > 0, "stuck").when(idle, "idle")
+    return told.withColumn("reason", reason).withColumn("restart", F.col("reason").isNotNull())

@@ -116,9 +116,9 @@ QUALIFY row_number() OVER (ORDER BY n.updated_at DESC, n.id DESC) BETWEEN max(s.
 """, c.NOVEL_SQL, c.SITE_SQL))
 def site_home_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of a site, which its own offset shifts."""
-    site = c.sites(spark, d).where((F.col("domain") == "nation_3.example.com") & F.col("is_active")).select("offset_val").first()
+    site = c.sites(spark, d).where((F.col("domain") == "nation_3.example.com") & F.col("is_active")).agg(F.coalesce(F.min("offset_val"), F.lit(0)).alias("shift"))
     order = [F.desc("updated_at"), F.desc("id")]
-    return listing.page_of(c.novels(spark, d, counted=False, authored=False), order, 2, listing.SITE_PAGE_SIZE, site[0] if site else 0).select("id", "title")
+    return listing.shifted_page(c.novels(spark, d, counted=False, authored=False), order, 2, listing.SITE_PAGE_SIZE, site, "shift").select("id", "title")
 
 
 @query(V("""
