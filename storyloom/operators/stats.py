@@ -56,7 +56,8 @@ def nearest_rank(rows: DataFrame, value: str, by: Sequence[str] = (), quantiles:
 
     A sketch of known error first tells two values around each quantile. Of each group, only the
     distinct values between those two are then put in order, after one row that counts all lower
-    ones, so what is sorted for a group is a fixed small share of it. Null values are left out.
+    ones, so what is sorted for a group is a fixed small share of it. Null values are left out. Should
+    a sketch be off by more than its bound, the job fails rather than tell a wrong rank.
     """
     from pyspark.sql import Window
 
@@ -82,10 +83,19 @@ def nearest_rank(rows: DataFrame, value: str, by: Sequence[str] = (), quantiles:
         F.sum("n").alias("n"), F.first("at.rank").alias("rank"), *[F.first(c).alias(c) for c in figures]
     )
     order = Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("__value")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = kept.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") > F.col("rank"))
-    return ranked.groupBy(*by).agg(
-        *[F.first(c).alias(c) for c in figures], *[F.min(F.when(F.col("k") == k, F.col("__value"))).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)]
+    ranked = kept.withColumn("upto", F.sum("n").over(order))
+    # The rank must lie behind what is counted below, and before the last value that is kept: else the sketch erred by more than it may.
+    reached = F.col("upto") > F.col("rank")
+    made = ranked.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in figures],
+        *[F.min(F.when((F.col("k") == k) & reached, F.col("__value"))).alias(f"p{round(q * 100)}") for k, q in enumerate(quantiles)],
+        F.max(F.when(F.col("__value").isNull(), reached)).alias("__astray"),
     )
+    wrong = F.coalesce(F.col("__astray"), F.lit(False))
+    for q in quantiles:
+        wrong = wrong | F.col(f"p{round(q * 100)}").isNull()
+    sure = [F.when(wrong, F.raise_error(F.lit("a sketch of ranks is off by more than its bound; raise ACCURACY or SLACK"))).otherwise(F.col(c)).alias(c) for c in (f"p{round(q * 100)}" for q in quantiles)]
+    return made.select(*by, *figures, *sure)
 
 
 def quality_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:

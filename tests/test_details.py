@@ -102,3 +102,17 @@ def test_shifted_pages_and_recommendations(spark):
 def test_kinds_of_links(spark):
     urls = spark.createDataFrame([("/book/1/",), ("/book/1/2.html",), ("/x",), (None,)], "u string")
     assert [r[0] for r in urls.select(harvest.kind_of(F.col("u"))).collect()] == ["novel", "chapter", None, None]
+
+
+def test_ranks_fail_aloud(spark, monkeypatch):
+    """A sketch that is much too coarse for its margin is noticed."""
+    import pytest
+
+    from storyloom.operators import stats
+
+    rows = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("v"))
+    assert stats.nearest_rank(rows, "v").first().p50 == sorted(k * 7919 % 50_021 for k in range(50_000))[25_000]
+    monkeypatch.setattr(stats, "SLACK", 0)
+    monkeypatch.setattr(stats, "ACCURACY", 7)
+    with pytest.raises(Exception, match="off by more"):
+        stats.nearest_rank(rows, "v").collect()
