@@ -102,11 +102,12 @@ def _given(parts: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, kinds, strict=True)], names=names)
 
 
-def nodes(pages: DataFrame, carry: Sequence[str] = ("page_id",)) -> DataFrame:
+def nodes(pages: DataFrame, carry: Sequence[str] = ("page_id",), only: frozenset[str] | None = None) -> DataFrame:
     """A row for each element of ``html``, in order, after one for the page itself (``position`` 0, no tag).
 
     ``upto`` is the position of the last descendant, ``text_from`` and ``text_to`` say where its text lies in
-    the page's (see ``page_texts``). A null page is an empty one. Pages may nest as deep as they like.
+    the page's (see ``page_texts``). A null page is an empty one. Pages may nest as deep as they like. ``only``
+    names index keys: elements that have none of them are left out, as no step of a selector can find them.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -115,21 +116,38 @@ def nodes(pages: DataFrame, carry: Sequence[str] = ("page_id",)) -> DataFrame:
     kinds += [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string())] + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in names]
         for batch in batches:
             own = [batch.column(c).to_pylist() for c in carry]
             for k, page in enumerate(batch.column("html").to_pylist()):
                 flat = Flat().read(page)
-                for a in range(0, len(flat.tag), ROWS):
-                    cut = slice(a, a + ROWS)
-                    here = range(a, min(a + ROWS, len(flat.tag)))
-                    parts = [[o[k]] * len(here) for o in own]
-                    parts += [list(here), flat.parent[cut], flat.upto[cut], flat.depth[cut], flat.tag[cut], [list(x.items()) for x in flat.attrs[cut]], flat.start[cut], flat.end[cut]]
-                    yield _given(parts, kinds, names)
+                here = [i for i, (tag, attrs) in enumerate(zip(flat.tag, flat.attrs, strict=True)) if only is None or _wanted(tag, attrs, only)]
+                lists = flat.parent, flat.upto, flat.depth, flat.tag, flat.attrs, flat.start, flat.end
+                for a in range(0, len(here), ROWS):
+                    cut = here[a : a + ROWS]
+                    for to, o in zip(held, own, strict=False):
+                        to += [o[k]] * len(cut)
+                    held[len(own)] += cut
+                    for to, of in zip(held[len(own) + 1 :], lists, strict=True):
+                        to += [list(of[i].items()) for i in cut] if of is flat.attrs else [of[i] for i in cut]
+                    if len(held[0]) >= ROWS:
+                        yield _given(held, kinds, names)
+                        held = [[] for _ in names]
+            if held[0]:
+                yield _given(held, kinds, names)
+                held = [[] for _ in names]
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry)
     return pages.select(*carry, "html").mapInArrow(run, f"{schema}, {_FIELDS}")
 
 
+def _wanted(tag: str, attrs: dict[str, str], only: frozenset[str]) -> bool:
+    """Whether an element has an index key among some."""
+    if tag in only or "*" in only:
+        return True
+    return any(f"[{k}]" in only for k in attrs) or f"#{attrs.get('id')}" in only or any(f".{c}" in only for c in attrs.get("class", "").split())
+
+
 def page_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """``key`` and ``page_text``: all strings of a page that are shown, with a mark behind each."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -176,6 +194,13 @@ def steps_table(spark: SparkSession, selectors: dict[str, str], deepest: int = D
     return F.broadcast(spark.createDataFrame(rows, _STEPS)), max((r[3] for r in rows), default=1)
 
 
+def found_by(pages: DataFrame, selectors: dict[str, str], key: str) -> DataFrame:
+    """What selectors that are known when the plan is made find in pages; of these, only elements that they may find are read."""
+    steps, deepest = steps_table(pages.sparkSession, selectors)
+    keys = frozenset(r[5] for sel, selector in selectors.items() for r in steps_of(sel, selector))
+    return matches(nodes(pages, [key], keys), steps, key, deepest)
+
+
 def matches(found: DataFrame, steps: DataFrame, key: str = "page_id", deepest: int = DEEPEST, by: Sequence[str] = ()) -> DataFrame:
     """The elements that each selector finds: ``key``, ``sel`` and the element's figures.
 
@@ -271,15 +296,14 @@ def extract(pages: DataFrame, fields: dict[str, dict], container: str | None = N
     ``absolute`` and ``default``. Its value is the first that is not blank. ``position`` numbers the rows
     of a page from 0. A null page gives no containers, and nulls or defaults as a single document.
     """
-    spark, names = pages.sparkSession, list(fields)
+    names = list(fields)
     sels = {f"{n}/{k}": (n, s) for n in names for k, s in enumerate(fields[n].get("selectors", ()))}
     wanted = {sel: s for sel, (_, s) in sels.items() if s != "&"} | ({"container": container} if container else {}) | ({"cleanup": cleanup} if cleanup else {})
     whole = pages.select(key, F.lit(0).alias("position"), F.lit((1 << 31) - 1).alias("upto"), F.lit(0).alias("text_from"), F.lit((1 << 31) - 1).alias("text_to"))
     none = F.array().cast("array<struct<text_from:int,text_to:int>>")
     found = None
     if wanted:
-        steps, deepest = steps_table(spark, wanted)
-        found = matches(nodes(pages, [key]), steps, key, deepest)
+        found = found_by(pages, wanted, key)
         found = outside(found, ["cleanup"], key) if cleanup else found.withColumn("gone", none)
     own = [key, "position", "upto", "text_from", "text_to"]
     boxes = found.where("sel = 'container'").select(*own, "attrs") if container else whole.withColumn("attrs", F.create_map().cast("map<string,string>"))
@@ -349,8 +373,7 @@ def extract(pages: DataFrame, fields: dict[str, dict], container: str | None = N
 
 def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str = "page_id", frame: frozenset[str] = FRAME) -> DataFrame:
     """Links whose address matches, outside the site's frame (elements of ``frame``), the first of each address; a page without the main element is searched whole."""
-    steps, deepest = steps_table(pages.sparkSession, {"main": main, "link": "a[href]"} | ({"frame": ", ".join(sorted(frame))} if frame else {}))
-    found = matches(nodes(pages, [key]), steps, key, deepest)
+    found = found_by(pages, {"main": main, "link": "a[href]"} | ({"frame": ", ".join(sorted(frame))} if frame else {}), key)
     page = Window.partitionBy(key)
     first = F.min(F.when(F.col("sel") == "main", F.struct("position", "upto"))).over(page)
     framed = F.max(F.when(F.col("sel") == "frame", F.col("upto"))).over(page.orderBy("position").rangeBetween(Window.unboundedPreceding, -1))
@@ -367,13 +390,12 @@ def harvest_links(pages: DataFrame, pattern: str, main: str = "#main", key: str
 
 def body_text(pages: DataFrame, container: str, junk: str = "script, ins, .adsbygoogle", key: str = "page_id") -> DataFrame:
     """The text of a chapter: its paragraphs of over 5 characters, else blocks of over 15, else all of it."""
-    steps, deepest = steps_table(pages.sparkSession, {"box": container, "part": "p", "block": "div", "junk": junk})
-    found = outside(matches(nodes(pages, [key]), steps, key, deepest), ["junk"], key)
+    found = outside(found_by(pages, {"box": container, "part": "p", "block": "div", "junk": junk}, key), ["junk"], key)
     boxes = found.where("sel = 'box'").groupBy(key).agg(F.min(F.struct("position", "upto", "text_from", "text_to")).alias("box"))
     every = pages.select(key).join(boxes, key, "left")
     root = F.struct(F.lit(0).alias("position"), F.lit((1 << 31) - 1).alias("upto"), F.lit(0).alias("text_from"), F.lit((1 << 31) - 1).alias("text_to"))
     # Junk is a row of its own, so that pages of nothing else keep their list of it.
-    cut = matches(nodes(pages, [key]), steps_table(pages.sparkSession, {"junk": junk})[0], key, deepest).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("text_from", "text_to"))).alias("gone"))
+    cut = found_by(pages, {"junk": junk}, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("text_from", "text_to"))).alias("gone"))
     every = every.join(cut, key, "left").join(page_texts(pages, key), key).select(key, F.coalesce("box", root).alias("box"), F.coalesce("gone", F.array().cast("array<struct<text_from:int,text_to:int>>")).alias("gone"), "page_text")
     inner = found.where("sel IN ('part', 'block')").select(key, "sel", "position", "parent", "text_from", "text_to")
     inside = (F.col("position") > F.col("box.position")) & (F.col("position") <= F.col("box.upto")) & ((F.col("sel") == "part") | (F.col("parent") == F.col("box.position")))
@@ -389,8 +411,7 @@ def catalog_rows(pages: DataFrame, header: str, item: str, key: str = "page_id")
     """Headers and items in order of the document, each item under the last header before it."""
     from .windows import fill_down
 
-    steps, deepest = steps_table(pages.sparkSession, {"header": header, "item": item})
-    found = matches(nodes(pages, [key]), steps, key, deepest).join(page_texts(pages, key), key).join(pages.select(key, "url"), key)
+    found = found_by(pages, {"header": header, "item": item}, key).join(page_texts(pages, key), key).join(pages.select(key, "url"), key)
     # An element that both find is a header.
     one = found.groupBy(key, "position").agg(F.min(F.struct("sel", F.col("attrs")["href"].alias("href"), shown(raw_text(F.col("page_text"), F.col("text_from"), F.col("text_to"))).alias("text"), "url")).alias("of"))
     head = F.col("of.sel") == "header"
