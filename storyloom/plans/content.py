@@ -69,6 +69,28 @@ def clean_content(spark: SparkSession, d: str) -> DataFrame:
     return cleaned.select("doc_id", lines.alias("lines"), F.md5("cleaned").alias("cleaned"))
 
 
+@query("""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS line FROM documents),
+kept AS (
+  SELECT * FROM lines WHERE length(line) >= 25 AND NOT regexp_matches(line, '^Th[a-z]+ ') AND NOT regexp_matches(line, '^.*(Ctrl\\s*\\+?\\s*[DF]|F5|F11|ALT\\s*\\+).*$')
+    AND NOT regexp_matches(line, '^.*(www\\..*\\.(com|net|org|cn)).*$') AND NOT regexp_matches(line, '^[\\s\\.。…]{10,}$')
+    AND NOT regexp_matches(line, '^[A-Za-z0-9]{20,}$') AND NOT regexp_matches(line, '^[\\[\\]{}\\-,.!?:;"''()\\s]+$')
+    AND NOT regexp_matches(line, '^.*(23qb).*$')),
+chars AS (SELECT doc_id, pos, line, unnest(string_split(line, '')) AS ch FROM kept WHERE length(line) >= 5),
+modes AS (SELECT doc_id, pos, max(n) AS most FROM (SELECT doc_id, pos, ch, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL),
+cut AS (
+  SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(line, '\\[[^\\]]*?(更新|首发|独家)[^\\]]*?\\]', '', 'g'), '[aeiou]{3}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS line
+  FROM kept LEFT JOIN modes USING (doc_id, pos) WHERE coalesce(most, 0) < 0.12 * length(line))
+SELECT doc_id, CAST(count(cut.line) AS INT) AS lines, md5(coalesce(string_agg(cut.line, chr(10) ORDER BY pos), '')) AS cleaned
+FROM documents LEFT JOIN cut USING (doc_id) GROUP BY doc_id""")
+def cleaner_of_a_rule(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaner with a rule's own patterns and bounds beside the fixed ones."""
+    cleaned = docs(spark, d).select("doc_id", text.clean_content(F.col("text"), ("^Th[a-z]+ ",), ("[aeiou]{3}",), 25, 0.12).alias("cleaned"))
+    lines = F.when(F.col("cleaned") == "", 0).otherwise(F.size(F.split("cleaned", "\\n")))
+    return cleaned.select("doc_id", lines.alias("lines"), F.md5("cleaned").alias("cleaned"))
+
+
 @query("""
 WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN repeat('z', CAST(length(text) * 1.6 AS INT)) || text ELSE text END AS text FROM documents),
 chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM texts WHERE length(text) >= 5),
