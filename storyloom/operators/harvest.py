@@ -23,12 +23,16 @@ def over_pages(pages: DataFrame, container: str, fields: dict[str, dict], patter
     ``pages`` have ``by`` and ``number``. Gives ``by``, ``number``, ``position``, ``url``, ``title``, ``kind`` and ``first``: whether
     a novel's link is the first of its book in the listing (chapters all count).
     """
-    ruled = html.extract(pages, fields, container=container, key=key).where(F.length("url") > 0).select(key, "position", "url", "title")
-    generic = html.harvest_links(pages, pattern, key=key).select(key, "position", F.col("href").alias("url"), "title")
-    generic = generic.join(ruled.select(key).distinct(), key, "left_anti")
-    found = ruled.unionByName(generic)
-    counts = pages.select(key, by, number).join(found.groupBy(key).agg(F.count(F.lit(1)).alias("links")), key, "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    kept = html.first_pages(counts, number, "links", by)
-    rows = found.join(kept.select(key, by, number), key).withColumn("kind", kind_of(F.col("url")))
+    own = [by, number]
+    ruled = html.extract(pages, fields, container=container, key=key, carry=own).where(F.length("url") > 0).select(key, *own, "position", "url", "title", F.lit(True).alias("__ruled"))
+    generic = html.harvest_links(pages, pattern, key=key, carry=own).select(key, *own, "position", F.col("href").alias("url"), "title", F.lit(False).alias("__ruled"))
+    # Each page has a row without an address, so that empty ones are known.
+    bare = pages.select(key, *own, *[F.lit(None).cast(kind).alias(n) for n, kind in (("position", "int"), ("url", "string"), ("title", "string"), ("__ruled", "boolean"))])
+    found = ruled.unionByName(generic).unionByName(bare).repartition(by)
+    # Links by addresses count only on pages where the rule finds none.
+    any_ruled = F.coalesce(F.max("__ruled").over(Window.partitionBy(by, key)), F.lit(False))
+    found = found.withColumn("__any", any_ruled).where(F.col("__ruled").isNull() | (F.col("__ruled") == F.col("__any")))
+    found = found.withColumn("links", F.count("url").over(Window.partitionBy(by, key)))
+    rows = html.first_pages(found, number, "links", by).where(F.col("url").isNotNull()).withColumn("kind", kind_of(F.col("url")))
     place = F.row_number().over(Window.partitionBy(by, "kind", F.regexp_extract("url", NOVEL, 1)).orderBy(number, "position"))
     return rows.select(by, number, "position", "url", "title", "kind", ((F.col("kind") == "chapter") | (place == 1)).alias("first"))
