@@ -175,7 +175,7 @@ def _listing_pages(spark: SparkSession, d: str) -> DataFrame:
     ruled = _say('<div class="row"><a href="/book/', key, '/">A ', key, '</a></div><div class="row"><a href="/book/', key, '/3.html">Chapter</a></div>')
     plain = _say('<div id="main"><a href="/book/', key, '/">again</a><a href="/book/', key + 1, '/">B</a><nav><a href="/book/9/">frame</a></nav><a href="/other">x</a></div>')
     bodies = F.array(ruled, F.when(key % 2 == 0, plain).otherwise(ruled), F.lit("<p>none</p>"), plain)
-    rows = c.table(spark, d, "part").select(key.alias("site"), F.posexplode(bodies).alias("n", "html"))
+    rows = c.dealt(spark, d, "part", "p_partkey").select(key.alias("site"), F.posexplode(bodies).alias("n", "html"))
     return rows.select((F.col("site") * 10 + F.col("n")).alias("page_id"), "site", (F.col("n") + 1).alias("page"), _say(SITE, "/list").alias("url"), "html")
 
 
