@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ends of sentences in order of preference, how far ahead a paragraph may end, and the least share of a page.
 SENTENCE_ENDS = ("。", "！", "？", "」", "\n")
 PART_ENDS = ("。", "！", "？", "\n\n", "\n")
 PARAGRAPH_AHEAD, LEAST_SHARE = 500, 0.6
+#: Characters and pages that a task gives away at once, and texts that it takes at once.
+CHARS, ROWS, TEXTS = 1_000_000, 10_000, 16
 
 
 def _good_end(text: str, low: int, high: int, ends: tuple[str, ...]) -> int | None:
@@ -48,9 +53,43 @@ def pages_by_number(text: str | None, number: int) -> list[str]:
     return [p for p in [*out, text[at:]] if p.strip()]
 
 
+_CUTS = {"word_count": pages_by_size, "page_count": pages_by_number}
+
+
+def _given(pages: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*pages, strict=True), schema, strict=True)], schema=schema)
+
+
+def page_rows(rows: DataFrame, text: str, method: str, size: int, carry: Sequence[str]) -> DataFrame:
+    """A row for each page of a text: ``carry``, ``page`` from 0 and ``content``. A task holds a few texts and about ``CHARS`` characters of pages at a time."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    cut, carry = _CUTS[method], list(carry)
+    schema = pa.schema([*[(c, to_arrow_type(rows.schema[c].dataType)) for c in carry], ("page", pa.int32()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(a, TEXTS).to_pydict()
+                for k, whole in enumerate(few[text]):
+                    own = [few[c][k] for c in carry]
+                    for page, content in enumerate(cut(whole, size)):
+                        held.append((*own, page, content))
+                        chars += len(content)
+                        if chars >= CHARS or len(held) >= ROWS:
+                            yield _given(held, schema)
+                            held, chars = [], 0
+        if held:
+            yield _given(held, schema)
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.select(*carry, *([] if text in carry else [text])).mapInArrow(run, f"{kinds}, page int, content string")
+
+
 def paginate(text: str, method: str, size: int) -> Column:
     """The pages of a text column: by ``word_count``, by ``page_count``, or one page."""
-    cut = {"word_count": pages_by_size, "page_count": pages_by_number}.get(method)
+    cut = _CUTS.get(method)
     if cut is None:
         return F.array(F.coalesce(F.col(text), F.lit("")))
 
