@@ -1,21 +1,28 @@
 """State and timers over streams: rows of a key are folded in order of event time, whatever order they arrive in.
 
 A row is held in list state until the watermark has passed it, as no earlier one can come then; a timer
-wakes the key for it. So a stream gives the rows that a batch over the sorted table gives, by the same fold.
+wakes the key for it. Rows that arrive together are one element of that list, and what a key tells together is one
+row until it has left the state's operator: each element is a message, and each key's frame is converted column by column. So a stream gives the rows that a batch over the sorted table gives, by the same fold.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: A moment after all others, in microseconds.
 NEVER = 1 << 62
+#: Rows after which a task gives away what it has.
+TOLD = 10_000
 
 
 class Fold:
@@ -23,7 +30,7 @@ class Fold:
 
     ``memory`` is the DDL of the state, ``told`` that of the rows given. ``begin()`` is the first state,
     ``row(state, time, *values)`` and ``until(state, time)`` return the next state and rows: the latter is called
-    with a time that no coming row is before. ``wake(state)`` is the time at which ``until`` has something to tell.
+    with a time that no coming row is before. ``rest(state)`` returns rows, ``wake(state)`` is the time at which ``until`` has something to tell.
     """
 
     memory = told = ""
@@ -37,6 +44,10 @@ class Fold:
     def until(self, state: tuple, time: int) -> tuple[tuple, list[tuple]]:
         return state, []
 
+    def rest(self, state: tuple) -> list[tuple]:
+        """What is told once all rows that were due are folded, and not for each of them."""
+        return []
+
     def wake(self, state: tuple) -> int:
         return NEVER
 
@@ -51,33 +62,44 @@ def batch(rows: DataFrame, fold: Fold, key: str, time: str, order: str, values:
     dealt = rows.select(*taken).repartition("__key").sortWithinPartitions("__key", "__at", "__order")
     names = [key, *_told_names(fold)]
 
+    def ended(held: tuple | None, state: tuple, limit: int | None) -> list[tuple]:
+        if held is None:
+            return []
+        told = [*fold.rest(state), *(fold.until(state, limit)[1] if limit is not None else [])]
+        return [(held[0], *r) for r in told]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state, limit, out = None, None, None, []
         for part in batches:
             for row in _plain(part):
                 if held is None or row[0] != held[0]:
-                    if held is not None and limit is not None:
-                        out += [(held[0], *r) for r in fold.until(state, limit)[1]]
+                    out += ended(held, state, limit)
                     held, state = (row[0],), fold.begin()
                     limit = None if row[-1] is None else int(row[-1])
                 state, told = fold.until(state, row[1])
                 out += [(held[0], *r) for r in told]
                 state, told = fold.row(state, row[1], *row[2:-1])
                 out += [(held[0], *r) for r in told]
-            if len(out) > 10_000:
+            if len(out) > TOLD:
                 yield _frame(out, names, fold)
                 out = []
-        if held is not None and limit is not None:
-            out += [(held[0], *r) for r in fold.until(state, limit)[1]]
+        out += ended(held, state, limit)
         if out:
             yield _frame(out, names, fold)
 
     return dealt.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {fold.told}")
 
 
-def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
-    """Rows of plain values, with None for what is missing."""
-    return frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)
+def _plain(frame: pd.DataFrame, names: Sequence[str] = ()) -> Iterator[tuple]:
+    """Rows of plain values (of the columns named, or of all), with None for what is missing."""
+    columns = []
+    for name in names or frame.columns:
+        column = frame[name]
+        values = column.tolist()
+        if column.dtype.kind not in "iub" and (gone := column.isna().to_numpy()).any():
+            values = [None if no else v for v, no in zip(values, gone, strict=True)]
+        columns.append(values)
+    return zip(*columns, strict=True)
 
 
 def _told_names(fold: Fold) -> list[str]:
@@ -94,7 +116,7 @@ def _told_names(fold: Fold) -> list[str]:
 
 
 def _frame(rows: list[tuple], names: list[str], fold: Fold) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
+    frame = pd.DataFrame(dict(zip(names, zip(*rows, strict=True), strict=True)))
     kinds = dict(zip(_told_names(fold), _kinds(fold.told), strict=True))
     for name, kind in kinds.items():
         if kind == "timestamp":
@@ -118,29 +140,33 @@ class InOrder(StatefulProcessor):
     """Runs a fold over a stream: list state for rows that wait, value state for what the fold remembers, timers for both."""
 
     def __init__(self, fold: Fold, key: str, values: Sequence[str], held: str):
-        self.fold, self.names, self.values, self.schema = fold, [key, *_told_names(fold)], list(values), held
+        self.fold, self.key, self.columns = fold, key, ["row_micros", "row_order", *values]
         self.whole = [k in ("bigint", "int", "smallint", "tinyint") for k in _kinds(held)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
+        self.held = handle.getListState("held", "rows binary")
         self.memory = handle.getValueState("memory", self.fold.memory)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Whole numbers beside missing ones reach Python as fractions.
-        new = [
-            tuple(int(v) if v is not None and whole else v for v, whole in zip(r, self.whole, strict=True))
-            for frame in rows for r in _plain(frame[["row_micros", "row_order", *self.values]])
-        ]
-        self.held.appendList(new)
-        self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+        first = NEVER
+        for frame in rows:
+            held = list(_plain(frame, self.columns))
+            # Whole numbers beside missing ones reach Python as fractions.
+            broken = [whole and frame[name].dtype.kind not in "iub" for name, whole in zip(self.columns, self.whole, strict=True)]
+            if any(broken):
+                held = [tuple(int(v) if no and v is not None else v for v, no in zip(r, broken, strict=True)) for r in held]
+            self.held.appendValue((pickle.dumps(held),))
+            first = min(first, min(r[0] for r in held))
+        self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
+        waiting = sorted((r for (packed,) in self.held.get() for r in pickle.loads(packed)), key=lambda r: r[:2])
         due, later = [r for r in waiting if r[0] < now], [r for r in waiting if r[0] >= now]
-        state, out = tuple(self.memory.get()) if self.memory.exists() else self.fold.begin(), []
+        memory, out = self.memory.get(), []
+        state = self.fold.begin() if memory is None else tuple(memory)
         for r in due:
             state, told = self.fold.until(state, r[0])
             out += told
@@ -149,7 +175,8 @@ class InOrder(StatefulProcessor):
         state, told = self.fold.until(state, now)
         out += told
         if due:
-            self.held.put(later) if later else self.held.clear()
+            out += self.fold.rest(state)
+            self.held.put([(pickle.dumps(later),)]) if later else self.held.clear()
         if state == self.fold.begin() and not later:
             self.memory.clear()  # nothing is known of the key any more, so it costs nothing
         else:
@@ -157,7 +184,7 @@ class InOrder(StatefulProcessor):
         soonest = min([self.fold.wake(state), *(r[0] for r in later[:1])])
         if soonest < NEVER:
             self.handle.registerTimer(max(soonest, now) // 1000 + 1)
-        return iter([_frame([(key[0], *r) for r in out], self.names, self.fold)] if out else ())
+        return iter([pd.DataFrame({self.key: [key[0]], "told": [pickle.dumps(out)]})] if out else ())
 
 
 def stream(rows: DataFrame, fold: Fold, key: str, time: str, order: str, values: Sequence[str], late: str = "10 minutes") -> DataFrame:
@@ -165,8 +192,30 @@ def stream(rows: DataFrame, fold: Fold, key: str, time: str, order: str, values:
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     taken = rows.select(F.col(key), F.col(time).cast("timestamp").alias(time), micros.alias("row_micros"), F.col(order).alias("row_order"), *[v for v in values if v not in (key, time)]).withWatermark(time, late)
     held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.select("row_micros", "row_order", *values).schema)
-    told = f"`{key}` {rows.schema[key].dataType.simpleString()}, {fold.told}"
-    return taken.groupBy(key).transformWithStateInPandas(InOrder(fold, key, values, held), told, "Append", "EventTime")
+    kind = f"`{key}` {rows.schema[key].dataType.simpleString()}"
+    told = taken.groupBy(key).transformWithStateInPandas(InOrder(fold, key, values, held), f"{kind}, told binary", "Append", "EventTime")
+    schema = T._parse_datatype_string(f"{kind}, {fold.told}")
+    return told.mapInArrow(_unpacked(to_arrow_schema(schema)), schema)
+
+
+def _unpacked(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes rows of what keys have told."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for part in batches:
+            for key, told in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                out += [(key, *r) for r in pickle.loads(told)]
+                if len(out) > TOLD:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -108,3 +108,82 @@ def test_views_keep_a_ring_of_lines():
         state, told = fold.row(state, k, k, *said)
     assert state == (2, 8, 0.0, "--", "completed", ["c2", "x", "done: x"]) and told == [(5, *state)]
     assert fold.row(state, 6, 6, "error", "e", *[None] * 5)[0][4:] == ("failed", ["x", "done: x", "e"])
+
+
+class Cell:
+    """A list or value of state that counts what it is told."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def appendValue(self, row):
+        self.rows.append(row)
+        self.calls += 1
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.calls += len(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Kept(Cell):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, row):
+        self.rows = [tuple(row)]
+
+
+class Handle:
+    def __init__(self):
+        self.held, self.memory, self.timers = Cell(), Kept(), []
+
+    def getListState(self, name, schema):
+        return self.held
+
+    def getValueState(self, name, schema):
+        return self.memory
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_rows_that_come_together_are_one_message_of_state_and_so_is_what_they_tell():
+    import pandas as pd
+
+    n = 500
+    frame = pd.DataFrame({"task_id": [1] * n, "row_micros": range(1000, 1000 + n * 1000, 1000)[::-1], "row_order": range(n), "type": ["a"] * (n - 1) + [None], "size": [None, *range(1, n)]})
+    fold = Monitor()
+    fold.row = lambda state, time, order, kind, size: (state, [(time, kind, size)])
+    run, handle = ordered.InOrder(fold, "task_id", ["type", "size"], "row_micros bigint, row_order bigint, type string, size bigint"), Handle()
+    run.init(handle)
+    assert list(run.handleInputRows((1,), iter([frame]), Now(0))) == [] and handle.held.calls == 1 and handle.timers == [2]
+    told = list(run.handleExpiredTimer((1,), Now(n), None))
+    assert len(told) == 1 and told[0].shape[0] == 1 and told[0]["task_id"].tolist() == [1]
+    # the row of the watermark's own millisecond waits for its turn, whole numbers and what is missing with it
+    import pickle
+
+    rows = pickle.loads(told[0]["told"][0])
+    assert [r[0] for r in rows] == list(range(1000, n * 1000, 1000)) and rows[0] == (1000, None, n - 1)
+    assert all(type(r[2]) is int for r in rows) and len(list(handle.held.get())) == 1
+    later = list(run.handleExpiredTimer((1,), Now(n + 1), None))
+    assert pickle.loads(later[0]["told"][0]) == [(n * 1000, "a", None)] and not handle.held.exists()
