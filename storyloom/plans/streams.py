@@ -144,13 +144,13 @@ def _last_views(views: DataFrame, times: DataFrame) -> DataFrame:
 def progress_views(spark: SparkSession, d: str) -> DataFrame:
     """What a viewer of each task sees at last, with a log of twenty lines."""
     rows = _passed(events(spark, d), "ts")
-    return _last_views(ordered.batch(_told(rows), sessions.Progress(20), "task_id", "ts", "event_id", _VIEW), rows)
+    return _last_views(ordered.batch(_told(rows), sessions.LastViews(20), "task_id", "ts", "event_id", _VIEW), rows)
 
 
 @query(_PROGRESS_SQL)
 def progress_views_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same from a stream of the table, the log being a ring in state."""
-    made = ordered.stream(_told(_event_stream(spark, d)), sessions.Progress(20), "task_id", "ts", "event_id", _VIEW, "0 seconds")
+    """The same from a stream of the table, the log being a ring in state: a task's view is told once for all events that the watermark passes together."""
+    made = ordered.stream(_told(_event_stream(spark, d)), sessions.LastViews(20), "task_id", "ts", "event_id", _VIEW, "0 seconds")
     return _last_views(ordered.settled(made, "views"), _passed(events(spark, d), "ts"))
 
 

@@ -85,6 +85,22 @@ class Progress(Fold):
         return state, [(order, *state)]
 
 
+class LastViews(Progress):
+    """The view after the last of the events that came by together, with that event: none between is told."""
+
+    memory = told = Progress.told
+
+    def begin(self):
+        return None, *super().begin()
+
+    def row(self, state, time, order, *values):
+        view, _ = super().row(state[1:], time, order, *values)
+        return (order, *view), []
+
+    def rest(self, state):
+        return [state]
+
+
 class Monitor(Fold):
     """Differences of a queue's counters between one snapshot and the next, the speed, and the time that the rest would take."""
 

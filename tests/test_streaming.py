@@ -187,3 +187,25 @@ def test_rows_that_come_together_are_one_message_of_state_and_so_is_what_they_te
     assert all(type(r[2]) is int for r in rows) and len(list(handle.held.get())) == 1
     later = list(run.handleExpiredTimer((1,), Now(n + 1), None))
     assert pickle.loads(later[0]["told"][0]) == [(n * 1000, "a", None)] and not handle.held.exists()
+
+
+def test_last_views_are_told_once_for_the_events_that_pass_together(spark, tmp_path):
+    from storyloom.streaming.sessions import LastViews
+
+    kinds = ["start", "chapter", "error"]
+    rows = [(k, k % 2, k, kinds[k % 3], k) for k in range(60)]
+    source = written(spark, tmp_path, [rows[:30], rows[30:], [(999, 9, 5000, "error", 0)]])
+    names = ["kind", "message", "index", "total_said", "speed_said", "eta_said", "status_said"]
+
+    def told(table):
+        said = {"kind": "type", "message": "type", "index": "completed", "total_said": "completed", "speed_said": "completed / 2D", "eta_said": "completed", "status_said": "type"}
+        return table.select("event_id", "task_id", "ts", *[F.expr(v).alias(k) for k, v in said.items()])
+
+    made = ordered.settled(ordered.stream(told(source), LastViews(3), "task_id", "ts", "event_id", names, "0 seconds"), "views").where("task_id < 9")
+    table = spark.createDataFrame([(i, t, at(s), kind, n) for i, t, s, kind, n in rows], SCHEMA)
+    every = ordered.batch(told(table), Progress(3), "task_id", "ts", "event_id", names)
+    last = ordered.batch(told(table), LastViews(3), "task_id", "ts", "event_id", names)
+    assert every.count() == 60 and rows_of(last) == rows_of(every.where("event_id >= 58"))
+    # the watermark passes events 0-28, then 29-58, then the rest
+    assert sorted(r.event_id for r in made.collect()) == [27, 28, 57, 58, 59]
+    assert rows_of(made) == rows_of(every.where("event_id IN (27, 28, 57, 58, 59)"))
