@@ -173,5 +173,5 @@ def chapters_on_the_shelf(spark: SparkSession, d: str) -> DataFrame:
     added = merge.append_chapters(c.chapters(spark, d), new)
     root = f"{ordered.shared_folder(spark)}/shelf-{uuid.uuid4().hex}"
     shelf.put(added.withColumn("id", F.concat_ws("-", "novel_id", "sort_order")), root)
-    shelf.remove_novels(spark, root, added.where("novel_id % 3 = 0").select("novel_id"))
+    shelf.remove_novels(spark, root, shelf.rows(spark, root).where(F.col("novel_id").cast("long") % 3 == 0).select("novel_id"))
     return shelf.contents(spark, root).select("novel_id", "id", "title", "sort_order", "word_count", F.sha2("content", 256).alias("content_sha"), F.col("content_file").isNotNull().alias("filed"))

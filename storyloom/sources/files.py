@@ -72,7 +72,9 @@ def delete_paths(spark: SparkSession, root: str, paths: DataFrame, column: str)
                 done.append(int(there))
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["deleted"])
 
-    deleted = paths.select(F.col(column).cast("string").alias("path")).distinct().mapInArrow(delete, "deleted int")
+    # Paths are few bytes each, and each is a call of the file system: all cores get a share.
+    dealt = paths.select(F.col(column).cast("string").alias("path")).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    deleted = dealt.distinct().mapInArrow(delete, "deleted int")
     return int(deleted.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0])
 
 

@@ -25,6 +25,8 @@ COLUMNS = "novel_id string, id string, title string, sort_order int, word_count
 ROWS = f"{COLUMNS}, content_file string"
 #: Rows that a task holds before it writes them.
 HELD = 10_000
+#: Bytes of texts that a task reads before it gives them away.
+READ = 16_000_000
 
 
 class Written(WriterCommitMessage):
@@ -44,7 +46,7 @@ class ShelfWriter(DataSourceWriter):
         staging = f"{base}/_staging/{self.name}"
         schema = pa.schema([(n, pa.int32() if n in ("sort_order", "word_count") else pa.string()) for n in ("novel_id", "id", "title", "sort_order", "word_count", "content_file")])
         system.create_dir(f"{staging}/rows", recursive=True)
-        place, held = f"{staging}/rows/{attempt}.parquet", []
+        place, held, made = f"{staging}/rows/{attempt}.parquet", [], set()
 
         with system.open_output_stream(place) as out, pq.ParquetWriter(out, schema) as file:
             for row in iterator:
@@ -52,7 +54,9 @@ class ShelfWriter(DataSourceWriter):
                 if row.content:
                     own = f"{attempt}/{row.novel_id}"
                     where = f"blobs/{self.name}/{own}/{row.id}.txt.gz"
-                    system.create_dir(f"{staging}/blobs/{own}", recursive=True)
+                    if own not in made:
+                        system.create_dir(f"{staging}/blobs/{own}", recursive=True)
+                        made.add(own)
                     with system.open_output_stream(f"{staging}/blobs/{own}/{row.id}.txt.gz", compression=None) as blob:
                         blob.write(gzip.compress(row.content.encode("utf-8", "surrogatepass"), BLOB_LEVEL, mtime=0))
                     blobs += 1
@@ -122,11 +126,37 @@ def rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
-    """Rows with their texts; a row without a blob has none."""
-    path = F.regexp_extract(F.col("_metadata.file_path"), r"(blobs/[^/]+/[^/]+/[^/]+/[^/]+\.txt\.gz)$", 1)
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").text(f"{root.rstrip('/')}/blobs", wholetext=True)
-    texts = texts.select(F.url_decode(path).alias("content_file"), F.col("value").alias("content"))
-    return rows(spark, root).join(texts, "content_file", "left")
+    """Rows with their texts; a row without a blob has none.
+
+    Tasks open the blobs that their rows name: no folder is listed, and rows are dealt, as each is a file to open.
+    """
+    named = rows(spark, root).repartition(4 * spark.sparkContext.defaultParallelism, "content_file", "novel_id", "id")
+    folder = resolved(spark, root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        for batch in batches:
+            first, texts, size = 0, [], 0
+            for k, place in enumerate(batch.column("content_file").to_pylist(), 1):
+                texts.append(_text(system, base, place))
+                size += len(texts[-1] or b"")
+                if size > READ or k == batch.num_rows:
+                    part = batch.slice(first, k - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "content"])
+                    first, texts, size = k, [], 0
+
+    return named.mapInArrow(read, f"{ROWS}, content binary").withColumn("content", F.col("content").cast("string"))
+
+
+def _text(system, base: str, place: str | None) -> bytes | None:
+    """A blob's bytes; None where there is none."""
+    if place is None:
+        return None
+    try:
+        with system.open_input_stream(f"{base}/{place}", compression=None) as blob:
+            return gzip.decompress(blob.read())
+    except FileNotFoundError:
+        return None
 
 
 def remove_novels(spark: SparkSession, root: str, novels: DataFrame) -> int:

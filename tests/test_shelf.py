@@ -76,3 +76,27 @@ def test_novels_go_with_their_texts(spark, tmp_path):
     assert [r[:2] for r in seen(spark, root)] == [("n2", "c 3%"), ("n2", "c4")] and blobs(root) == ["c 3%.txt.gz"]
     assert seen(spark, root)[0][5] == "日本 x"
     assert shelf.remove_novels(spark, root, gone) == 0
+
+
+def test_texts_are_read_by_their_rows_and_no_folder_is_listed(spark, tmp_path):
+    """Texts of rows come from the files that they name; a scan would list every folder of the shelf on the driver."""
+    root = str(tmp_path / "s")
+    shelf.put(chapters(spark, FIRST), root)
+    os.makedirs(f"{root}/blobs/other/a/n9")
+    with open(f"{root}/blobs/other/a/n9/c9.txt.gz", "wb") as stray:
+        stray.write(b"no gzip")
+    found = shelf.contents(spark, root)
+    assert not any(".txt.gz" in f for f in found.inputFiles()) and found.rdd.getNumPartitions() == 16
+    wanted = {r[1]: r[5] or None for r in FIRST}
+    assert {r.id: r.content for r in found.collect()} == wanted
+    gone = [os.path.join(d, f) for d, _, names in os.walk(f"{root}/blobs") for f in names if f == "c1.txt.gz"]
+    os.unlink(gone[0])
+    assert {r.id: r.content for r in shelf.contents(spark, root).collect()} == wanted | {"c1": None}
+
+
+def test_long_texts_leave_a_task_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shelf, "READ", 10)
+    root = str(tmp_path / "s")
+    rows = [("n", f"c{k}", "t", k, 1, f"text {k} " * (k % 3)) for k in range(40)]
+    shelf.put(chapters(spark, rows), root)
+    assert {r[1]: r[5] for r in seen(spark, root)} == {r[1]: r[5] or None for r in rows}
