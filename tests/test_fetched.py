@@ -11,12 +11,18 @@ from test_html import SCHEMA
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rule_dry_run"])
+@pytest.mark.parametrize("name", ["rule_dry_run", "crawl_novels"])
 def test_no_broadcast(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_only_rules_are_broadcast(spark):
+    """A crawl by rules sends these to all tasks, three small tables, and nothing that grows with novels."""
+    plan = QUERIES["crawl_by_rule"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3
+
+
 def test_pages_read_once(spark):
     """A dry run makes its pages once, not once more for the addresses that have none."""
     plan = QUERIES["rule_dry_run"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
